@@ -32,8 +32,9 @@ LEAST_DOCS = 100
 #: Interquartile ranges beyond the quartile, and the least range of each measure.
 FENCE = 3.0
 LEAST_RANGE = {"symbols_per_1000": 30, "dup_lines_per_1000": 60, "repeats_per_1000": 60, "chars_per_100_words": 60}
-#: Only the mean word length can also be too low.
+#: Only the mean word length can also be too low; of fewer words than FEW it says too little to judge by.
 TWO_SIDED = ("chars_per_100_words",)
+FEW = 50
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -104,9 +105,9 @@ def measure(docs: DataFrame) -> DataFrame:
             out: list[list] = [[] for _ in range(6 + len(MEASURES))]
             for text in batch.column("text").to_pylist():
                 n, chars, symbols, dup, repeats, lines = row = counts(text)
-                scaled = (1000 * symbols // n, 1000 * dup // max(lines, 1), 1000 * repeats // n, 100 * chars // n) if n else (0, 0, 0, 0)
+                scaled = (1000 * symbols // n, 1000 * dup // max(lines, 1), 1000 * repeats // n, 100 * chars // n if n >= FEW else None) if n else (0, 0, 0, None)
                 failed = n < 10 or 100 * repeats > 20 * n
-                for at, x in zip(out, (*row[:5], failed, *map(bucket, scaled)), strict=True):
+                for at, x in zip(out, (*row[:5], failed, *(x if x is None else bucket(x) for x in scaled)), strict=True):
                     at.append(x)
             return [batch.column("doc_id"), batch.column("lang"), batch.column("source"), *out]
 
@@ -122,7 +123,7 @@ def measure(docs: DataFrame) -> DataFrame:
 def sketches(measured: DataFrame) -> DataFrame:
     """(lang, source, measure, bucket) -> documents; adding the counts of two tables merges them."""
     stacked = ", ".join(f"'{m}', {m}" for m in MEASURES)
-    long = measured.where("not base_failed").selectExpr("lang", "source", f"stack({len(MEASURES)}, {stacked}) as (measure, bucket)")
+    long = measured.where("not base_failed").selectExpr("lang", "source", f"stack({len(MEASURES)}, {stacked}) as (measure, bucket)").where("bucket is not null")
     return long.groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("docs"))
 
 
@@ -160,6 +161,6 @@ def judge(docs: DataFrame) -> DataFrame:
     ok = ~F.col("base_failed")
     for m in MEASURES:
         x = bucket_value(F.col(m))
-        ok &= (x <= F.col(f"high_{m}")) & (F.col(f"low_{m}").isNull() | (x >= F.col(f"low_{m}")))
+        ok &= F.coalesce(x <= F.col(f"high_{m}"), F.lit(True)) & F.coalesce(x >= F.col(f"low_{m}"), F.lit(True))
     joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_")), "left")
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(ok, F.lit(False)).alias("kept"))
