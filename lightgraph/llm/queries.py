@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import prepare, table
-from . import bpe, quality, rules, simhash
+from . import ann, bpe, brown, langid, pii, quality, rules, simhash, warc
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,10 +22,50 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(prepare(spark), sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
+def op5_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(prepare(spark), sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op7_warc_index_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(prepare(spark), sf_dir, "pages"))
+
+
+def op8_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(prepare(spark), sf_dir, "documents"))
+
+
+def op9_brown_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(table(prepare(spark), sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(prepare(spark), sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_bpe_round_trip, op10_simhash_near_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier, op2_quality_rules, op3_bpe_round_trip, op4_language_id, op5_multi_index_hashing,
+        op7_warc_index_first, op8_pii_deobfuscation, op9_brown_lm_scoring, op10_simhash_near_dedup,
+    )
+}
 
-ORACLE_SQL: dict[str, str] = {}
+#: op7 is plain enough for SQL. The others learn, hash with XXH64 or crc32, or track positions, which DuckDB can't follow.
+ORACLE_SQL = {
+    "op7_warc_index_first": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+                   sha256(coalesce(html, '')) AS payload_digest
+            FROM pages),
+        f AS (SELECT payload_digest AS d, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first IS NULL OR first IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first IS NOT DISTINCT FROM page_id THEN NULL ELSE first END AS refers_to
+        FROM p LEFT JOIN f ON d = payload_digest AND payload_bytes >= 100
+    """,
+}
