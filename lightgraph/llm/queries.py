@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare, table
-from . import ann, bpe, brown, langid, pii, quality, rules, simhash, warc
+from . import ann, bpe, brown, langid, packing, pii, quality, rules, simhash, warc
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(prepare(spark), sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op6_grouping_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.sequences(table(prepare(spark), sf_dir, "documents"))
+
+
 def op7_warc_index_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(prepare(spark), sf_dir, "pages"))
 
@@ -51,7 +55,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_quality_rules, op3_bpe_round_trip, op4_language_id, op5_multi_index_hashing,
-        op7_warc_index_first, op8_pii_deobfuscation, op9_brown_lm_scoring, op10_simhash_near_dedup,
+        op6_grouping_genetic_packing, op7_warc_index_first, op8_pii_deobfuscation, op9_brown_lm_scoring, op10_simhash_near_dedup,
     )
 }
 
