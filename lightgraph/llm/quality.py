@@ -98,7 +98,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_blocks
         .groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").select("doc_id", "y")
     )
     total = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    ordered = [known.where(F.col("y") == y).orderBy(F.xxhash64(F.col("doc_id"), F.lit(17)), "doc_id").limit(rows) for y in (0, 1)]
+    # first a share of a class by hash, about twice the sample, so that no task sorts more
+    share = lambda y: F.pmod(F.xxhash64(F.col("doc_id"), F.lit(19)), F.lit(1 << 30)) < int(min(1.0, (2 * rows + 100) / max(1, total.get(y, 0))) * (1 << 30))
+    ordered = [known.where((F.col("y") == y) & share(y)).orderBy(F.xxhash64(F.col("doc_id"), F.lit(17)), "doc_id").limit(rows) for y in (0, 1)]
     few = F.broadcast(ordered[0].unionByName(ordered[1]))  # 2 * rows ids at most
     seen = docs.select("doc_id", "text").join(few, "doc_id").withColumn("half", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(23)), F.lit(2)))
     seen = seen.where("text is not null and text <> ''")
