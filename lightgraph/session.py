@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 REPO = str(Path(__file__).resolve().parent.parent)
 
 #: Arrow batches handed to Python stay under this many rows and bytes, so long texts keep bounded memory.
-ARROW_ROWS, ARROW_BYTES = 2000, 32 << 20
+ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -19,6 +19,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     env = spark.sparkContext.environment
+    env.setdefault("MALLOC_ARENA_MAX", "2")  # workers give back what a batch took
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
     if REPO not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [REPO, env.get("PYTHONPATH", "")]))
     return spark
