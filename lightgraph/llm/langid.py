@@ -41,7 +41,7 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 UNKNOWN = "und"
 DIM = 4096
 #: Most languages learned (the most frequent), documents that train all of them, and least for each.
-MOST_LANGUAGES, TRAIN_DOCS, LEAST_DOCS = 200, 1600, 30
+MOST_LANGUAGES, TRAIN_DOCS, LEAST_DOCS = 200, 1000, 30
 #: Characters of the snippets that join each training document, so that short texts are learned too.
 SNIPPETS = (24, 80, 240)
 #: ASCII bytes other than letters become spaces.
@@ -122,15 +122,15 @@ def _curve(margins: np.ndarray, curves: list[tuple[float, float]]) -> np.ndarray
 
 
 def machine(x: np.ndarray, y: np.ndarray, regularization: float = 1e-3, rounds: int = 120) -> np.ndarray:
-    """A linear support vector machine (squared hinge, classes weighted alike) by accelerated gradients; y is 1 or -1."""
-    x1 = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    w = last = np.zeros(x1.shape[1], np.float32)
+    """A linear support vector machine (squared hinge, classes weighted alike) by accelerated gradients; y is 1 or -1, and 0
+    for rows that take no part, so that no subset of x is copied. The last weight is the bias."""
+    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), np.where(y < 0, 0.5 / max(1, (y < 0).sum()), 0.0)).astype(np.float32)
+    w = last = np.zeros(x.shape[1] + 1, np.float32)
     step = 1 / (4 + regularization)
     for n in range(rounds):
-        ahead = w + (n / (n + 3)) * (w - last)
-        slack = np.maximum(0, 1 - y * (x1 @ ahead))
-        last, w = w, ahead - step * (regularization * ahead - 2 * ((weight * y * slack) @ x1))
+        ahead = w + np.float32(n / (n + 3)) * (w - last)
+        pull = 2 * weight * y * np.maximum(0, 1 - y * (x @ ahead[:-1] + ahead[-1]))
+        last, w = w, ahead - np.float32(step) * (np.float32(regularization) * ahead - np.append(pull @ x, pull.sum()))
     return w.astype(np.float32)
 
 
@@ -145,11 +145,12 @@ def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def _trained(x: np.ndarray, y: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, tuple[float, float]]:
-    """A machine from the rows not set apart, its curve from those that are."""
-    w = machine(x[~apart], y[~apart])
-    if len(set(y[apart].tolist())) < 2:
+    """A machine from the rows not set apart, its curve from those that are; rows of y 0 take no part."""
+    w = machine(x, np.where(apart, 0, y).astype(np.float32))
+    test = apart & (y != 0)
+    if len(set(y[test].tolist())) < 2:
         return w, (3.0, 0.0)
-    return w, platt(_margins(x[apart], w[None])[:, 0], y[apart])
+    return w, platt((x @ w[:-1] + w[-1])[test], y[test])
 
 
 def fit(docs: DataFrame, most: int = MOST_LANGUAGES, train_docs: int = TRAIN_DOCS) -> Model:
@@ -182,8 +183,11 @@ def fit(docs: DataFrame, most: int = MOST_LANGUAGES, train_docs: int = TRAIN_DOC
     if not got.num_rows:
         return Model()
     lang = np.array(got.column("lang").to_pylist(), object)
-    x = np.frombuffer(b"".join(got.column("vector").to_pylist()), np.float16).reshape(len(lang), DIM).astype(np.float32)
+    x = np.empty((len(lang), DIM), np.float32)
+    for row, vector in zip(x, got.column("vector"), strict=True):
+        row[:] = np.frombuffer(vector.as_py(), np.float16)
     apart = got.column("draw").to_numpy() // 8 % 5 == 0
+    del got
     langs = sorted(set(lang.tolist()))
     family_of = np.array([FAMILY_OF.get(c, c) for c in lang], object)
     model = Model(families=sorted({FAMILY_OF.get(c, c) for c in langs}))
@@ -199,8 +203,7 @@ def fit(docs: DataFrame, most: int = MOST_LANGUAGES, train_docs: int = TRAIN_DOC
     for k, members in enumerate(model.members):
         for n, a in enumerate(members):
             for b in members[n + 1 :]:
-                two = (lang == a) | (lang == b)
-                w, c = _trained(x[two], np.where(lang[two] == a, 1, -1).astype(np.float32), apart[two])
+                w, c = _trained(x, np.where(lang == a, 1, np.where(lang == b, -1, 0)).astype(np.float32), apart)
                 machines.append(w)
                 model.pairs.append((k, a, b))
                 model.pair_curves.append(c)
@@ -222,7 +225,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return map_batches(rows, make, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
+def keep(docs: DataFrame, model: Model, least: float = 0.15) -> DataFrame:
     """The documents whose language is told with a score of `least` or more, with all their columns."""
 
     def make():
