@@ -2,8 +2,8 @@
 
 A text is cut into blocks; every block is compressed with both dictionaries. The normalised
 differences of the summed sizes, (bad - good) / (bad + good) and log(raw / (bad + good)), which
-repeated text drives up, go through a logistic curve fitted on labelled rows that made neither
-dictionary.
+repeated text drives up, go through a logistic curve fitted on labelled rows: each half of them is
+measured with dictionaries of the other half, and the final dictionaries come from both.
 
 Defined cases: a null or empty text has differences 0, so it scores the curve's value there; with
 no labelled rows of one class every text scores 0.5; labels that contradict each other for one
@@ -59,14 +59,15 @@ class Scorer:
             own = zstandard.ZstdCompressionDict(raw)
             own.precompute_compress(level=LEVEL)
             self.pair.append(zstandard.ZstdCompressor(dict_data=own, write_checksum=False, write_content_size=False, write_dict_id=False).compress)
+        self.frame = [len(c(b"")) for c in self.pair]
 
     def differences(self, text: str | None) -> tuple[float, float]:
         if not text or not self.model.good or not self.model.bad:
             return 0.0, 0.0
-        good, bad, data = 0, 0, text.encode()
-        for block in blocks(data):
-            good += len(self.pair[0](block))
-            bad += len(self.pair[1](block))
+        good, bad, data = 1, 1, text.encode()
+        for block in blocks(data):  # less what a frame takes by itself, which would make short texts look alike
+            good += len(self.pair[0](block)) - self.frame[0]
+            bad += len(self.pair[1](block)) - self.frame[1]
         return (bad - good) / (bad + good), math.log(2 * len(data) / (bad + good))
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -107,28 +108,33 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_blocks
 
     def cut():
         def run(batch):
-            out: tuple[list, list] = ([], [])
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
+            out: tuple[list, list, list] = ([], [], [])
+            for text, *row in zip(*(batch.column(c).to_pylist() for c in ("text", "y", "half")), strict=True):
                 for b in blocks(text.encode()):
-                    out[0].append(y)
-                    out[1].append(b)
+                    for to, v in zip(out, (*row, b), strict=True):
+                        to.append(v)
             return out
 
         return run
 
-    pieces = map_batches(seen.where("half = 0").select("text", "y"), cut, "y int, b binary")
-    samples: dict[int, list[bytes]] = {}
+    kinds = (F.col("y").cast("int").alias("y"), F.col("half").cast("int").alias("half"))
+    pieces = map_batches(seen.select("text", *kinds), cut, "y int, half int, b binary").groupBy("b").agg(F.min(F.struct("y", "half")).alias("of")).select("b", "of.y", "of.half")
+    samples: dict[tuple[int, int], list[bytes]] = {}
     for y in (0, 1):
-        samples[y] = [bytes(r.b) for r in pieces.where(F.col("y") == y).dropDuplicates(["b"]).orderBy(F.xxhash64("b", F.lit(29)), "b").limit(most_blocks).collect()]
-    if not samples[0] or not samples[1]:
+        for half in (0, 1):
+            some = pieces.where((F.col("y") == y) & (F.col("half") == half)).orderBy(F.xxhash64("b", F.lit(29)), "b").limit(most_blocks // 2)
+            samples[y, half] = [bytes(r.b) for r in some.collect()]
+    both = {y: samples[y, 0] + samples[y, 1] for y in (0, 1)}
+    if not both[0] or not both[1]:
         return Model(b"", b"", (0.0, 0.0), 0.0)
-    model = Model(dictionary(samples[1]), dictionary(samples[0]), (1.0, 0.0), 0.0)
+    model = Model(dictionary(both[1]), dictionary(both[0]), (1.0, 0.0), 0.0)
+    other = [Model(dictionary(samples[1, 1 - h] or both[1]), dictionary(samples[0, 1 - h] or both[0]), (1.0, 0.0), 0.0) for h in (0, 1)]
 
     def measure():
-        own = Scorer(model)
-        return lambda batch: [*zip(*(own.differences(t) for t in batch.column("text").to_pylist()), strict=True), batch.column("y")]
+        own = [Scorer(m) for m in other]
+        return lambda batch: [*zip(*(own[h].differences(t) for t, h in zip(batch.column("text").to_pylist(), batch.column("half").to_pylist(), strict=True)), strict=True), batch.column("y")]
 
-    points = map_batches(seen.where("half = 1").select("text", F.col("y").cast("int").alias("y")), measure, "d double, r double, y int").toArrow()
+    points = map_batches(seen.select("text", *kinds), measure, "d double, r double, y int").toArrow()
     d, y = np.stack([points.column("d").to_numpy(), points.column("r").to_numpy()], 1), points.column("y").to_numpy()
     if len(set(y.tolist())) < 2:
         return Model(model.good, model.bad, (20.0, 0.0), 0.0)
