@@ -141,15 +141,15 @@ class Index:
 
 
 def entries(embeddings: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """The rows that take part (vec_id, vec), and their distinct vectors: vec, members (the k + 1 smallest ids in order), id (the smallest)."""
+    """The rows that take part (vec_id, vec), and their distinct vectors: vec, members (the k + 1 smallest ids in order)."""
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec")).where("vec_id is not null and vec is not null")
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.where(~bad & F.exists("vec", lambda x: x != 0))
     common = rows.groupBy(F.size("vec").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").limit(1).collect()
     rows = rows.where(F.size("vec") == (common[0].n if common else 0))
-    # a ranking with a bound: every task keeps k + 1 rows of a vector before they are shuffled
-    nth = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
-    return rows, rows.withColumn("nth", nth).where(F.col("nth") <= k + 1).groupBy("vec").agg(F.sort_array(F.collect_set("vec_id")).alias("members")).withColumn("id", F.col("members")[0])
+    # a ranking with a bound: every task keeps k + 1 ids of a vector before they are shuffled
+    nth = F.dense_rank().over(Window.partitionBy("vec").orderBy("vec_id"))  # repeated rows rank alike
+    return rows, rows.withColumn("nth", nth).where(F.col("nth") <= k + 1).groupBy("vec").agg(F.sort_array(F.collect_set("vec_id")).alias("members"))
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -183,7 +183,7 @@ def search(embeddings: DataFrame, queries, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row for which `queries` (a column) is true."""
     spark = embeddings.sparkSession
     valid, distinct = entries(embeddings, k)
-    index = materialize(distinct, "ann-entries")
+    index = materialize(distinct.withColumn("id", F.monotonically_increasing_id()), "ann-entries")  # numbers are written with their vectors
     model = fit(index, k)
     schema = "query_id long, rank int, vec_id long, score double"
     if model is None:

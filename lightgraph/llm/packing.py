@@ -4,11 +4,12 @@ Documents become token pieces; whole-length pieces fill a sequence each. The oth
 islands of bounded size by a hash. An island's individuals are packings of its pieces. Crossover
 takes well-filled bins from one parent and injects them into the other: the pieces that the bins
 need are taken from that parent's least filled bins (pieces of equal length are interchangeable,
-so nothing is there twice), those bins are dissolved, and the displaced pieces are put back by
-best fit. Between epochs the islands' states are written to the shared folder, and the best-filled
-bins of each migrate, as patterns of lengths, to the next island of a ring, which injects those
-patterns that it can fill. At last islands release their least filled bins, which are packed anew
-together, in pools of bounded size.
+so nothing is there twice), those bins are dissolved, and the displaced pieces are put back: in
+the place of a shorter piece where that fills a bin exactly, else by best fit. Between epochs the
+islands' states are written to the shared folder, and the best-filled bins of each migrate, as
+patterns of lengths, to the next island of a ring, which injects those patterns that it can fill.
+At last islands release their least filled bins, which are packed anew together, in pools of
+bounded size.
 
 Defined cases: a null or empty text is one piece, the end token; repeated rows are packed each;
 an empty table gives an empty result; only doc_id and text are read.
@@ -129,9 +130,33 @@ def inject(lengths: np.ndarray, parent: Packing, wanted: list[tuple[int, ...]],
     displaced = np.flatnonzero(hit[parent.bin_of] & ~placed)
     for b in np.flatnonzero(hit).tolist():
         fill[b] = 0
+    displaced = exchange(lengths, parent, hit, placed, bin_of, fill, displaced, room)
     return best_fit(lengths, bin_of, fill, descending(lengths, displaced, 0.02, rng), room)
 
 
+def exchange(lengths: np.ndarray, parent: Packing, hit: np.ndarray, placed: np.ndarray, bin_of: np.ndarray, fill: list[int], displaced: np.ndarray, room: int) -> np.ndarray:
+    """Displaced pieces take the place of shorter ones wherever that fills a bin exactly; returns what is displaced then."""
+    rest = room - parent.fill
+    able = np.flatnonzero((rest > 0)[parent.bin_of] & ~hit[parent.bin_of] & ~placed)
+    fits: dict[int, list[int]] = {}
+    for i, need in zip(able.tolist(), (lengths[able] + rest[parent.bin_of[able]]).tolist(), strict=True):
+        fits.setdefault(need, []).append(i)
+    out, done = [], set()
+    for i, n in zip(displaced.tolist(), lengths[displaced].tolist(), strict=True):
+        others = fits.get(n, ())
+        while others and bin_of[others[-1]] in done:
+            others.pop()
+        if others:
+            other = others.pop()
+            b = int(bin_of[other])
+            done.add(b)
+            bin_of[i], fill[b] = b, room
+            out.append(other)
+        else:
+            out.append(i)
+    return np.array(out, np.int64)
+
+
 def begin(lengths: np.ndarray, room: int, rng: np.random.Generator, population: int = POPULATION) -> list[Packing]:
     every = np.arange(len(lengths))
     return [best_fit(lengths, np.zeros(len(lengths), np.int64), [], descending(lengths, every, 0.04 * n, rng), room) for n in range(population)]
