@@ -30,6 +30,11 @@ def intensity_to_distance(intensity: Column, eps: float = 1e-6) -> Column:
     return F.when(x > 0, -F.log(x)).otherwise(F.lit(float("inf")))
 
 
+def strongest_first(x: Column) -> Column:
+    """Descending order of sums of doubles: equal to nine places is a tie, whatever order the parts were added in."""
+    return F.round(x, 9).desc()
+
+
 def directional_luminance(prop: Column, peak: Column, falloff: Column) -> Column:
     """peak max(0, 1 - d / 16 falloff) for each bin at distance d from the property's."""
     at = property_bin(prop)

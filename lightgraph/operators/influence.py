@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import TINY, cosine, intensity_to_distance
+from ..functions.columns import TINY, cosine, intensity_to_distance, strongest_first
 from ..params import LightParams
 from .graph import Graph
 from .propagate import propagate, sources_of
@@ -14,7 +14,7 @@ from .propagate import propagate, sources_of
 def top_k(graph: Graph, source: int, bin_: int, k: int, params: LightParams = LightParams(), pvs: DataFrame | None = None, mode: str = "ordered") -> DataFrame:
     """(node_id, intensity, distance) of the k strongest above the threshold, the source included; ties by id."""
     lit = propagate(graph, sources_of(graph.nodes.sparkSession, [(0, source, bin_)]), params, mode, pvs)
-    return lit.where(F.col("intensity") > params.min_intensity).select("node_id", "intensity", intensity_to_distance(F.col("intensity")).alias("distance")).orderBy(F.desc("intensity"), "node_id").limit(k)
+    return lit.where(F.col("intensity") > params.min_intensity).select("node_id", "intensity", intensity_to_distance(F.col("intensity")).alias("distance")).orderBy(strongest_first(F.col("intensity")), "node_id").limit(k)
 
 
 def top_k_others(graph: Graph, source: int, bin_: int, k: int = 20, params: LightParams = LightParams(), node_type: str | None = None, mode: str = "maxbin", eps: float = 1e-10) -> DataFrame:
@@ -23,7 +23,7 @@ def top_k_others(graph: Graph, source: int, bin_: int, k: int = 20, params: Ligh
     named = lit.join(graph.nodes.select("node_id", "label", "node_type"), "node_id")
     if node_type is not None:
         named = named.where(F.col("node_type") == node_type)
-    return named.select("node_id", "label", "node_type", "intensity", intensity_to_distance(F.col("intensity"), eps).alias("distance")).orderBy(F.desc("intensity"), "node_id").limit(k)
+    return named.select("node_id", "label", "node_type", "intensity", intensity_to_distance(F.col("intensity"), eps).alias("distance")).orderBy(strongest_first(F.col("intensity")), "node_id").limit(k)
 
 
 def distance(graph: Graph, source: int, target: int, bin_: int, params: LightParams = LightParams(), pvs: DataFrame | None = None) -> DataFrame:
@@ -51,7 +51,7 @@ def hybrid(graph: Graph, source: int, bin_: int, embeddings: DataFrame, query: l
     scored = embeddings.select("node_id", cosine(F.col("embedding"), q).alias("similarity")).join(lit, "node_id", "left").crossJoin(F.broadcast(most))
     graph_part = F.when(F.col("most") > TINY, F.coalesce("intensity", F.lit(0.0)) / F.col("most")).otherwise(F.lit(0.0))
     score = F.lit(float(alpha)) * graph_part + F.lit(1.0 - alpha) * F.col("similarity")
-    return scored.select("node_id", score.alias("score"), intensity_to_distance(score).alias("distance")).orderBy(F.desc("score"), "node_id").limit(k)
+    return scored.select("node_id", score.alias("score"), intensity_to_distance(score).alias("distance")).orderBy(strongest_first(F.col("score")), "node_id").limit(k)
 
 
 def semantic_search(graph: Graph, embeddings: DataFrame, query: list[float], k: int) -> DataFrame:
@@ -64,15 +64,15 @@ def comparison(graph: Graph, sources: list[int], bin_: int, k: int = 20, params:
     lit = propagate(graph, sources_of(graph.nodes.sparkSession, [(s, s, bin_) for s in sources]), params, mode).where(~F.col("node_id").isin(sources))
     wide = lit.groupBy("node_id").agg(*(F.coalesce(F.max(F.when(F.col("qid") == s, F.col("intensity"))), F.lit(0.0)).alias(f"intensity_{s}") for s in sources))
     most: Column = F.greatest(*(F.col(f"intensity_{s}") for s in sources)) if len(sources) > 1 else F.col(f"intensity_{sources[0]}")
-    return wide.where(most > 0).orderBy(most.desc(), "node_id").limit(k)
+    return wide.where(most > 0).orderBy(strongest_first(most), "node_id").limit(k)
 
 
 def multi_source(graph: Graph, sources: list[tuple[int, int]], k: int, params: LightParams = LightParams()) -> DataFrame:
     """The k strongest of each (node, bin) source, all together, then the k strongest of those; a node may come twice."""
     lit = propagate(graph, sources_of(graph.nodes.sparkSession, [(i, s, b) for i, (s, b) in enumerate(sources)]), params).where(F.col("intensity") > params.min_intensity)
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("intensity"), "node_id"))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(strongest_first(F.col("intensity")), "node_id"))
     best = lit.withColumn("rank", rank).where(F.col("rank") <= k)
-    return best.select("qid", "node_id", "intensity", intensity_to_distance(F.col("intensity")).alias("distance")).orderBy(F.desc("intensity"), "node_id", "qid").limit(k)
+    return best.select("qid", "node_id", "intensity", intensity_to_distance(F.col("intensity")).alias("distance")).orderBy(strongest_first(F.col("intensity")), "node_id", "qid").limit(k)
 
 
 def contextual_embeddings(graph: Graph, sources: list[int], bins: list[int], params: LightParams = LightParams(), pvs: DataFrame | None = None, dim: int | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import TINY, intensity_to_distance
+from ..functions.columns import TINY, intensity_to_distance, strongest_first
 from ..functions.lookups import INTENT_BINS, INTENT_PHRASES, OTHER_INTENT, related_bins_of
 from ..params import BINS, LightParams, RagConfig, UserContext
 from ..session import materialize
@@ -53,7 +53,7 @@ def hybrid_scores(graph: Graph, intensity: DataFrame, similarity: DataFrame | No
         rows = rows.join(known, "node_id", "left").withColumn("personalization_boost", value).where("personalization_boost > 0")
     score = (F.lit(config.alpha) * F.col("graph_intensity") + F.lit(config.beta) * F.col("vector_similarity")) * (F.lit(1.0) + F.lit(config.gamma) * (F.col("personalization_boost") - 1))
     out = rows.withColumn("score", score).withColumn("distance", intensity_to_distance(F.col("score")))
-    return out.select("node_id", "score", "graph_intensity", "vector_similarity", "personalization_boost", "distance").orderBy(F.desc("score"), "node_id").limit(config.top_k)
+    return out.select("node_id", "score", "graph_intensity", "vector_similarity", "personalization_boost", "distance").orderBy(strongest_first(F.col("score")), "node_id").limit(config.top_k)
 
 
 def _with_paths(graph: Graph, scored: DataFrame, starts: list[int], config: RagConfig) -> DataFrame:
@@ -61,7 +61,7 @@ def _with_paths(graph: Graph, scored: DataFrame, starts: list[int], config: RagC
     if not config.include_paths or not starts:
         return scored.withColumn("reasoning_path", F.array().cast("array<long>"))
     paths = paths_from(graph, starts, config.max_hops)
-    return scored.join(paths, "node_id", "left").withColumn("reasoning_path", F.coalesce("path", F.array().cast("array<long>"))).drop("path").orderBy(F.desc("score"), "node_id")
+    return scored.join(paths, "node_id", "left").withColumn("reasoning_path", F.coalesce("path", F.array().cast("array<long>"))).drop("path").orderBy(strongest_first(F.col("score")), "node_id")
 
 
 def query(graph: Graph, stored: DataFrame, text: str, embedding: list[float], user: UserContext | None = None, config: RagConfig = RagConfig(), pvs: DataFrame | None = None) -> DataFrame:

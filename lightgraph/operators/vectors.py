@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import TINY, cosine, l2_normalize, norm
+from ..functions.columns import TINY, cosine, l2_normalize, norm, strongest_first
 
 #: Rows of one side of a block of pairs.
 BLOCK = 4096
@@ -41,7 +41,7 @@ def top_k_similar(stored: DataFrame, query: list[float], k: int) -> DataFrame:
     """The k most similar; nothing for a query without length, no vectors without length."""
     able = sum(x * x for x in query) ** 0.5 >= TINY
     rows = stored.where(F.lit(able) & (F.col("norm") >= TINY))
-    return all_similarities(rows, query).orderBy(F.desc("similarity"), "node_id").limit(k)
+    return all_similarities(rows, query).orderBy(strongest_first(F.col("similarity")), "node_id").limit(k)
 
 
 def normalized(embeddings: DataFrame) -> DataFrame:
@@ -119,13 +119,13 @@ def knn_edges(embeddings: DataFrame, k: int, bin_: int = 10) -> DataFrame:
             return empty
         s, i, j = _cosines(a, b), a.column("node_id").to_numpy(), b.column("node_id").to_numpy()
         s = np.where(i[:, None] == j[None], -np.inf, s)
-        order = np.lexsort((np.broadcast_to(j, s.shape), -s), axis=1)[:, :k]
+        order = np.lexsort((np.broadcast_to(j, s.shape), -s.round(9)), axis=1)[:, :k]
         src, dst, sim = np.repeat(i, order.shape[1]), j[order].ravel(), np.take_along_axis(s, order, 1).ravel()
         fine = np.isfinite(sim)
         return pa.table({"src": src[fine], "dst": dst[fine], "similarity": sim[fine]})
 
     rows = embeddings.select("node_id", "embedding")
     near = in_blocks(rows, rows, compare, "src long, dst long, similarity double")
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("similarity"), "dst"))
+    rank = F.row_number().over(Window.partitionBy("src").orderBy(strongest_first(F.col("similarity")), "dst"))
     best = near.withColumn("rank", rank).where(F.col("rank") <= k)
     return best.select("src", "dst", (F.col("rank") - 1).cast("int").alias("pos"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - F.col("similarity"))).alias("attenuation"), F.lit(bin_).alias("bin"), "similarity")

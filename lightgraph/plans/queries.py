@@ -138,14 +138,14 @@ def propagate_pvs(spark, d):
 # influence
 
 
-@query(f"WITH {STAR}, {sql.light(FROM_ROOT)} SELECT node_id, {r6('intensity', 'intensity')}, {r6(dist('intensity'), 'distance')} FROM lit WHERE intensity > 1e-3 ORDER BY lit.intensity DESC, node_id LIMIT 20")
+@query(f"WITH {STAR}, {sql.light(FROM_ROOT)} SELECT node_id, {r6('intensity', 'intensity')}, {r6(dist('intensity'), 'distance')} FROM lit WHERE intensity > 1e-3 ORDER BY round(lit.intensity, 9) DESC, node_id LIMIT 20")
 def influence_topk_region(spark, d):
     return influence.top_k(graphs.star_graph(spark, d), ROOT, 6, 20)
 
 
 @query(
     f"WITH {STAR}, {sql.light(FROM_ROOT, mode='maxbin')} SELECT node_id, label, node_type, {r6('intensity', 'intensity')}, {r6(dist('intensity', '1e-10'), 'distance')} "
-    "FROM lit JOIN nodes USING (node_id) WHERE intensity > 0 AND node_id <> 0 AND node_type = 'customer' ORDER BY lit.intensity DESC, node_id LIMIT 15"
+    "FROM lit JOIN nodes USING (node_id) WHERE intensity > 0 AND node_id <> 0 AND node_type = 'customer' ORDER BY round(lit.intensity, 9) DESC, node_id LIMIT 15"
 )
 def influence_topk_excl_source(spark, d):
     return influence.top_k_others(graphs.star_graph(spark, d), ROOT, 6, 15, node_type="customer")
@@ -170,15 +170,15 @@ def influence_distance_or_infinity(spark, d):
     f"WITH {NATION}, {sql.light(sql.values([(i, i, 6) for i in range(3)], 'qid, node_id, bin'), mode='maxbin')}, w AS (SELECT node_id, "
     + ", ".join(f"coalesce(max(CASE WHEN qid = {i} THEN intensity END), 0.0::DOUBLE) AS intensity_{i}" for i in range(3))
     + f" FROM lit WHERE node_id NOT IN (0, 1, 2) GROUP BY node_id) SELECT node_id, {', '.join(r6(f'intensity_{i}', f'intensity_{i}') for i in range(3))} FROM w "
-    "WHERE greatest(w.intensity_0, w.intensity_1, w.intensity_2) > 0 ORDER BY greatest(w.intensity_0, w.intensity_1, w.intensity_2) DESC, node_id LIMIT 25"
+    "WHERE greatest(w.intensity_0, w.intensity_1, w.intensity_2) > 0 ORDER BY round(greatest(w.intensity_0, w.intensity_1, w.intensity_2), 9) DESC, node_id LIMIT 25"
 )
 def influence_compare(spark, d):
     return influence.comparison(graphs.plain(graphs.nation_graph(spark, d)), [0, 1, 2], 6, 25)
 
 
 @query(
-    f"WITH {NATION}, {sql.light(sql.values([(0, 0, 6), (1, 1, 8), (2, 2, 6)], 'qid, node_id, bin'))}, t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY intensity DESC, node_id) AS k FROM lit WHERE intensity > 1e-3) "
-    f"SELECT qid, node_id, {r6('intensity', 'intensity')}, {r6(dist('intensity'), 'distance')} FROM t WHERE k <= 12 ORDER BY t.intensity DESC, node_id, qid LIMIT 12"
+    f"WITH {NATION}, {sql.light(sql.values([(0, 0, 6), (1, 1, 8), (2, 2, 6)], 'qid, node_id, bin'))}, t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(intensity, 9) DESC, node_id) AS k FROM lit WHERE intensity > 1e-3) "
+    f"SELECT qid, node_id, {r6('intensity', 'intensity')}, {r6(dist('intensity'), 'distance')} FROM t WHERE k <= 12 ORDER BY round(t.intensity, 9) DESC, node_id, qid LIMIT 12"
 )
 def multi_source_topk(spark, d):
     return influence.multi_source(graphs.plain(graphs.nation_graph(spark, d)), [(0, 6), (1, 8), (2, 6)], 12)
@@ -211,7 +211,7 @@ COS = f"CASE WHEN {NORM_E} > 1e-10 THEN list_inner_product(embedding::DOUBLE[],
 
 @query(
     f"WITH {sql.vectors()}, {sql.light(sql.values([(0, 5, 0)], 'qid, node_id, bin'))}, s AS (SELECT vec_id AS node_id, 0.6 * coalesce(intensity / (SELECT max(intensity) FROM lit), 0.0) + 0.4 * ({COS}) AS score "
-    f"FROM embeddings LEFT JOIN lit ON vec_id = node_id) SELECT node_id, {r6('score', 'score')}, {r6(dist('score'), 'distance')} FROM s ORDER BY s.score DESC, node_id LIMIT 10"
+    f"FROM embeddings LEFT JOIN lit ON vec_id = node_id) SELECT node_id, {r6('score', 'score')}, {r6(dist('score'), 'distance')} FROM s ORDER BY round(s.score, 9) DESC, node_id LIMIT 10"
 )
 def hybrid_topk(spark, d):
     graph, e = graphs.vector_graph(spark, d)
@@ -220,7 +220,7 @@ def hybrid_topk(spark, d):
 
 @query(
     f"WITH {sql.vectors()}, {sql.light(sql.values([(0, 0, 0)], 'qid, node_id, bin'))}, s AS (SELECT vec_id AS node_id, 0.6 * coalesce(intensity / (SELECT max(intensity) FROM lit), 0.0) + 0.4 * ({COS}) AS score "
-    f"FROM embeddings LEFT JOIN lit ON vec_id = node_id) SELECT node_id, {r6('score', 'score')}, {r6(dist('score'), 'distance')} FROM s ORDER BY s.score DESC, node_id LIMIT 7"
+    f"FROM embeddings LEFT JOIN lit ON vec_id = node_id) SELECT node_id, {r6('score', 'score')}, {r6(dist('score'), 'distance')} FROM s ORDER BY round(s.score, 9) DESC, node_id LIMIT 7"
 )
 def semantic_search(spark, d):
     graph, e = graphs.vector_graph(spark, d)
@@ -412,14 +412,14 @@ def cosine_all(spark, d):
     return vectors.all_similarities(vectors.store(graphs.vector_graph(spark, d)[1]), QUERY_VECTOR)
 
 
-@query(f"SELECT vec_id AS node_id, {r6('s', 'similarity')} FROM (SELECT vec_id, {COS} AS s FROM embeddings) ORDER BY s DESC, vec_id LIMIT 20")
+@query(f"SELECT vec_id AS node_id, {r6('s', 'similarity')} FROM (SELECT vec_id, {COS} AS s FROM embeddings) ORDER BY round(s, 9) DESC, vec_id LIMIT 20")
 def cosine_topk(spark, d):
     return vectors.top_k_similar(vectors.store(graphs.vector_graph(spark, d)[1]), QUERY_VECTOR, 20)
 
 
 @query(
     "WITH p AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))) AS s "
-    "FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id), r AS (SELECT *, (row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) - 1)::INTEGER AS pos FROM p) "
+    "FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id), r AS (SELECT *, (row_number() OVER (PARTITION BY src ORDER BY round(s, 9) DESC, dst) - 1)::INTEGER AS pos FROM p) "
     f"SELECT src, dst, pos, {r6('greatest(0.0, least(1.0, 1.0 - s))', 'attenuation')}, 10 AS bin, {r6('s', 'similarity')} FROM r WHERE pos < 3"
 )
 def knn_edges(spark, d):
@@ -490,7 +490,7 @@ def parse_start(spark, d):
 
 RAG_TEXT = "Why does this happen?"
 RAG_BINS = [4, 14, 1]
-NEAR = f"near AS (SELECT vec_id, s, row_number() OVER (ORDER BY s DESC, vec_id) - 1 AS i FROM (SELECT vec_id, {COS} AS s FROM embeddings) ORDER BY s DESC, vec_id LIMIT 5)"
+NEAR = f"near AS (SELECT vec_id, s, row_number() OVER (ORDER BY round(s, 9) DESC, vec_id) - 1 AS i FROM (SELECT vec_id, {COS} AS s FROM embeddings) ORDER BY round(s, 9) DESC, vec_id LIMIT 5)"
 SCORED = (
     "SELECT node_id, {score} AS score, g AS graph_intensity, v AS vector_similarity, b AS personalization_boost FROM "
     "(SELECT n.node_id, coalesce(total / most, 0.0) AS g, {v} AS v, {b} AS b FROM nodes n LEFT JOIN total USING (node_id), (SELECT max(total) AS most FROM total){joins}) WHERE (g >= 1e-3 OR v >= 1e-3) AND b > 0"
@@ -501,7 +501,7 @@ def scored_sql(v: str, b: str, joins: str, a: float, be: float, ga: float, k: in
     inner = SCORED.format(score=f"({a} * g + {be} * v) * (1.0 + {ga} * (b - 1))", v=v, b=b, joins=joins)
     cols = ", ".join(r6(f"q.{c}", c) for c in ("score", "graph_intensity", "vector_similarity", "personalization_boost"))
     tail = f", {path} AS reasoning_path" if path else ""
-    return f"SELECT node_id, {cols}, {r6(dist('q.score'), 'distance')}{tail} FROM ({inner}) q ORDER BY q.score DESC, node_id LIMIT {k}"
+    return f"SELECT node_id, {cols}, {r6(dist('q.score'), 'distance')}{tail} FROM ({inner}) q ORDER BY round(q.score, 9) DESC, node_id LIMIT {k}"
 
 
 @query(

@@ -27,10 +27,10 @@ def live_sessions(interactions: DataFrame, late: str = "1 hour", most: int = SES
         n = 0
         if state.exists:
             nodes, times, n = state.get
-            last = dict(zip(nodes, times, strict=True))
+            last = dict(zip(nodes, map(pd.Timestamp, times), strict=True))
         for part in parts:
             n += len(part)
-            for node, at in zip(part.node_id, part.at, strict=True):
+            for node, at in zip(part["node_id"], part["at"], strict=True):
                 if node not in last or at > last[node]:
                     last[node] = at
         first = sorted(last.items(), key=lambda kv: (-kv[1].value, kv[0]))[:most]
