@@ -44,6 +44,14 @@ def complete_edges(edges: DataFrame, order: Iterable[str | Column] = ("dst", "bi
     return base.select("src", "dst", "pos", "attenuation", "bin", "is_portal")
 
 
+def document_nodes(documents: DataFrame) -> DataFrame:
+    """Nodes of (node_id, text, embedding): luminance 1 + length / 1000 (bytes), the bin from the first component, held to 0 .. 255
+    before it goes around the circle."""
+    first = F.col("embedding")[0].cast("double") * 8 + 8
+    held = F.greatest(F.lit(0), F.least(F.lit(255), F.coalesce(F.when(F.isnan(first), F.lit(0)).otherwise(first.cast("int")), F.lit(0))))
+    return complete_nodes(documents.select("node_id", (F.octet_length("text") / F.lit(1000.0) + 1).alias("luminance"), F.lit(0.9).alias("reflection"), (held % BINS).alias("default_bin")))
+
+
 @dataclass(frozen=True)
 class Graph:
     nodes: DataFrame

@@ -258,6 +258,18 @@ def projected(embeddings: DataFrame, weight: np.ndarray, bias: np.ndarray) -> Da
     return normalized(embeddings.select(*keys, "embedding").mapInArrow(run, schema))
 
 
+def rotated_texts(embeddings: DataFrame, phases: Phases, bin_: Column | None = None, weight: np.ndarray | None = None) -> DataFrame:
+    """Text vectors as entities: projected to the phases' size where a weight is given, rotated where a bin is. The encoder is
+    any that encode_with or hashed_sentences stands for."""
+    if weight is not None:
+        keys = [c for c in embeddings.columns if c != "embedding"]
+        w = F.array(*(F.array(*map(F.lit, column)) for column in weight.T.tolist()))
+        embeddings = embeddings.select(*keys, F.transform(w, lambda column: dot(F.col("embedding"), column)).alias("embedding"))
+    if bin_ is None:
+        return embeddings
+    return embeddings.withColumn("embedding", rotate(F.col("embedding"), phase_column(phases, bin_)))
+
+
 # training
 
 

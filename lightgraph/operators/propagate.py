@@ -108,3 +108,8 @@ def propagate(graph: Graph, sources: DataFrame, params: LightParams = LightParam
     if mode == "maxbin":
         every = every.groupBy("qid", "v", "bin").agg(F.max("x").alias("x"))
     return every.groupBy("qid", F.col("v").alias("node_id")).agg(F.sum("x").alias("intensity"))
+
+
+def total_by_node(states: DataFrame) -> DataFrame:
+    """(qid, node_id, intensity): states (qid, node_id, bin, x) summed over directions."""
+    return states.groupBy("qid", "node_id").agg(F.sum("x").alias("intensity"))

@@ -10,6 +10,7 @@ from ..functions.lookups import INTENT_BINS, INTENT_PHRASES, OTHER_INTENT, relat
 from ..params import BINS, LightParams, RagConfig, UserContext
 from ..session import materialize
 from .graph import Graph
+from .influence import top_k
 from .propagate import propagate, sources_of
 from .users import boost
 from .vectors import all_similarities, top_k_similar
@@ -21,6 +22,10 @@ def classify(text: str) -> str:
     return next((name for name, phrases in INTENT_PHRASES.items() if any(p in low for p in phrases)), OTHER_INTENT)
 
 
+# Kinds of search that a tool may ask for, and the intent whose directions they take.
+SEARCH_KINDS = {"definition": "Definition", "causal": "Causation", "similarity": "Similarity", "requirements": "Requirements", "composition": "Composition", "general": "Association"}
+
+
 def _params(config: RagConfig, most: int | None = None) -> LightParams:
     hops = config.max_hops if most is None else min(config.max_hops, most)
     return LightParams(config.sharpness, config.min_relevance, hops, BINS)
@@ -64,9 +69,9 @@ def _with_paths(graph: Graph, scored: DataFrame, starts: list[int], config: RagC
     return scored.join(paths, "node_id", "left").withColumn("reasoning_path", F.coalesce("path", F.array().cast("array<long>"))).drop("path").orderBy(strongest_first(F.col("score")), "node_id")
 
 
-def query(graph: Graph, stored: DataFrame, text: str, embedding: list[float], user: UserContext | None = None, config: RagConfig = RagConfig(), pvs: DataFrame | None = None) -> DataFrame:
-    """Intent chooses directions, vectors choose sources, light from all of them mixes with similarity."""
-    name = classify(text)
+def query(graph: Graph, stored: DataFrame, text: str, embedding: list[float], user: UserContext | None = None, config: RagConfig = RagConfig(), pvs: DataFrame | None = None, name: str | None = None) -> DataFrame:
+    """Intent (the text's, unless one is given) chooses directions, vectors choose sources, light from all of them mixes with similarity."""
+    name = name or classify(text)
     bins = related_bins_of(name) if config.use_related_bins else [INTENT_BINS[name]]
     near = top_k_similar(stored, embedding, config.num_sources).collect()  # num_sources rows
     if not near:
@@ -76,6 +81,18 @@ def query(graph: Graph, stored: DataFrame, text: str, embedding: list[float], us
     return _with_paths(graph, hybrid_scores(graph, lit, all_similarities(stored, embedding), user, config), [r.node_id for r in near], config)
 
 
+def search(graph: Graph, stored: DataFrame, text: str, embedding: list[float], kind: str | None = None, max_hops: int = 3, top_k: int = 10, user: UserContext | None = None) -> DataFrame:
+    """The search tool: query() with a kind of search instead of the text's own intent, and its paths."""
+    config = RagConfig(top_k=top_k, max_hops=max(1, min(5, max_hops)), include_paths=True)
+    return query(graph, stored, text, embedding, user, config, name=SEARCH_KINDS[kind] if kind else None)
+
+
+def plain_query(graph: Graph, text: str, k: int) -> DataFrame:
+    """The legacy engine: the k strongest from node 0 in direction 0 for a text that speaks of a start, else nothing."""
+    found = any(w in text.lower() for w in ("start", "beginning"))
+    return top_k(graph, 0, 0, k if found else 0)
+
+
 def query_from_sources(graph: Graph, sources: list[int], bin_: int, stored: DataFrame | None = None, embedding: list[float] | None = None, user: UserContext | None = None, config: RagConfig = RagConfig(), pvs: DataFrame | None = None) -> DataFrame:
     """Given sources and one direction, unweighted; without a query vector the vector term is 0."""
     lit = combined(graph, sources_of(graph.nodes.sparkSession, [(i, s, bin_) for i, s in enumerate(sources)]), _params(config), pvs)

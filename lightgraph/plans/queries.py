@@ -14,6 +14,7 @@ from ..functions import columns as fn
 from ..functions import lookups as lk
 from ..operators import influence, kge, rag, rooms, text, triples, users, vectors
 from ..operators.graph import Graph, GraphBuilder
+from ..operators.graph import document_nodes as graph_nodes
 from ..operators.propagate import propagate, sources_of
 from ..params import LightParams, RagConfig, UserContext
 from ..session import prepare, table
@@ -404,6 +405,17 @@ def directional_luminance(spark, d):
     return n.select("node_id", "dir_lum", fn.effective_luminance(F.col("prop"), F.col("dir_lum"), F.col("luminance")).alias("effective"))
 
 
+@query("SELECT i::BIGINT AS bin, list_transform(range(16), lambda b: CASE WHEN b = i THEN 2.0::DOUBLE ELSE 0.1::DOUBLE END) AS dir_lum FROM range(16) t(i)")
+def primary_luminance(spark, d):
+    return spark.range(16).select(F.col("id").alias("bin"), fn.primary_luminance(F.col("id"), F.lit(2.0), F.lit(0.1)).alias("dir_lum"))
+
+
+@query(f"SELECT vec_id AS node_id, {r6('1 + octet_length(encode(text)) / 1000.0', 'luminance')}, 0.9::DOUBLE AS reflection, greatest(0, least(255, trunc(embedding[1]::DOUBLE * 8 + 8)))::INTEGER % 16 AS default_bin FROM embeddings JOIN documents ON doc_id = vec_id")
+def document_nodes(spark, d):
+    e = table(spark, d, "embeddings").join(table(spark, d, "documents"), F.col("doc_id") == F.col("vec_id"))
+    return graph_nodes(e.select(F.col("vec_id").alias("node_id"), "text", "embedding")).select("node_id", "luminance", "reflection", "default_bin")
+
+
 # vectors
 
 
@@ -539,6 +551,11 @@ def rag_feed(spark, d):
     return rag.feed(graphs.vector_graph(spark, d)[0], READER)
 
 
+@query(f"WITH {sql.vectors()}, {sql.light(sql.values([(0, 0, 0)], 'qid, node_id, bin'))} SELECT node_id, {r6('intensity', 'intensity')}, {r6(dist('intensity'), 'distance')} FROM lit WHERE intensity > 1e-3 ORDER BY round(lit.intensity, 9) DESC, node_id LIMIT 8")
+def plain_query(spark, d):
+    return rag.plain_query(graphs.vector_graph(spark, d)[0], "Where is the beginning?", 8)
+
+
 WALK = (
     "w AS (SELECT {start}::BIGINT AS node_id, [{start}::BIGINT] AS path, []::INTEGER[] AS seq, 0 AS hops UNION ALL SELECT e.dst, list_append(path, e.dst), list_append(seq, e.pos), hops + 1 FROM w JOIN edges e ON e.src = w.node_id WHERE hops < {depth} AND NOT list_contains(path, e.dst){more}), "
     "best AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY hops, seq) AS k FROM w)"
@@ -841,6 +858,15 @@ def mnr_loss(spark, d):
     return kge.in_batch_loss(batch)
 
 
+@query(
+    f"WITH {P_SQL}, r AS (SELECT vec_id, (embedding::DOUBLE[]) AS h, phi FROM embeddings JOIN p ON b = label) SELECT vec_id AS node_id, list_transform({ROT}, lambda x: round(x, 6) + 0.0) AS embedding FROM r"
+)
+def rotated_vectors(spark, d):
+    """Every vector as a text's, rotated by its label's direction."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("node_id"), "label", "embedding")
+    return kge.rotated_texts(e, PHASES, F.col("label")).select("node_id", "embedding")
+
+
 @query()
 def hashed_sentences(spark, d):
     return kge.hashed_sentences(documents(spark, d), 64)
