@@ -86,11 +86,11 @@ LOOK_ALIKES = (
 )
 PLAIN = {c: to for to, every in LOOK_ALIKES for c in every} | {chr(0xFF00 + c - 0x20): chr(c) for c in range(0x21, 0x7F)}
 ODD = re.compile("[" + re.escape("".join(PLAIN)) + "]|[^\x00-\x7f0-9\\W_a-zA-Z]")
-# Words of digits, in the order of the digits; the last two stand for a plus sign and a dot.
+# Words of digits, in the order of the digits; the last three stand for a plus sign, a dot and a dash.
 DIGIT_WORDS = (
     ("0", "zero oh null cero zéro"), ("1", "one eins uno un"), ("2", "two zwei zwo dos deux"), ("3", "three drei tres trois"), ("4", "four vier cuatro quatre"),
     ("5", "five fünf cinco cinq"), ("6", "six sechs seis"), ("7", "seven sieben siete sept"), ("8", "eight acht ocho huit"), ("9", "nine neun nueve neuf"),
-    ("+", "plus"), (".", "dot point punkt punto"),
+    ("+", "plus"), (".", "dot point punkt punto"), ("-", "dash hyphen minus"),
 )
 SPOKEN = {w: d for d, words in DIGIT_WORDS for w in words.split()}
 #: Digits that a spoken run has at least, and those among them that are words.
@@ -101,7 +101,7 @@ SPOKEN_PART = re.compile(rf"(?:{_word})|[0-9]+", re.I)
 # Words for the at sign and the dot.
 _at, _dot = "at|@|arroba|arobase|klammeraffe", "dot|\\.|punkt|punto|point"
 BRACKETED = re.compile(rf"[ \t]{{0,3}}[\[({{<][ \t]{{0,3}}(?:(?P<at>{_at})|(?P<dot>{_dot}))[ \t]{{0,3}}[\])}}>][ \t]{{0,3}}", re.I)
-WORDED = re.compile(rf"(?<=[A-Za-z0-9_%+-])(?P<at>[ \t]{{1,3}}(?:{_at})[ \t]{{1,3}})(?P<rest>[A-Za-z0-9-]{{1,63}}(?:[ \t]{{1,3}}(?:{_dot})[ \t]{{1,3}}[A-Za-z0-9-]{{1,63}}){{1,4}})(?![^\W_])", re.I)
+WORDED = re.compile(rf"(?<=[A-Za-z0-9_%+-])(?P<at>[ \t]{{1,3}}(?:{_at})[ \t]{{1,3}}|@)(?P<rest>[A-Za-z0-9-]{{1,63}}(?:[ \t]{{1,3}}(?:{_dot})[ \t]{{1,3}}[A-Za-z0-9-]{{1,63}}){{1,4}})(?![^\W_])", re.I)
 WORDED_DOT = re.compile(rf"[ \t]{{1,3}}(?:{_dot})[ \t]{{1,3}}", re.I)
 
 
@@ -164,9 +164,9 @@ def _spoken(text: str, words: list[bytes]) -> list[tuple[int, int, str]]:
     edits = []
     for run in SPOKEN_RUN.finditer(text):
         parts = [(m.start(), m.end(), SPOKEN.get(m[0].lower(), m[0])) for m in SPOKEN_PART.finditer(text, run.start(), run.end())]
-        while parts and parts[-1][2] in ".+":
+        while parts and parts[-1][2] in ".+-":
             parts.pop()
-        while parts and parts[0][2] == ".":
+        while parts and parts[0][2] in ".-":
             parts.pop(0)
         digits = sum(len(p[2]) for p in parts if p[2].isdigit())
         words = sum(text[p[0]].isalpha() and p[2].isdigit() for p in parts)
@@ -176,7 +176,7 @@ def _spoken(text: str, words: list[bytes]) -> list[tuple[int, int, str]]:
                     between = text[parts[n - 1][1] : a]
                     edits.append((parts[n - 1][1], a, "." if "." in between and new.isdigit() and parts[n - 1][2].isdigit() else ""))
                 if text[a:b] != new:
-                    edits.append((a, b, new))
+                    edits.append((a, b, new.replace("-", "")))  # a spoken dash only parts digits
     return edits
 
 
@@ -185,7 +185,7 @@ def _worded(text: str, words: list[bytes]) -> list[tuple[int, int, str]]:
     if any(c in text for c in "[({<"):
         edits += [(m.start(), m.end(), "@" if m["at"] else ".") for m in BRACKETED.finditer(text)]
     found = set(words)
-    if not AT_BYTES.isdisjoint(found) and (not DOT_BYTES.isdisjoint(found) or " . " in text):
+    if ("@" in text or not AT_BYTES.isdisjoint(found)) and (not DOT_BYTES.isdisjoint(found) or " . " in text):
         for m in WORDED.finditer(text):
             edits.append((m.start("at"), m.end("at"), "@"))
             edits += [(d.start(), d.end(), ".") for d in WORDED_DOT.finditer(text, m.start("rest"), m.end("rest"))]

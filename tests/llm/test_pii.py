@@ -45,6 +45,7 @@ def test_query(spark, sf):
     ("us​er@example.com", "email", "us​er@example.com"), ("call plus four nine one five one two three four five six seven now", "phone", "plus four nine one five one two three four five six seven"),
     ("card " + "four " + "one " * 15, "card", "four " + "one " * 14 + "one"), ("ip one nine two dot one six eight dot one dot two five four", "ip", "one nine two dot one six eight dot one dot two five four"),
     ("١٩٢.١٦٨.٠.١", "ip", "١٩٢.١٦٨.٠.١"), ("4111​1111 1111 1111", "card", "4111​1111 1111 1111"), ("x at y dot z dot de", "email", "x at y dot z dot de"),
+    ("joe@mail dot example dot org", "email", "joe@mail dot example dot org"), ("+49 one five one dash two three four five six", "phone", "+49 one five one dash two three four five six"),
 ])
 def test_disguises(text, kind, span):
     plain, more = pii.spans(text)
