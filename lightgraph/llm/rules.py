@@ -140,7 +140,8 @@ def fences(sketch: DataFrame) -> DataFrame:
     """A row for each (lang, source) with low_<measure> and high_<measure>."""
     groups = sketch.select("lang", "source").distinct()
     levels = [quartiles(sketch, ["lang", "source"]), quartiles(sketch, ["lang"]), quartiles(sketch, [])]
-    own = groups.crossJoin(F.broadcast(sketch.sparkSession.createDataFrame([(m, float(r), m in TWO_SIDED) for m, r in LEAST_RANGE.items()], "measure string, least double, both boolean")))
+    measures = F.array(*(F.struct(F.lit(m).alias("measure"), F.lit(float(r)).alias("least"), F.lit(m in TWO_SIDED).alias("both")) for m, r in LEAST_RANGE.items()))
+    own = groups.select("lang", "source", F.explode(measures).alias("m")).select("lang", "source", "m.*")
     for i, (level, keys) in enumerate(zip(levels, (["lang", "source"], ["lang"], []), strict=True)):
         named = level.select(*(F.col(k).alias(f"{k}_{i}") for k in keys), F.col("measure").alias(f"measure_{i}"), F.struct("b1", "b3", "total").alias(f"q_{i}"))
         on = F.col("measure") == F.col(f"measure_{i}")
