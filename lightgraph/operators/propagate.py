@@ -70,6 +70,8 @@ def propagate(graph: Graph, sources: DataFrame, params: LightParams = LightParam
         raise PropagationError("bins must be 1 or more and max_depth 0 or more")
     pvs = pvs if mode == "ordered" else None
     edges = arcs(graph, mode == "ordered", pvs)
+    if params.max_depth > 1:  # every depth reads them, so their joins and numbering run once
+        edges = materialize(edges, "light-arcs")
     frontier = materialize(seeds(graph, sources, params, mode), "light-0")
     levels = [frontier.select("qid", F.col("u").alias("v"), "bin", "x")]
     for depth in range(1, params.max_depth + 1):
