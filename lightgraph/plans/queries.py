@@ -58,7 +58,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def r6(x: str, name: str) -> str:
-    return f"round({x}, 6) + 0.0 AS {name}"
+    return f"(round(({x})::DOUBLE, 6) + 0.0)::DOUBLE AS {name}"
 
 
 DIST = "CASE WHEN {x} + {eps} > 0 THEN -ln({x} + {eps}) ELSE 'inf'::DOUBLE END"
@@ -366,7 +366,7 @@ def built(spark: SparkSession, d: str) -> Graph:
     return GraphBuilder(spark).add_nodes(table(spark, d, "nation"), "n_nationkey", "nation", 2.0).add_edges(c, "c_custkey", "c_nationkey", "customer", "nation", "belongs_to", bidirectional=True).build()
 
 
-@query(BUILT + "SELECT node_id, label, node_type, CASE WHEN node_type = 'nation' THEN 2.0 ELSE 1.0 END AS luminance FROM v")
+@query(BUILT + "SELECT node_id, label, node_type, CASE WHEN node_type = 'nation' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS luminance FROM v")
 def builder_nodes(spark, d):
     return built(spark, d).nodes.select("node_id", "label", "node_type", "luminance")
 
