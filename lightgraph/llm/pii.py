@@ -96,12 +96,15 @@ SPOKEN = {w: d for d, words in DIGIT_WORDS for w in words.split()}
 #: Digits that a spoken run has at least, and those among them that are words.
 LEAST_SPOKEN, LEAST_WORDS = 7, 4
 _word = "|".join(sorted(SPOKEN, key=len, reverse=True))
-SPOKEN_RUN = re.compile(rf"(?<![^\W_])(?:{_word}|[0-9]+)(?:[ ,./-]{{1,3}}(?:{_word}|[0-9]+)(?![^\W_]))++", re.I)
+SPOKEN_RUN = re.compile(rf"(?<![^\W_])(?:{_word}|[0-9]+)(?:[ ,./()-]{{1,3}}(?:{_word}|[0-9]+)(?![^\W_]))++", re.I)
 SPOKEN_PART = re.compile(rf"(?:{_word})|[0-9]+", re.I)
 # Words for the at sign and the dot.
 _at, _dot = "at|@|arroba|arobase|klammeraffe", "dot|\\.|punkt|punto|point"
 BRACKETED = re.compile(rf"[ \t]{{0,3}}[\[({{<][ \t]{{0,3}}(?:(?P<at>{_at})|(?P<dot>{_dot}))[ \t]{{0,3}}[\])}}>][ \t]{{0,3}}", re.I)
-WORDED = re.compile(rf"(?<=[A-Za-z0-9_%+-])(?P<at>[ \t]{{1,3}}(?:{_at})[ \t]{{1,3}}|@)(?P<rest>[A-Za-z0-9-]{{1,63}}(?:[ \t]{{1,3}}(?:{_dot})[ \t]{{1,3}}[A-Za-z0-9-]{{1,63}}){{1,4}})(?![^\W_])", re.I)
+_gap = "[ \\t]{1,3}"
+WORDED = re.compile(rf"(?P<local>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?:{_gap}(?:{_dot}){_gap}[A-Za-z0-9._%+-]{{1,64}}){{0,3}})(?P<at>{_gap}(?:{_at}){_gap}|@)(?P<rest>[A-Za-z0-9-]{{1,63}}(?:{_gap}(?:{_dot}){_gap}[A-Za-z0-9-]{{1,63}}){{1,4}})(?![^\W_])", re.I)
+NUMBERS = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_gap}(?:{_dot}){_gap}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
+PLUS = re.compile(r"(?<![^\W_])plus[ \t]{1,2}(?=[0-9][ ().0-9-]{7})", re.I)
 WORDED_DOT = re.compile(rf"[ \t]{{1,3}}(?:{_dot})[ \t]{{1,3}}", re.I)
 
 
@@ -188,7 +191,11 @@ def _worded(text: str, words: list[bytes]) -> list[tuple[int, int, str]]:
     if ("@" in text or not AT_BYTES.isdisjoint(found)) and (not DOT_BYTES.isdisjoint(found) or " . " in text):
         for m in WORDED.finditer(text):
             edits.append((m.start("at"), m.end("at"), "@"))
-            edits += [(d.start(), d.end(), ".") for d in WORDED_DOT.finditer(text, m.start("rest"), m.end("rest"))]
+            edits += [(d.start(), d.end(), ".") for part in ("local", "rest") for d in WORDED_DOT.finditer(text, m.start(part), m.end(part))]
+    if not DOT_BYTES.isdisjoint(found):
+        edits += [(d.start(), d.end(), ".") for m in NUMBERS.finditer(text) for d in WORDED_DOT.finditer(text, m.start(), m.end())]
+    if b"plus" in found:
+        edits += [(m.start(), m.end(), "+") for m in PLUS.finditer(text)]
     out: list[tuple[int, int, str]] = []
     for e in sorted(edits):
         if not out or e[0] >= out[-1][1]:
