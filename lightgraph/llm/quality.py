@@ -21,6 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import filter_batches, held_out, map_batches
 
 #: Bytes a block; a dictionary then counts alike at the start and the end of a long text.
@@ -104,7 +105,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_blocks
     ordered = [known.where((F.col("y") == y) & share(y)).orderBy(F.xxhash64(F.col("doc_id"), F.lit(17)), "doc_id").limit(rows) for y in (0, 1)]
     few = F.broadcast(ordered[0].unionByName(ordered[1]))  # 2 * rows ids at most
     seen = docs.select("doc_id", "text").join(few, "doc_id").withColumn("half", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(23)), F.lit(2)))
-    seen = seen.where("text is not null and text <> ''")
+    # 2 * rows documents at most, written so that the passes below don't read the whole table again
+    seen = materialize(seen.where("text is not null and text <> ''").select("text", "y", "half"), "quality-sample")
 
     def cut():
         def run(batch):
