@@ -2,13 +2,16 @@
 
 Words are counted over every training text. The most frequent ones are put into classes by
 exchange clustering: each word in turn moves to the class that raises the likelihood of the class
-bigrams most. All other words, seen or not, belong to a class of their shape (length and kinds
-of characters), so any word has a class. A text's probability is the product of class
-transitions, smoothed towards the classes' shares, and of words within classes, one added.
+bigrams most. Then every other training word, whatever its count, moves from the class of its
+shape (length and kinds of characters) to the class that raises that likelihood most, or stays
+there where none does; the counts of its neighbours' classes are gathered by word. Words without
+training counts have the class of their shape, so any word has a class. A text's probability is
+the product of class transitions, counted anew over all classes and smoothed towards the classes'
+shares, and of words within classes, one added.
 
-Counts of the HEAD most frequent words travel to the tasks, which bounds that table; counts of
-all other words are joined in, by word, to the few rows that need them. So no word is capped and
-no frequent word is shuffled row by row.
+Counts and classes of the HEAD most frequent words travel to the tasks, which bounds that table;
+those of all other words are joined in, by word, to the few rows that need them. So no word is
+capped and no frequent word is shuffled row by row.
 
 Defined cases: a null or empty text is its end token alone; a null doc_id is not held out; with no
 training text all counts are zero; repeated rows count and are scored one by one; an empty table
@@ -31,17 +34,22 @@ from .common import held_out, map_batches
 
 #: Words whose counts every task holds, and the bytes that such a word has at most.
 HEAD, HEAD_BYTES = 200_000, 48
-#: Words that are clustered, and their classes.
+#: Words that are exchanged in turn, and the classes that all training words may go to.
 CLUSTERED, CLASSES, SWEEPS = 1024, 48, 6
 #: Classes by shape: four lengths times four kinds of characters; then the class of the end token.
 SHAPES = 16
 END_TYPE = CLUSTERED + SHAPES
 TYPES = END_TYPE + 1
 END_CLASS = CLASSES + SHAPES
+#: Neighbours of a word: the classes, and the word itself.
+NEIGHBOURS = END_CLASS + 2
+CONTEXT = np.dtype([("at", "u1"), ("n", "<u4")])
 #: Weight of the classes' shares in the smoothed transitions.
 SMOOTHING = 20.0
 #: Distinct words a task holds before it hands on its counts.
 FLUSH = 300_000
+#: Neighbours a task holds before it hands on their counts.
+HELD = 4_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -195,11 +203,217 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
     return own
 
 
+class Numbers(dict):
+    """Words by their number, in the order in which they came."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def count_contexts(docs: DataFrame, clustered: list[bytes], own: np.ndarray) -> DataFrame:
+    """(word, contexts) of each word that is not clustered: a binary of CONTEXT records a task, counts of NEIGHBOURS that follow and then of those
+    that precede."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {w: n for n, w in enumerate(clustered)}
+        least = len(clustered)
+
+        def out(numbers: Numbers, keys: list):
+            key, n = np.unique(np.concatenate(keys), return_counts=True)
+            word, first = np.unique(key // (2 * NEIGHBOURS), return_index=True)
+            data = np.empty(len(key), CONTEXT)
+            data["at"], data["n"] = key % (2 * NEIGHBOURS), n
+            every, ends = list(numbers), np.append(first, len(key))
+            for s in range(0, len(word), 20_000):
+                part = word[s : s + 20_000]
+                offsets = ends[s : s + len(part) + 1]
+                held = data[offsets[0] : offsets[-1]].tobytes()
+                at = ((offsets - offsets[0]) * CONTEXT.itemsize).astype(np.int32)
+                contexts = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(held)])
+                yield pa.RecordBatch.from_arrays([pa.array([every[i] for i in part.tolist()], pa.binary()), contexts], names=["word", "contexts"])
+
+        numbers, classes, keys, size = Numbers(known), own[:least].tolist(), [], 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = words_of(text)
+                if not words:
+                    continue
+                ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+                if len(numbers) > len(classes):
+                    new = len(numbers) - len(classes)
+                    classes += [CLASSES + shape(w) for w in reversed([w for w, _ in zip(reversed(numbers), range(new), strict=False)])]
+                c = np.concatenate([[END_CLASS], np.fromiter(map(classes.__getitem__, ids.tolist()), np.int64, len(ids)), [END_CLASS]])
+                same = np.concatenate([[False], ids[1:] == ids[:-1], [False]])
+                rest = np.flatnonzero(ids >= least)
+                after = np.where(same[rest + 1], END_CLASS + 1, c[rest + 2])
+                before = np.where(same[rest], END_CLASS + 1, c[rest])
+                keys += [ids[rest] * (2 * NEIGHBOURS) + after, ids[rest] * (2 * NEIGHBOURS) + NEIGHBOURS + before]
+                size += 2 * len(rest)
+                if size >= HELD or len(numbers) >= FLUSH + least:
+                    yield from out(numbers, keys)
+                    numbers, classes, keys, size = Numbers(known), own[:least].tolist(), [], 0
+        if size:
+            yield from out(numbers, keys)
+
+    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word binary, contexts binary")
+    return parts.groupBy("word").agg(F.collect_list("contexts").alias("contexts"))
+
+
+def best_class(table: np.ndarray, own: np.ndarray, after: np.ndarray, before: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """For each word of the classes own (of shapes) that one to join, of the clustered classes and own, with which the class bigrams are likeliest.
+
+    table: class bigrams with each word in its own class; after, before: each word's neighbours by class, besides itself; same: itself.
+    """
+    k = CLASSES
+    t, rows, columns = table[:k, :k].diagonal(), table.sum(1), table.sum(0)
+    n, at = len(own), np.arange(len(own))
+    gain = np.zeros((n, k + 1))
+    stay = np.zeros(n)
+    for mine, other, to in ((after, before, table), (before, after, table.T)):
+        r, c = np.nonzero(mine)
+        x = mine[r, c][:, None]
+        held = to[:k, c].T.copy()
+        back = c == own[r]
+        held[back] -= other[r[back], :k]  # the word itself no longer stands in its own class
+        part = _g(held + x) - _g(held)
+        inner = np.flatnonzero(c < k)
+        part[inner, c[inner]] = 0  # within a class both ways count at once, below
+        which, first = np.unique(r, return_index=True)
+        if len(which):
+            gain[which, :k] += np.add.reduceat(part, first)
+        was = to[own[r], c]
+        np.add.at(stay, r, np.where(back, 0, _g(was) - _g(was - x[:, 0])))
+    both = after[:, :k] + before[:, :k] + same[:, None]
+    gain[:, :k] += _g(t + both) - _g(t)
+    d = table[own, own]
+    stay += _g(d) - _g(d - after[at, own] - before[at, own] - same)
+    for total, sums in ((after.sum(1) + same, rows), (before.sum(1) + same, columns)):
+        gain[:, :k] -= _g(sums[:k] + total[:, None]) - _g(sums[:k])
+        stay -= _g(sums[own]) - _g(sums[own] - total)
+    gain[:, k] = stay + 1e-9
+    best = gain.argmax(1)
+    return np.where(best == k, own, best)
+
+
+def cluster(train: DataFrame, head) -> DataFrame:
+    """(word, c, class) of all training words."""
+    bigrams = count_bigrams(train, head)
+    own = exchange(bigrams)
+    one = np.zeros((TYPES, END_CLASS + 1))
+    one[np.arange(TYPES), own] = 1
+    table = one.T @ bigrams @ one
+    clustered = head.value.words.split()[:CLUSTERED]
+
+    def make():
+        def run(batch):
+            words, lists = batch.column("word").to_pylist(), batch.column("contexts")
+            counts, classes = [], []
+            for s in range(0, len(words), 250):
+                part = lists.slice(s, 250).to_pylist()
+                row = np.repeat(np.arange(len(part)), [sum(map(len, p)) // CONTEXT.itemsize for p in part])
+                data = np.frombuffer(b"".join(b"".join(p) for p in part), CONTEXT)
+                seen = np.zeros((len(part), 2 * NEIGHBOURS))
+                np.add.at(seen, (row, data["at"]), data["n"])
+                after, before = seen[:, : END_CLASS + 1], seen[:, NEIGHBOURS : NEIGHBOURS + END_CLASS + 1]
+                same = seen[:, END_CLASS + 1]
+                shapes = np.array([CLASSES + shape(w) for w in words[s : s + 250]], np.int64)
+                classes += best_class(table, shapes, after, before, same).tolist()
+                counts += (after.sum(1) + same).astype(np.int64).tolist()
+            return [words, counts, classes]
+
+        return run
+
+    schema = "word binary, c long, class int"
+    rest = map_batches(count_contexts(train, clustered, own), make, schema)
+    first = train.sparkSession.createDataFrame([(bytearray(w), int(c), int(k)) for w, c, k in zip(clustered, head.value.counts.tolist(), own.tolist(), strict=False)], schema)
+    return materialize(rest.unionByName(first), "brown-classes")
+
+
+def head_classes(classed: DataFrame, head) -> np.ndarray:
+    """The class of each word of the head, in its order."""
+
+    def make():
+        get = head.value.index().get
+
+        def run(batch):
+            ids = [get(w, -1) for w in batch.column("word").to_pylist()]
+            there = [n for n, i in enumerate(ids) if i >= 0]
+            return [[ids[n] for n in there], batch.column("class").take(pa.array(there, pa.int64()))]
+
+        return run
+
+    got = map_batches(classed, make, "place int, class int").toArrow()
+    out = np.zeros(len(head.value.counts) + 1, np.uint8)  # the last: words outside the head
+    out[got.column("place").to_numpy()] = got.column("class").to_numpy()
+    return out
+
+
+def sequences(rows: DataFrame, classed: DataFrame, head) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known (of the words), counted (sum of log10(count + 1)) and the classes of each text's words, a byte each."""
+    classes = rows.sparkSession.sparkContext.broadcast(head_classes(classed, head))
+
+    def make():
+        own, class_of = head.value, classes.value
+        get = own.index().get
+        log_count = np.append(np.log10(own.counts + 1.0), 0.0)
+
+        def run(batch):
+            out: list[list] = [[] for _ in range(7)]
+            for text in batch.column("text").to_pylist():
+                words = words_of(text)
+                ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+                c = class_of[ids]
+                outside = np.flatnonzero(ids < 0)
+                numbers = Numbers()
+                which = [numbers[words[n]] for n in outside.tolist()]
+                c[outside] = [CLASSES + shape(words[n]) for n in outside.tolist()]
+                times = np.bincount(which, minlength=len(numbers)).tolist() if which else []
+                places = np.stack([outside, which], 1).astype(np.int32).tobytes() if which else b""
+                row = (len(words) + 1, int((ids >= 0).sum()), float(log_count[ids].sum()), c.tobytes(), list(numbers), times, places)
+                for to, v in zip(out, row, strict=True):
+                    to.append(v)
+            return [batch.column("doc_id"), batch.column("held_out"), *out]
+
+        return run
+
+    parts = map_batches(rows, make, "doc_id long, held_out boolean, n_tokens long, known long, counted double, classes binary, rare array<binary>, times array<long>, places binary")
+    parts = materialize(parts.withColumn("key", F.monotonically_increasing_id()), "brown-parts")
+    rare = parts.select("key", F.posexplode(F.arrays_zip("rare", "times")).alias("at", "r")).select("key", "at", F.col("r.rare").alias("word"), F.col("r.times").alias("n"))
+    found = rare.join(classed, "word").groupBy("key").agg(
+        F.sum("n").alias("rare_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("rare_counted"), F.collect_list("at").alias("ats"), F.collect_list("class").alias("found")
+    )
+
+    def fill():
+        def run(batch):
+            out = []
+            for c, places, ats, found in zip(*(batch.column(n).to_pylist() for n in ("classes", "places", "ats", "found")), strict=True):
+                if ats:
+                    c, p = np.frombuffer(c, np.uint8).copy(), np.frombuffer(places, np.int32).reshape(-1, 2)
+                    to = np.full(p[:, 1].max() + 1, 255, np.uint8)  # 255: without training counts, so of its shape
+                    to[ats] = found
+                    new = to[p[:, 1]]
+                    c[p[new < 255, 0]] = new[new < 255]
+                    c = c.tobytes()
+                out.append(c)
+            return [*(batch.column(n) for n in ("doc_id", "held_out", "n_tokens", "n_known", "counted")), out]
+
+        return run
+
+    joined = parts.drop("rare", "times").join(found, "key", "left")
+    joined = joined.withColumn("n_known", F.col("known") + F.coalesce("rare_known", F.lit(0))).withColumn("counted", F.col("counted") + F.coalesce("rare_counted", F.lit(0.0)))
+    joined = joined.select("doc_id", "held_out", "n_tokens", "n_known", "counted", "classes", "places", "ats", "found")
+    return materialize(map_batches(joined, fill, "doc_id long, held_out boolean, n_tokens long, n_known long, counted double, classes binary"), "brown-sequences")
+
+
+def between_ends(classes: bytes) -> np.ndarray:
+    return np.concatenate([[END_CLASS], np.frombuffer(classes, np.uint8), [END_CLASS]]).astype(np.int64)
+
+
 @dataclass
 class Model:
-    """class_of: by type; transition: log10 P(class | class); room: log10(tokens + words + 1) of each class."""
+    """transition: log10 P(class | class); room: log10(tokens + words + 1) of each class."""
 
-    class_of: np.ndarray
     transition: np.ndarray
     room: np.ndarray
     tokens: int
@@ -207,28 +421,36 @@ class Model:
     docs: int
 
 
-def fit(train: DataFrame, vocabulary: DataFrame, head, docs: int) -> Model:
-    bigrams = count_bigrams(train, head)
-    own = exchange(bigrams)
+def transitions(train: DataFrame, classed: DataFrame, docs: int) -> Model:
+    """From the sequences of the training texts."""
     size = END_CLASS + 1
-    one = np.zeros((TYPES, size))
-    one[np.arange(TYPES), own] = 1
-    table = one.T @ bigrams @ one
-    share = (table.sum(0) + 1) / (table.sum() + size)
-    transition = np.log10((table + SMOOTHING * share) / (table.sum(1, keepdims=True) + SMOOTHING))
-    clustered = np.array(head.value.words.split()[:CLUSTERED], object)
 
-    def make():
-        at = {w: n for n, w in enumerate(clustered.tolist())}
-        return lambda batch: [[at.get(w, -1) if w in at else CLUSTERED + shape(w) for w in batch.column("word").to_pylist()], batch.column("c")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size, np.int64)
+        for batch in batches:
+            for classes in batch.column(0).to_pylist():
+                c = between_ends(classes)
+                total += np.bincount(c[:-1] * size + c[1:], minlength=size * size)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["pair", "n"])
 
-    by_type = map_batches(vocabulary, make, "type int, c long").groupBy("type").agg(F.sum("c").alias("c"), F.count("*").alias("words")).collect()
+    table = np.zeros(size * size)
+    for r in train.select("classes").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # size squared rows at most
+        table[r.pair] = r.n
+    table = table.reshape(size, size)
+    share = (table.sum(0) + 1) / (table.sum() + size)
+    transition = np.log10((table + SMOOTHING * share) / (table.sum(1, keepdims=True) + SMOOTHING))
     tokens, distinct = np.zeros(size), np.zeros(size)
-    for r in by_type:
-        tokens[own[r.type]] += r.c
-        distinct[own[r.type]] += r.words
+    for r in classed.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("words")).collect():
+        tokens[r["class"]], distinct[r["class"]] = r.c, r.words
     tokens[END_CLASS], distinct[END_CLASS] = docs, min(docs, 1)
-    return Model(own, transition, np.log10(tokens + distinct + 1), int(tokens.sum()), int(distinct.sum()), docs)
+    return Model(transition, np.log10(tokens + distinct + 1), int(tokens.sum()), int(distinct.sum()), docs)
+
+
+def fit(train: DataFrame, vocabulary: DataFrame, head, docs: int) -> Model:
+    classed = cluster(train, head)
+    rows = train.select("doc_id", F.col("text").cast("string").alias("text"), F.lit(False).alias("held_out"))
+    return transitions(sequences(rows, classed, head), classed, docs)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -236,40 +458,27 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out("doc_id", 7, 2).alias("held_out"))
     train = rows.where("not held_out")
-    vocabulary = materialize(count_words(train), "brown-words")
     n_docs = train.select("held_out").count()
-    head = spark.sparkContext.broadcast(frequent(vocabulary))
-    model = spark.sparkContext.broadcast(fit(train, vocabulary, head, n_docs))
+    head = spark.sparkContext.broadcast(frequent(materialize(count_words(train), "brown-words")))
+    classed = cluster(train, head)
+    scored = sequences(rows, classed, head)
+    m = transitions(scored.where("not held_out"), classed, n_docs)
+    transition, room = m.transition, m.room
 
     def make():
-        own, m = head.value, model.value
-        get = own.index().get
-        log_count = np.append(np.log10(own.counts + 1.0), 0.0)  # the last: words outside the head
-
         def run(batch):
-            out: list[list] = [[] for _ in range(7)]
-            for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-                classes = m.class_of[np.concatenate([[END_TYPE], own.types(words, ids), [END_TYPE]])]
-                fixed = float(m.transition[classes[:-1], classes[1:]].sum() - m.room[classes[1:]].sum())
-                counted = float(log_count[ids].sum() + np.log10(m.docs + 1.0))
-                rare = Counter(words[n] for n in np.flatnonzero(ids < 0).tolist())
-                row = (len(words) + 1, int((ids >= 0).sum()) + (m.docs > 0), counted, fixed, list(rare), list(rare.values()))
-                for to, v in zip(out, row, strict=False):
-                    to.append(v)
-            return [batch.column("doc_id"), batch.column("held_out"), *out[:6]]
+            fixed = []
+            for classes in batch.column("classes").to_pylist():
+                c = between_ends(classes)
+                fixed.append(float(transition[c[:-1], c[1:]].sum() - room[c[1:]].sum()))
+            return [*(batch.column(n) for n in ("doc_id", "held_out", "n_tokens", "n_known", "counted")), fixed]
 
         return run
 
-    scored = map_batches(rows, make, "doc_id long, held_out boolean, n_tokens long, known long, counted double, fixed double, rare array<binary>, times array<long>")
-    scored = materialize(scored.withColumn("key", F.monotonically_increasing_id()), "brown-scored")
-    rare = scored.select("key", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("key", F.col("r.rare").alias("word"), F.col("r.times").alias("n"))
-    found = rare.join(vocabulary, "word").groupBy("key").agg(F.sum("n").alias("rare_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("rare_counted"))
-    counted = F.col("counted") + F.coalesce("rare_counted", F.lit(0.0))
-    m = model.value
+    scored = map_batches(scored, make, "doc_id long, held_out boolean, n_tokens long, n_known long, counted double, fixed double")
+    counted = F.col("counted") + float(np.log10(m.docs + 1.0))
     score_ = counted + F.col("fixed")
-    return scored.drop("rare", "times").join(found, "key", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(m.tokens).cast("long").alias("train_tokens"),
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + int(m.docs > 0)).alias("n_known"), F.lit(m.tokens).cast("long").alias("train_tokens"),
         (counted - F.col("n_tokens") * float(np.log10(m.tokens + m.words + 1))).alias("base_score"), score_.alias("score"), F.pow(F.lit(10.0), -score_ / F.col("n_tokens")).alias("perplexity"),
     )

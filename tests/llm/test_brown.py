@@ -96,3 +96,49 @@ def test_nothing_to_learn(spark):
     held = [i for i in range(60) if fold(i, 7) == 2][:3]
     rows = brown.score(spark.createDataFrame([(i, "some words") for i in held], "doc_id long, text string")).collect()
     assert all((r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0) for r in rows)
+
+
+def test_words_join_the_class_that_gains_most():
+    """Against moving each word and counting the likelihood anew."""
+    rng = np.random.default_rng(8)
+    size, words = brown.END_CLASS + 1, 40
+    own = brown.CLASSES + rng.integers(0, brown.SHAPES, words)
+    kind = np.concatenate([np.arange(size), own])  # the first are words whose class is fixed
+    n = rng.poisson(rng.gamma(0.3, 3, (len(kind), len(kind)))) * (rng.random((len(kind), len(kind))) < 0.3)
+    g = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+
+    def table(classes):
+        one = np.eye(size)[classes]
+        return one.T @ n @ one
+
+    def likelihood(t):
+        return g(t) - g(t.sum(0)) - g(t.sum(1))
+
+    one = np.eye(size)[kind]
+    alone = n - np.diag(np.diag(n))
+    got = brown.best_class(table(kind), own, (alone @ one)[size:], (alone.T @ one)[size:], np.diag(n)[size:].astype(float))
+    for w in range(words):
+        each = {}
+        for k in [*range(brown.CLASSES), own[w]]:
+            moved = kind.copy()
+            moved[size + w] = k
+            each[k] = likelihood(table(moved))
+        assert each[got[w]] == pytest.approx(max(each.values()), abs=1e-6)
+
+
+def test_words_beyond_the_clustered_ones_have_learned_classes(spark):
+    """Rare words that stand where frequent ones of a class do go to that class, whatever their shape; none is left out."""
+    rng = np.random.default_rng(9)
+    nouns, verbs = [f"noun{n}" for n in range(520)], [f"verb{n}" for n in range(520)]
+    texts = [" ".join(f"{nouns[a]} {verbs[b]}" for a, b in rng.integers(0, 520, (40, 2))) for _ in range(400)]
+    rare = {f"x{'y' * (n % 9)}{n}": n % 2 for n in range(60)}
+    texts += [" ".join(f"{w if not side else nouns[a]} {verbs[b] if not side else w}" for a, b in rng.integers(0, 520, (12, 2))) for w, side in rare.items()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    head = spark.sparkContext.broadcast(brown.frequent(brown.count_words(docs)))
+    classed = {bytes(r.word).decode(): (r.c, r["class"]) for r in brown.cluster(docs, head).collect()}
+    count = Counter(w for t in texts for w in t.split())
+    assert {w: c for w, (c, _) in classed.items()} == count
+    frequent = {w.decode() for w in head.value.words.split()[: brown.CLUSTERED]}
+    sides = [{classed[w][1] for w in every if w in frequent} for every in (nouns, verbs)]
+    right = sum(classed[w][1] in sides[side] - sides[1 - side] for w, side in rare.items())
+    assert len(set(rare) - frequent) == 60 and right > 40
