@@ -252,6 +252,11 @@ def portals(spark, d):
     return rooms.portals(graphs.star_graph(spark, d)).where(F.col("src") < 2 * graphs.SPAN)
 
 
+@query(f"WITH {STAR} SELECT src, dst, pos FROM edges JOIN nodes a ON a.node_id = src JOIN nodes b ON b.node_id = dst WHERE a.room <> b.room")
+def portals_all(spark, d):
+    return rooms.portals(graphs.star_graph(spark, d))
+
+
 @query(f"WITH {NATION} SELECT a.room = b.room AS inside, count(*) AS n FROM edges JOIN nodes a ON a.node_id = src JOIN nodes b ON b.node_id = dst GROUP BY 1")
 def portal_marks(spark, d):
     return rooms.mark_portals(graphs.nation_graph(spark, d)).edges.groupBy((~F.col("is_portal")).alias("inside")).agg(F.count("*").alias("n"))
@@ -271,6 +276,11 @@ def edge_lookup(spark, d):
     return graphs.star_graph(spark, d).first_edges().where(F.col("src") >= 3 * graphs.SPAN).select("src", "dst", "pos")
 
 
+@query(f"WITH {STAR} SELECT src, dst, min(pos) AS pos FROM edges GROUP BY src, dst")
+def edge_lookup_all(spark, d):
+    return graphs.star_graph(spark, d).first_edges().select("src", "dst", "pos")
+
+
 @query(f"WITH {STAR} SELECT dst, pos, attenuation, bin FROM edges WHERE src = {graphs.SPAN + 7}")
 def neighbors(spark, d):
     return graphs.star_graph(spark, d).neighbors(graphs.SPAN + 7).select("dst", "pos", "attenuation", "bin")
@@ -310,11 +320,21 @@ def remove_edge(spark, d):
     return graphs.star_graph(spark, d).without_edge(0, graphs.SPAN + 5).edges.where(F.col("src") < 2 * graphs.SPAN).select("src", "dst", "pos")
 
 
+@query(f"WITH {STAR} SELECT src, dst, pos FROM edges WHERE NOT (src = 0 AND pos = (SELECT min(pos) FROM edges WHERE src = 0 AND dst = {graphs.SPAN + 5}))")
+def remove_edge_all(spark, d):
+    return graphs.star_graph(spark, d).without_edge(0, graphs.SPAN + 5).edges.select("src", "dst", "pos")
+
+
 @query(f"WITH {STAR} SELECT src, count(*) AS n FROM edges WHERE src <> {graphs.SPAN + 5} AND dst <> {graphs.SPAN + 5} AND src < {2 * graphs.SPAN} GROUP BY 1")
 def isolate_node(spark, d):
     return graphs.star_graph(spark, d).isolate(graphs.SPAN + 5).edges.where(F.col("src") < 2 * graphs.SPAN).groupBy("src").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {STAR} SELECT src, count(*) AS n FROM edges WHERE src <> {graphs.SPAN + 5} AND dst <> {graphs.SPAN + 5} GROUP BY 1")
+def isolate_node_all(spark, d):
+    return graphs.star_graph(spark, d).isolate(graphs.SPAN + 5).edges.groupBy("src").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {STAR} SELECT src, dst, pos, attenuation, bin FROM edges WHERE src = 0 UNION ALL SELECT 0, 3, (SELECT max(pos) + 1 FROM edges WHERE src = 0), 0.25, 12")
 def append_edge(spark, d):
     return graphs.star_graph(spark, d).with_edge(0, 3, 0.25, 12).neighbors(0).select("src", "dst", "pos", "attenuation", "bin")
@@ -331,6 +351,12 @@ def update_nodes(spark, d):
     return graphs.star_graph(spark, d).with_nodes(over).nodes.where(F.col("node_id") < 2 * graphs.SPAN).select("node_id", "luminance", "room")
 
 
+@query(f"WITH {STAR} SELECT node_id, CASE WHEN node_type = 'region' THEN 3.0 ELSE luminance END AS luminance, CASE WHEN node_type = 'region' THEN 9 ELSE room END AS room FROM nodes")
+def update_nodes_all(spark, d):
+    over = table(spark, d, "region").select(graphs.node_of(0, "r_regionkey").alias("node_id"), F.lit(3.0).alias("luminance"), F.lit(9).alias("room"))
+    return graphs.star_graph(spark, d).with_nodes(over).nodes.select("node_id", "luminance", "room")
+
+
 @query("WITH e AS (SELECT n_regionkey AS a, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS pos, n_nationkey AS b FROM nation) SELECT a::BIGINT AS src, (100 + b)::BIGINT AS dst, pos::INTEGER AS pos, 6 AS bin FROM e")
 def graph_from_adjacency(spark, d):
     n = table(spark, d, "nation")
@@ -405,6 +431,11 @@ def directional_luminance(spark, d):
     return n.select("node_id", "dir_lum", fn.effective_luminance(F.col("prop"), F.col("dir_lum"), F.col("luminance")).alias("effective"))
 
 
+@query(f"WITH {GATED} SELECT node_id, list_transform(dir_lum, lambda x: round(x, 6) + 0.0) AS dir_lum, {r6('list_max(dir_lum)', 'effective')} FROM nodes")
+def directional_luminance_all(spark, d):
+    return graphs.nation_graph(spark, d).nodes.select("node_id", "dir_lum", fn.effective_luminance(F.col("prop"), F.col("dir_lum"), F.col("luminance")).alias("effective"))
+
+
 @query("SELECT i::BIGINT AS bin, list_transform(range(16), lambda b: CASE WHEN b = i THEN 2.0::DOUBLE ELSE 0.1::DOUBLE END) AS dir_lum FROM range(16) t(i)")
 def primary_luminance(spark, d):
     return spark.range(16).select(F.col("id").alias("bin"), fn.primary_luminance(F.col("id"), F.lit(2.0), F.lit(0.1)).alias("dir_lum"))
@@ -642,6 +673,11 @@ def modulated_luminance(spark, d):
     return n.select("node_id", users.modulated(F.col("dir_lum"), F.array(*(F.lit(b / 16.0) for b in range(16)))).alias("modulated"))
 
 
+@query(f"WITH {GATED} SELECT node_id, list_transform(list_transform(range(1, 17), lambda i: dir_lum[i] * ((i - 1) / 16.0)), lambda x: round(x, 6) + 0.0) AS modulated FROM nodes")
+def modulated_luminance_all(spark, d):
+    return graphs.nation_graph(spark, d).nodes.select("node_id", users.modulated(F.col("dir_lum"), F.array(*(F.lit(b / 16.0) for b in range(16)))).alias("modulated"))
+
+
 # triples
 
 

@@ -1,9 +1,10 @@
 """Queries whose result isn't cut to an id range: every row of the operator."""
 
 import numpy as np
+import pytest
 
 import __spark_entry__ as entry
-from lightgraph.plans import queries
+from lightgraph.plans import graphs, queries
 
 
 def test_every_link_is_ranked(spark, tmp_path):
@@ -25,3 +26,13 @@ def test_every_link_is_ranked(spark, tmp_path):
     ranks = np.array(ranks)
     expected = [(1 / ranks).mean(), *((ranks <= k).mean() for k in (1, 3, 10)), ranks.mean()]
     assert np.allclose([got.mrr, got.hits_1, got.hits_3, got.hits_10, got.mean_rank], expected, atol=2e-6)
+
+
+@pytest.mark.parametrize("name, column, places", [
+    ("portals_all", "src", {0, 1, 2, 3}), ("edge_lookup_all", "src", {0, 1, 2, 3}), ("remove_edge_all", "src", {0, 1, 2, 3}), ("isolate_node_all", "src", {0, 1, 2, 3}),
+    ("update_nodes_all", "node_id", {0, 1, 2, 3, 4}), ("directional_luminance_all", "node_id", {0, 1, 2}), ("modulated_luminance_all", "node_id", {0, 1, 2}),
+])
+def test_every_type_is_there(spark, sf, name, column, places):
+    """test_oracle.py holds the rows against SQL."""
+    df = entry.queries()[name](spark, sf)
+    assert {r[0] for r in df.selectExpr(f"floor({column} / {graphs.SPAN})").distinct().collect()} == places
