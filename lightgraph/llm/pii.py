@@ -93,8 +93,8 @@ DIGIT_WORDS = (
     ("+", "plus"), (".", "dot point punkt punto"), ("-", "dash hyphen minus"),
 )
 SPOKEN = {w: d for d, words in DIGIT_WORDS for w in words.split()}
-#: Digits that a spoken run has at least, and those among them that are words.
-LEAST_SPOKEN, LEAST_WORDS = 7, 4
+#: Digits of a spoken run from which on ends of sentences in it may be dots; in shorter ones they are those of a count ('One. Two.').
+LISTED = 7
 _word = "|".join(sorted(SPOKEN, key=len, reverse=True))
 SPOKEN_RUN = re.compile(rf"(?<![^\W_])(?:{_word}|[0-9]+)(?:[ ,./()-]{{1,3}}(?:{_word}|[0-9]+)(?![^\W_]))++", re.I)
 SPOKEN_PART = re.compile(rf"(?:{_word})|[0-9]+", re.I)
@@ -161,8 +161,8 @@ def _words(low: str) -> list[bytes]:
 
 
 def _spoken(text: str, words: list[bytes]) -> list[tuple[int, int, str]]:
-    spoken = bytes(map(SPOKEN_BYTES.__contains__, words))
-    if spoken.count(1) < LEAST_WORDS or b"\1\1" not in spoken:
+    """Runs with a spoken digit or sign that are an identifier once written in digits."""
+    if SPOKEN_BYTES.isdisjoint(words):
         return []
     edits = []
     for run in SPOKEN_RUN.finditer(text):
@@ -172,14 +172,23 @@ def _spoken(text: str, words: list[bytes]) -> list[tuple[int, int, str]]:
         while parts and parts[0][2] in ".-":
             parts.pop(0)
         digits = sum(len(p[2]) for p in parts if p[2].isdigit())
-        words = sum(text[p[0]].isalpha() and p[2].isdigit() for p in parts)
-        if digits >= LEAST_SPOKEN and words >= LEAST_WORDS:
-            for n, (a, b, new) in enumerate(parts):
-                if n and a > parts[n - 1][1]:
-                    between = text[parts[n - 1][1] : a]
-                    edits.append((parts[n - 1][1], a, "." if "." in between and new.isdigit() and parts[n - 1][2].isdigit() else ""))
-                if text[a:b] != new:
-                    edits.append((a, b, new.replace("-", "")))  # a spoken dash only parts digits
+        if digits < 4 or all(text[a:b] == new for a, b, new in parts):
+            continue
+        own, listed = [], False
+        before = text[max(0, parts[0][0] - 3) : parts[0][0]]
+        normal = [before[before.rfind("+") :]] if "+" in before else []
+        for n, (a, b, new) in enumerate(parts):
+            if n and a > parts[n - 1][1]:
+                between = text[parts[n - 1][1] : a]
+                dot = "." if "." in between and new.isdigit() and parts[n - 1][2].isdigit() else ""
+                listed |= bool(dot) and between[0] == "." and len(between) > 1
+                own.append((parts[n - 1][1], a, dot))
+                normal.append(dot)
+            normal.append(new.replace("-", ""))
+            if text[a:b] != new:
+                own.append((a, b, new.replace("-", "")))  # a spoken dash only parts digits
+        if (digits >= LISTED or not listed) and detect("".join(normal)):
+            edits += own
     return edits
 
 

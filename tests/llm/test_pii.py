@@ -89,3 +89,17 @@ def test_odd_rows(spark):
     empty = {(r.base_sha256, r.spans) for r in rows if r.doc_id in (0, 1, 2)}
     assert len(empty) == 1 and empty.pop()[1] == ""
     assert pii.find(empty_documents(spark)).count() == 0
+
+
+@pytest.mark.parametrize("text, kind, span", [
+    ("ip eight dot eight dot eight dot eight", "ip", "eight dot eight dot eight dot eight"), ("ip one zero dot zero dot zero dot one up", "ip", "one zero dot zero dot zero dot one"),
+    ("tel +49 151 two three 45678", "phone", "+49 151 two three 45678"), ("card 4111 1111 1111 one one one 1", "card", "4111 1111 1111 one one one 1"),
+    ("card 4111 1111 1111 111 one", "card", "4111 1111 1111 111 one"),
+])
+def test_few_spoken_digits(text, kind, span):
+    test_disguises(text, kind, span)
+
+
+@pytest.mark.parametrize("text", ["One. Two. Three. Four.", "one, two, three, four", "one 2 three 4 five", "one dot two dot three", "at one point 4111 people came"])
+def test_counts_and_prose_stay(text):
+    test_clean_texts_stay(text)
