@@ -102,7 +102,10 @@ SPOKEN_PART = re.compile(rf"(?:{_word})|[0-9]+", re.I)
 _at, _dot = "at|@|arroba|arobase|klammeraffe", "dot|\\.|punkt|punto|point"
 BRACKETED = re.compile(rf"[ \t]{{0,3}}[\[({{<][ \t]{{0,3}}(?:(?P<at>{_at})|(?P<dot>{_dot}))[ \t]{{0,3}}[\])}}>][ \t]{{0,3}}", re.I)
 _gap = "[ \\t]{1,3}"
-WORDED = re.compile(rf"(?P<local>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?:{_gap}(?:{_dot}){_gap}[A-Za-z0-9._%+-]{{1,64}}){{0,3}})(?P<at>{_gap}(?:{_at}){_gap}|@)(?P<rest>[A-Za-z0-9-]{{1,63}}(?:{_gap}(?:{_dot}){_gap}[A-Za-z0-9-]{{1,63}}){{1,4}})(?![^\W_])", re.I)
+WORDED = re.compile(rf"(?P<local>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?:{_gap}(?:{_dot}){_gap}[A-Za-z0-9._%+-]{{1,64}}){{0,3}})(?P<at>{_gap}(?:{_at}){_gap}|@)(?P<rest>[A-Za-z0-9-]{{1,63}}(?:(?:{_gap}(?:{_dot}){_gap}|\.)[A-Za-z0-9-]{{1,63}}){{1,8}})(?![^\W_])", re.I)
+#: With a plain domain, a spaced at sign is enough; a worded one needs a local part with a dot in it, as 'look at example.com' is prose.
+PLAIN_REST = re.compile(rf"[ \t](?:{_at})[ \t]{{1,3}}[A-Za-z0-9-]{{1,63}}\.[A-Za-z0-9]", re.I)
+DOTTED_LOCAL = re.compile(rf"[A-Za-z][A-Za-z0-9_%+-]*+(?:(?:\.|{_gap}dot{_gap})[A-Za-z0-9_%+-]++)++", re.I)
 NUMBERS = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_gap}(?:{_dot}){_gap}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 PLUS = re.compile(r"(?<![^\W_])plus[ \t]{1,2}(?=[0-9][ ().0-9-]{7})", re.I)
 WORDED_DOT = re.compile(rf"[ \t]{{1,3}}(?:{_dot})[ \t]{{1,3}}", re.I)
@@ -197,10 +200,16 @@ def _worded(text: str, words: list[bytes]) -> list[tuple[int, int, str]]:
     if any(c in text for c in "[({<"):
         edits += [(m.start(), m.end(), "@" if m["at"] else ".") for m in BRACKETED.finditer(text)]
     found = set(words)
-    if ("@" in text or not AT_BYTES.isdisjoint(found)) and (not DOT_BYTES.isdisjoint(found) or " . " in text):
-        for m in WORDED.finditer(text):
-            edits.append((m.start("at"), m.end("at"), "@"))
-            edits += [(d.start(), d.end(), ".") for part in ("local", "rest") for d in WORDED_DOT.finditer(text, m.start(part), m.end(part))]
+    if ("@" in text or not AT_BYTES.isdisjoint(found)) and (not DOT_BYTES.isdisjoint(found) or " . " in text or PLAIN_REST.search(text)):
+        m = WORDED.search(text)
+        while m:
+            spaced = m["at"] != "@" and (m["at"].strip() == "@" or DOTTED_LOCAL.fullmatch(m["local"]))
+            if spaced or WORDED_DOT.search(text, m.start("rest"), m.end("rest")):
+                edits.append((m.start("at"), m.end("at"), "@"))
+                edits += [(d.start(), d.end(), ".") for part in ("local", "rest") for d in WORDED_DOT.finditer(text, m.start(part), m.end(part))]
+                m = WORDED.search(text, m.end())
+            else:
+                m = WORDED.search(text, m.end("local"))
     if not DOT_BYTES.isdisjoint(found):
         edits += [(d.start(), d.end(), ".") for m in NUMBERS.finditer(text) for d in WORDED_DOT.finditer(text, m.start(), m.end())]
     if b"plus" in found:

@@ -103,3 +103,17 @@ def test_few_spoken_digits(text, kind, span):
 @pytest.mark.parametrize("text", ["One. Two. Three. Four.", "one, two, three, four", "one 2 three 4 five", "one dot two dot three", "at one point 4111 people came"])
 def test_counts_and_prose_stay(text):
     test_clean_texts_stay(text)
+
+
+@pytest.mark.parametrize("text, span", [
+    ("mail jane.doe @ example.com now", "jane.doe @ example.com"), ("mail jane.doe at example.com now", "jane.doe at example.com"), ("jane at mail.example dot com", "jane at mail.example dot com"),
+    ("jane @ example.com", "jane @ example.com"), ("ask john dot smith at example.com", "john dot smith at example.com"), ("talk at jane.doe at example.com", "jane.doe at example.com"),
+    ("joe@mail.example dot org", "joe@mail.example dot org"),
+])
+def test_only_the_at_sign_is_disguised(text, span):
+    test_disguises(text, "email", span)
+
+
+@pytest.mark.parametrize("text", ["look at example.com", "I saw it at example.com. Then I left.", "version 1.5 at example.com", "We met at 5.30 pm", "It ended. at example.com"])
+def test_prose_with_a_plain_domain_stays(text):
+    test_clean_texts_stay(text)
