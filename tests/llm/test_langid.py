@@ -1,3 +1,5 @@
+import numpy as np
+
 from lightgraph.llm import langid, queries
 
 from .helpers import documents, empty_documents, fold, odd_documents
@@ -53,3 +55,12 @@ def test_long_texts_count_whole():
     a, b = "abc " * 400_000, "xyz " * 400_000
     mixed, start = langid.features([a + b, a])
     assert abs(mixed - start).max() > 0.05
+
+
+def test_weakly_told_texts_go(spark):
+    """Two families alike, and two languages alike in one: a score of a quarter."""
+    flat = lambda n: np.zeros((n, langid.DIM + 1), np.float32)
+    model = langid.Model(["f", "g"], [["a", "b"], ["c"]], flat(2), [(1.0, 0.0)] * 2, [(0, "a", "b")], flat(1), [(1.0, 0.0)])
+    docs = spark.createDataFrame([(0, "some text")], "doc_id long, text string")
+    assert model.predict(["some text"])[1] == [0.25]
+    assert langid.keep(docs, model).count() == 0 and langid.keep(docs, model, 0.2).count() == 1
