@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -27,9 +28,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares, from spark.checkpoint.dir; a temporary one where that is unset (tests)."""
+    """The folder the cluster shares, from spark.checkpoint.dir. Where that is unset, a session with a local master gets a
+    temporary one; on a cluster that is an error, as other machines could not read it."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="lightgraph-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -44,11 +48,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors. options: of the writer."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.options(**options).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete what materialize() wrote for these; nothing may read them any more. For rounds of iterations."""
+    for df in written:
+        jvm = df.sparkSession.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(df.written_at)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
