@@ -3,16 +3,19 @@
 A text up to LEAF bytes is encoded at once. A longer one is cut into leaves at code points; the
 leaves are rows of their own, encoded in parallel, then joined in a tree. At each join the last
 tokens of the left side and the first of the right are encoded again as one string, in windows
-that grow until both sides agree exactly. Two exact tests tell that they do:
+that grow until both sides agree exactly. A window may end between two tokens where one of two
+exact tests holds:
 
-- The window starts and ends where a word ends before white space. No piece of the tokenizer's
-  pattern has white space after another character, so such a place splits every encoding.
-- Or the window lies inside one unbroken run of letters, of numbers, of other characters or of
-  white space, which is one piece, and the tokens next to the window's ends stay apart when each
-  pair is encoded as one string. A sequence whose neighbours all stay apart is the encoding of
-  its string: merges never cross such a place.
+- The characters on both sides are of different classes (letter, number, white space, other) of
+  the tokenizer's pattern, and none is an apostrophe or a blank that goes with what follows it:
+  a piece of the pattern ends there in every text.
+- They are of one class, so that they lie in one piece or none of the sides sees the difference,
+  and the two tokens that meet there stay apart when they are merged as one string. A sequence
+  whose neighbours all stay apart is the encoding of its string: merges never cross such a place.
 
-Else the window doubles; at worst it is both sides whole. Special tokens split a text first.
+One of them soon holds in any script, with or without spaces. Else the window grows; at worst,
+as in a text of one repeated letter, it is both sides whole. Special tokens split a text first. Leaves are written with their numbers, so a
+stage that runs again after a lost executor can't number them anew.
 
 Defined cases: a null text is empty, with no tokens; repeated rows are encoded one by one; an
 empty table gives an empty result; only doc_id and text are read.
@@ -34,21 +37,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import map_batches
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SPECIAL = {"<|endoftext|>": 50256}
 #: Bytes of text that one leaf holds.
 LEAF = 32 << 10
-FIRST_WINDOW = 16
+#: Tokens of the first window on each side, and places that are tried at each end of it.
+FIRST_WINDOW, NEAR = 16, 12
 
 
+@lru_cache(1 << 16)
 def _kind(c: str) -> str:
-    """The class of the tokenizer's pattern that a character belongs to."""
+    """The class of the tokenizer's pattern that a character belongs to; none where versions of Unicode differ about it."""
     if c.isspace() and c not in "\x1c\x1d\x1e\x1f":  # Python counts these four as white space, the pattern doesn't
         return "S"
-    k = unicodedata.category(c)[0]
-    return k if k in "LN" else "O"
+    now, before = (u.category(c)[0] for u in (unicodedata, unicodedata.ucd_3_2_0))
+    if now != before:
+        return ""
+    return now if now in "LN" else "O"
 
 
 class Codec:
@@ -61,6 +69,8 @@ class Codec:
         self.bytes = [b""] * (max(max(ranks.values()), *SPECIAL.values()) + 1)
         for token, i in [*ranks.items(), *((k.encode(), v) for k, v in SPECIAL.items())]:
             self.bytes[i] = token
+        self.ranks, self.most = ranks, len(self.bytes)
+        self.encoded = 0  # characters that joins have encoded again
         self._pairs: dict[tuple[int, int], bool] = {}
 
     def plain(self, text: str) -> list[int]:
@@ -78,13 +88,23 @@ class Codec:
         table = self.bytes
         return b"".join([table[i] for i in ids])
 
+    def merged(self, piece: bytes) -> list[int]:
+        """The tokens of a short piece: of all neighbours those of the lowest rank merge first, the leftmost of equal ones."""
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        while len(parts) > 1:
+            rank, at = min((self.ranks.get(a + b, self.most), n) for n, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+            if rank == self.most:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return [self.ranks[p] for p in parts]
+
     def apart(self, a: int, b: int) -> bool:
         """Whether two neighbouring tokens stay as they are when their bytes are encoded as one piece."""
         key = (a, b)
         if key not in self._pairs:
             if len(self._pairs) > 200_000:
                 self._pairs.clear()
-            self._pairs[key] = self.model._encode_single_piece(self.bytes[a] + self.bytes[b]) == [a, b]
+            self._pairs[key] = self.merged(self.bytes[a] + self.bytes[b]) == [a, b]
         return self._pairs[key]
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
@@ -92,55 +112,41 @@ class Codec:
         if not left or not right:
             return left + right
         k = FIRST_WINDOW
-        while k < max(len(left), len(right)):
-            for attempt in (self._between_words, self._inside_run):
-                found = attempt(left, right, min(k, len(left)), min(k, len(right)))
-                if found is not None:
-                    return found
+        while True:
+            a, b = self._end(left, len(left) - k, -1, False), self._end(right, k, 1, True)
+            if a is not None and b is not None:
+                (cut, test), (till, also) = a, b
+                text = self.decode(left[cut:] + right[:till]).decode()
+                self.encoded += len(text)
+                ids = self.plain(text)
+                if (not test or self.apart(left[cut - 1], ids[0])) and (not also or self.apart(ids[-1], right[till])):
+                    return left[:cut] + ids + right[till:]
             k *= 2
-        return self._between_words(left, right, len(left), len(right)) or self.plain(self.decode(left + right).decode())
-
-    def _between_words(self, left: list[int], right: list[int], k: int, m: int) -> list[int] | None:
-        a, b = self.decode(left[-k:]), self.decode(right[:m])
-        if k < len(left):
-            found = re.search(rb"[^\s\x80-\xff][ \t\n\r]", a)
-            start = found.start() + 1 if found else None
-        else:
-            start = 0
-        ends = [x.start() + 1 for x in re.finditer(rb"[^\s\x80-\xff](?=[ \t\n\r])", b)]
-        end = len(b) if m == len(right) else ends[-1] if ends else None
-        if start is None or end is None:
-            return None
-        head, tail = self._place(left[-k:], start), self._place(right[:m], end)
-        if head is None or tail is None:
-            return None
-        return left[: len(left) - k + head] + self.plain((a[start:] + b[:end]).decode()) + right[tail:]
-
-    def _place(self, ids: list[int], at: int) -> int | None:
-        """How many tokens end at a byte; None if one crosses it."""
-        total = 0
-        for n, i in enumerate(ids):
-            if total == at:
-                return n
-            total += len(self.bytes[i])
-        return len(ids) if total == at else None
-
-    def _inside_run(self, left: list[int], right: list[int], k: int, m: int) -> list[int] | None:
-        if k + 4 >= len(left) or m + 4 >= len(right):
-            return None
-        try:  # token boundaries may lie inside a code point; grow then
-            before, after = self.decode(left[-k - 4 : -k]).decode(), self.decode(right[m : m + 4]).decode()
-            middle = self.decode(left[-k:] + right[:m]).decode()
-        except UnicodeDecodeError:
-            return None
-        kinds = set(map(_kind, before[-4:] + middle + after))
-        if len(kinds) != 1 or len(before) < 4:
-            return None
-        ids = self.model._encode_single_piece(middle)
-        if self.apart(left[-k - 1], ids[0]) and self.apart(ids[-1], right[m]):
-            return left[:-k] + ids + right[m:]
+
+    def _end(self, ids: list[int], at: int, step: int, right: bool) -> tuple[int, bool] | None:
+        """A place at `at` or a little beyond where a window may end, and whether the tokens there must be shown to stay apart. The sequence's own
+        end always serves."""
+        for n in range(at, at + NEAR * step, step):
+            if n <= 0 or n >= len(ids):
+                return (0 if step < 0 else len(ids)), False
+            if self.bytes[ids[n]][0] & 0xC0 == 0x80:
+                continue  # inside a code point
+            before, after = self._last(ids, n), self.decode(ids[n : n + 4]).decode("utf-8", "ignore")[:1]
+            if len(before) < 3 or not after or "'" in before + after:
+                continue  # contractions are pieces of their own
+            x, y = _kind(before[-1]), _kind(after)
+            if not x or not y:
+                continue
+            if x == y:
+                return n, True
+            if before[-1] != " " and not (right and x == "S"):  # white space before something else depends on what the window sees of it
+                return n, False
         return None
 
+    def _last(self, ids: list[int], n: int) -> str:
+        """The last three characters before token n, fewer if the twelve tokens before it have no more."""
+        return self.decode(ids[max(0, n - 12) : n]).decode("utf-8", "ignore")[-3:]
+
 
 def split_special(text: str) -> list[str]:
     """Ordinary text at even places, special tokens at odd ones."""
@@ -239,7 +245,7 @@ def encode_rows(docs: DataFrame, make_row, row_schema: str, path: str = VOCABULA
     arrow = to_arrow_schema(T._parse_datatype_string(row_schema))
     long = F.octet_length("text") > leaf
     short = map_batches(rows.where(~long), whole, row_schema)
-    pieces = map_batches(rows.where(long), cut, "key long, doc_id long, n int, part int, text string")
+    pieces = materialize(map_batches(rows.where(long), cut, "key long, doc_id long, n int, part int, text string"), "bpe-leaves")
     encoded = map_batches(pieces.repartition(F.xxhash64("key", "n")), ids, "key long, doc_id long, n int, part int, ids binary")
     return short.unionByName(encoded.groupBy("key").applyInArrow(merge, row_schema))
 

@@ -43,6 +43,51 @@ def test_long_unsplit_texts(text):
     assert bpe.encode_tree(bpe.codec(), text) == hf(text)
 
 
+def varied(alphabet, n, seed):
+    rng = np.random.default_rng(seed)
+    return "".join(np.array(list(alphabet))[rng.integers(0, len(alphabet), n)])
+
+
+BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+CHINESE = "".join(chr(0x4E00 + 7 * n) for n in range(2000))
+RUSSIAN = "абвгдежзийклмнопрстуфхцчшщъыьэюя     "
+
+
+@pytest.mark.parametrize("text", [varied(BASE64, 1_200_000, 1), varied(CHINESE, 400_000, 2), varied(CHINESE + "，。" * 150, 400_000, 3), varied(RUSSIAN, 700_000, 4), varied("abcdefghij   .,'", 1_200_000, 5), varied(" \t\n", 300_000, 6)], ids=["base64", "chinese", "punctuated", "russian", "english", "blanks"])
+def test_joins_encode_little_again(text):
+    """Megabytes without ASCII words: a tenth of the text at most is encoded again, at all levels of the tree together."""
+    codec = bpe.Codec()
+    ids = bpe.encode_tree(codec, text)
+    assert codec.encoded < 0.1 * len(text)
+    assert codec.decode(ids).decode() == text
+    assert ids == hf(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aé中 '\u0301s re\n1.", max_size=400), st.integers(2, 30))
+def test_tree_on_texts_of_few_characters(text, leaf):
+    assert bpe.encode_tree(bpe.codec(), text, leaf) == hf(text)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["ab", "中文", "привет", "don't", "we'll", "   ", " ", "\n\n", "12", "3", "!", "''", "'s", "\u00a0", "\U0001f600"]), min_size=60, max_size=250).map("".join), st.integers(40, 200))
+def test_windows_smaller_than_their_sides(text, leaf):
+    """Sides of many tokens, so that windows end inside them."""
+    assert bpe.encode_tree(bpe.codec(), text, leaf) == hf(text)
+
+
+def test_pairs_merge_as_the_library_says():
+    codec, rng = bpe.codec(), np.random.default_rng(0)
+    for a, b in rng.integers(0, 50256, (3000, 2)).tolist():
+        piece = codec.bytes[a] + codec.bytes[b]
+        try:
+            text = piece.decode()
+        except UnicodeDecodeError:
+            continue
+        if text.isalpha():
+            assert codec.merged(piece) == hf(text)
+
+
 def digests(text):
     ids = hf(text)
     return len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(HF.decode(ids, skip_special_tokens=False).encode()).hexdigest()
