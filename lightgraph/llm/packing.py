@@ -31,6 +31,8 @@ from . import bpe
 ROOM, END = 2048, 0
 #: Pieces of an island, individuals, children in an epoch, epochs, bins that migrate.
 ISLAND, POPULATION, CHILDREN, EPOCHS, MIGRANTS = 16_384, 5, 24, 3, 256
+#: Islands that a task evolves one after the other, about; their rows are small, so their bytes would put too many into one.
+AT_ONCE = 4
 #: Bins that an island releases at last, and islands whose releases are packed together.
 RELEASED, POOL = 24, 64
 
@@ -203,6 +205,7 @@ def pack(table: DataFrame, room: int = ROOM, island: int = ISLAND) -> DataFrame:
     """(uid, sequence_id, offset) for a written table (uid, length) of pieces shorter than a sequence. sequence_ids are even."""
     count = table.count()
     islands = max(1, -(-count // island))
+    tasks = -(-islands // AT_ONCE)
     dealt = table.withColumn("island", F.pmod(F.xxhash64("uid"), F.lit(islands)))
 
     def first(t: pa.Table) -> pa.Table:
@@ -213,7 +216,7 @@ def pack(table: DataFrame, room: int = ROOM, island: int = ISLAND) -> DataFrame:
         rng = np.random.default_rng(number)
         return pa.Table.from_batches([_state(number, uid, lengths, evolve(lengths, begin(lengths, room, rng), [], room, rng))])
 
-    state = materialize(dealt.groupBy("island").applyInArrow(first, STATE), "packing-epoch")
+    state = materialize(dealt.repartition(tasks, "island").groupBy("island").applyInArrow(first, STATE), "packing-epoch")
     for epoch in range(1, EPOCHS if islands > 1 else 1):
         guests = state.select(F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("elite").alias("guests"))
 
@@ -221,10 +224,10 @@ def pack(table: DataFrame, room: int = ROOM, island: int = ISLAND) -> DataFrame:
             for batch in batches:
                 for row in batch.to_pylist():
                     uid, lengths, packings = _restored(row)
-                    wanted = [tuple(np.frombuffer(g, np.int32).tolist()) for g in row["guests"]]
+                    wanted = [tuple(np.frombuffer(g, np.int32).tolist()) for g in row["guests"] or ()]  # the island before may have no pieces
                     yield _state(row["island"], uid, lengths, evolve(lengths, packings, wanted, room, np.random.default_rng((row["island"], epoch))))
 
-        state = materialize(state.join(guests, "island").repartition("island").mapInArrow(later, STATE), "packing-epoch")
+        state = materialize(state.join(guests, "island", "left").repartition(tasks, "island").mapInArrow(later, STATE), "packing-epoch")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,5 +270,8 @@ def sequences(docs: DataFrame, room: int = ROOM, path: str = bpe.VOCABULARY, isl
     made = materialize(pieces(docs, room, path).withColumn("uid", F.monotonically_increasing_id()), "packing-pieces")
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     whole = made.where(F.col("length") == room).select(*names[:5], (F.col("uid") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    placed = materialize(pack(made.where(F.col("length") < room).select("uid", "length"), room, island), "packing-placed")
+    pieces_ = made.where(F.col("length") < room).select("uid", "length")
+    placed = materialize(pack(pieces_, room, island), "packing-placed")
+    if (n := placed.count()) != (wanted := pieces_.count()):
+        raise RuntimeError(f"{n} of {wanted} pieces have a place")
     return whole.unionByName(made.where(F.col("length") < room).join(placed, "uid").select(*names))

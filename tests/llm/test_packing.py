@@ -3,9 +3,11 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from lightgraph.llm import packing, queries
+from lightgraph.session import materialize
 
 from .helpers import documents, empty_documents, odd_documents, odd_rows
 
@@ -56,6 +58,19 @@ def test_islands(spark):
     assert check(rows, texts) <= least * 1.02 + 2
 
 
+@pytest.mark.parametrize("island", [1, 2, 4])
+def test_islands_without_pieces(spark, island):
+    """Of so many tiny islands some are empty; no piece is lost."""
+    table = materialize(spark.range(40).selectExpr("id as uid", "id * 37 % 2000 + 1 as length"), "pieces")
+    rows = packing.pack(table, island=island).collect()
+    assert sorted(r.uid for r in rows) == list(range(40))
+    lengths, fill = {r.uid: r.length for r in table.collect()}, defaultdict(list)
+    for r in rows:
+        fill[r.sequence_id].append((r.offset, lengths[r.uid]))
+    for some in fill.values():
+        assert [o for o, _ in sorted(some)] == [sum(n for o, n in some if o < p) for p, _ in sorted(some)] and sum(n for _, n in some) <= 2048
+
+
 def test_odd_rows(spark):
     docs = odd_documents(spark)
     rows = packing.sequences(docs.where("doc_id is not null").dropDuplicates(["doc_id"])).collect()
