@@ -35,7 +35,10 @@ LEAST_BYTES = 100
 #: Bytes of an archive after which its task begins another, of a gap that a read goes over, and of one read.
 ARCHIVE, GAP, READ = 1 << 30, 64 << 10, 8 << 20
 #: Bytes of an archive that one reader takes.
-STRETCH = 32 << 20
+STRETCH = 8 << 20
+#: More records than this with one payload are told of it by a table that every task has, so that no key gathers them: a row for
+#: so many records at least.
+COMMON = 10_000
 #: Records have no fetch time of their own.
 DATE = "1970-01-01T00:00:00Z"
 LEVEL = 4
@@ -85,8 +88,13 @@ def write(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     digest = F.sha2("payload", 256)
     found = rows.where(F.octet_length("payload") >= LEAST_BYTES).select("page_id", digest.alias("digest")).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    again = materialize(found.where("n > 1 and first is not null").select("digest", "first"), "warc-again")
-    told = rows.withColumn("digest", digest).join(again, "digest", "left").withColumn("refers_to", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")))
+    again = materialize(found.where("n > 1 and first is not null"), "warc-again")
+    common = F.broadcast(again.where(F.col("n") > COMMON).select("digest", F.col("first").alias("first_")))
+    told = rows.withColumn("digest", digest).join(common, "digest", "left")
+    # their keys in the second join are their own, so they are spread there
+    key = F.when(F.col("first_").isNull(), F.col("digest")).otherwise(F.concat(F.lit("common "), F.col("page_id").cast("string")))
+    told = told.withColumn("key", key).join(again.where(F.col("n") <= COMMON).select(F.col("digest").alias("key"), "first"), "key", "left")
+    told = told.withColumn("first", F.coalesce("first_", "first")).withColumn("refers_to", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")))
     folder = shared_path(pages.sparkSession, "warc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +166,9 @@ def read(selected: DataFrame, payloads: bool = True) -> DataFrame:
             source.close()
 
     columns = [("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
-    dealt = selected.select("archive", "offset", "length").repartition(F.col("archive"), F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("archive", "offset")
+    # the number of readers follows the bytes to read, as the rows of the index are small
+    size = selected.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).collect()[0].bytes
+    dealt = selected.select("archive", "offset", "length").repartition(max(1, -(-size // STRETCH)), F.col("archive"), F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("archive", "offset")
     return dealt.mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, digest string, record_type string, refers_to long")
 
 

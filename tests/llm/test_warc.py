@@ -1,6 +1,9 @@
 import gzip
 import hashlib
 
+import pytest
+from pyspark.sql import functions as F
+
 from lightgraph.llm import queries, warc
 
 SCHEMA = "page_id long, url string, html string, digest string, offset long, archive string"
@@ -35,7 +38,10 @@ def odd(spark):
     return [(*r, "clash", 5, "clash") for r in rows]
 
 
-def test_odd_rows(spark):
+@pytest.mark.parametrize("common", [0, 2, 10_000])
+def test_odd_rows(spark, monkeypatch, common):
+    """With payloads that count as common ones, all, some and none of them."""
+    monkeypatch.setattr(warc, "COMMON", common)
     rows = odd(spark)
     assert got(warc.round_trip(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
     assert warc.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
@@ -66,6 +72,14 @@ def test_archives_are_plain_gzip_members(spark):
     assert n == index.count()
 
 
+def test_readers_follow_the_bytes(spark, monkeypatch):
+    index = warc.write(spark.createDataFrame(odd(spark), SCHEMA))
+    monkeypatch.setattr(warc, "STRETCH", 200)
+    tasks = warc.read(index).select(F.spark_partition_id().alias("p"), "page_id")
+    size = sum(r.length for r in index.collect())
+    assert tasks.rdd.getNumPartitions() == -(-size // 200) and tasks.count() == index.count()
+
+
 def test_ranges():
     places = [(0, 10), (10, 5), (100, 10), (100_000, 10), (100_020, 50)]
     made = warc.ranges(places, gap=90, most=1000)
