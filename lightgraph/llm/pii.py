@@ -96,19 +96,22 @@ SPOKEN = {w: d for d, words in DIGIT_WORDS for w in words.split()}
 #: Digits of a spoken run from which on ends of sentences in it may be dots; in shorter ones they are those of a count ('One. Two.').
 LISTED = 7
 _word = "|".join(sorted(SPOKEN, key=len, reverse=True))
-SPOKEN_RUN = re.compile(rf"(?<![^\W_])(?:{_word}|[0-9]+)(?:[ ,./()-]{{1,3}}(?:{_word}|[0-9]+)(?![^\W_]))++", re.I)
+SPOKEN_RUN = re.compile(rf"(?<![^\W_])(?:{_word}|[0-9]++)(?:[ ,./()\t-]++(?:{_word}|[0-9]++)(?![^\W_]))++", re.I)
 SPOKEN_PART = re.compile(rf"(?:{_word})|[0-9]+", re.I)
 # Words for the at sign and the dot.
 _at, _dot = "at|@|arroba|arobase|klammeraffe", "dot|\\.|punkt|punto|point"
-BRACKETED = re.compile(rf"[ \t]{{0,3}}[\[({{<][ \t]{{0,3}}(?:(?P<at>{_at})|(?P<dot>{_dot}))[ \t]{{0,3}}[\])}}>][ \t]{{0,3}}", re.I)
-_gap = "[ \\t]{1,3}"
-WORDED = re.compile(rf"(?P<local>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?:{_gap}(?:{_dot}){_gap}[A-Za-z0-9._%+-]{{1,64}}){{0,3}})(?P<at>{_gap}(?:{_at}){_gap}|@)(?P<rest>[A-Za-z0-9-]{{1,63}}(?:(?:{_gap}(?:{_dot}){_gap}|\.)[A-Za-z0-9-]{{1,63}}){{1,8}})(?![^\W_])", re.I)
+BRACKETED = re.compile(rf"[\[({{<][ \t]*+(?:(?P<at>{_at})|(?P<dot>{_dot}))[ \t]*+[\])}}>][ \t]*+", re.I)
+_gap = "[ \\t]++"
+#: An at sign between two words, plain or disguised; what stands before and after it is read outwards from there.
+AT = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?:[ \t]++(?:{_at})[ \t]++|@)(?=[A-Za-z0-9-])", re.I)
+REST = re.compile(rf"[A-Za-z0-9-]++(?:(?:{_gap}(?:{_dot}){_gap}|\.)[A-Za-z0-9-]++)*+", re.I)
+LAST_DOT = re.compile(rf"(?:{_gap}(?:{_dot}){_gap}|\.)", re.I)
 #: With a plain domain, a spaced at sign is enough; a worded one needs a local part with a dot in it, as 'look at example.com' is prose.
-PLAIN_REST = re.compile(rf"[ \t](?:{_at})[ \t]{{1,3}}[A-Za-z0-9-]{{1,63}}\.[A-Za-z0-9]", re.I)
-DOTTED_LOCAL = re.compile(rf"[A-Za-z][A-Za-z0-9_%+-]*+(?:(?:\.|{_gap}dot{_gap})[A-Za-z0-9_%+-]++)++", re.I)
-NUMBERS = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_gap}(?:{_dot}){_gap}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
-PLUS = re.compile(r"(?<![^\W_])plus[ \t]{1,2}(?=[0-9][ ().0-9-]{7})", re.I)
-WORDED_DOT = re.compile(rf"[ \t]{{1,3}}(?:{_dot})[ \t]{{1,3}}", re.I)
+DOTTED_LOCAL = re.compile(rf"[A-Za-z][A-Za-z0-9_%+-]*+(?:(?:\.|{_gap}(?:{_dot}){_gap})[A-Za-z0-9_%+-]++)++", re.I)
+NUMBERS = re.compile(rf"(?<![0-9.])[0-9]++(?:{_gap}(?:{_dot}){_gap}[0-9]++){{3}}", re.I)
+PLUS = re.compile(r"(?<![^\W_])plus[ \t]++(?=[0-9][ ().0-9-]{7})", re.I)
+WORDED_DOT = re.compile(rf"{_gap}(?:{_dot}){_gap}", re.I)
+DOT_WORDS = frozenset(_dot.replace("\\", "").split("|"))
 
 
 class Rewritten:
@@ -195,22 +198,69 @@ def _spoken(text: str, words: list[bytes]) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _before(text: str, at: int, past: int) -> int:
+    """Where the local part that ends at `at` begins, not before `past`: characters of one, and dots in words between such."""
+    start = at
+    while True:
+        while start > past and text[start - 1] in LOCAL:
+            start -= 1
+        i = start
+        while i > past and text[i - 1] in " \t":
+            i -= 1
+        j = i
+        while j > past and (text[j - 1].isalpha() or text[j - 1] == "."):
+            j -= 1
+        k = j
+        while k > past and text[k - 1] in " \t":
+            k -= 1
+        if not (i < start and j < i and k < j and k > past and text[k - 1] in LOCAL and text[j:i].lower() in DOT_WORDS):
+            return start
+        start = k
+
+
+def _addresses(text: str) -> list[tuple[int, int, str]]:
+    """Edits of disguised addresses, from one at sign to the next; each part of the text is read by the two signs next to it at most."""
+    edits: list[tuple[int, int, str]] = []
+    past, m = 0, AT.search(text)
+    while m:
+        start, rest = _before(text, m.start(), past), REST.match(text, m.end())
+        end = rest.end()
+        if end < len(text) and text[end] != "_" and text[end].isalnum():  # the last label goes on in other letters
+            dots = list(LAST_DOT.finditer(text, m.end(), end))
+            end = dots[-1].start() if dots else m.end()
+        dots = list(LAST_DOT.finditer(text, m.end(), end))
+        worded = [d for d in dots if d[0] != "."]
+        spaced = m[0] != "@" and (m[0].strip() == "@" or DOTTED_LOCAL.fullmatch(text, start, m.start()))
+        if dots and start < m.start() and (spaced or worded):
+            edits += [(d.start(), d.end(), ".") for d in WORDED_DOT.finditer(text, start, m.start())]
+            edits += [(m.start(), m.end(), "@"), *((d.start(), d.end(), ".") for d in worded)]
+            past = end
+            m = AT.search(text, end)
+        else:
+            past = m.start() if m[0] == "@" else m.end()
+            m = AT.search(text, m.end())
+    return edits
+
+
+def _bracketed(text: str) -> list[tuple[int, int, str]]:
+    edits, past = [], 0
+    for m in BRACKETED.finditer(text):
+        start = m.start()
+        while start > past and text[start - 1] in " \t":
+            start -= 1
+        past = m.end()
+        edits.append((start, past, "@" if m["at"] else "."))
+    return edits
+
+
 def _worded(text: str, words: list[bytes]) -> list[tuple[int, int, str]]:
     edits = []
     if any(c in text for c in "[({<"):
-        edits += [(m.start(), m.end(), "@" if m["at"] else ".") for m in BRACKETED.finditer(text)]
+        edits += _bracketed(text)
     found = set(words)
-    if ("@" in text or not AT_BYTES.isdisjoint(found)) and (not DOT_BYTES.isdisjoint(found) or " . " in text or PLAIN_REST.search(text)):
-        m = WORDED.search(text)
-        while m:
-            spaced = m["at"] != "@" and (m["at"].strip() == "@" or DOTTED_LOCAL.fullmatch(m["local"]))
-            if spaced or WORDED_DOT.search(text, m.start("rest"), m.end("rest")):
-                edits.append((m.start("at"), m.end("at"), "@"))
-                edits += [(d.start(), d.end(), ".") for part in ("local", "rest") for d in WORDED_DOT.finditer(text, m.start(part), m.end(part))]
-                m = WORDED.search(text, m.end())
-            else:
-                m = WORDED.search(text, m.end("local"))
-    if not DOT_BYTES.isdisjoint(found):
+    if "@" in text or not AT_BYTES.isdisjoint(found):
+        edits += _addresses(text)
+    if not DOT_BYTES.isdisjoint(found) or " . " in text:
         edits += [(d.start(), d.end(), ".") for m in NUMBERS.finditer(text) for d in WORDED_DOT.finditer(text, m.start(), m.end())]
     if b"plus" in found:
         edits += [(m.start(), m.end(), "+") for m in PLUS.finditer(text)]
@@ -235,6 +285,7 @@ def deobfuscated(text: str, plain: list[Span]) -> list[Span]:
     if not steps:
         return []
     found = []
+    own = [[(s, e) for s, k, e in plain if k == n] for n in range(len(KINDS))]  # by kind they are in order and apart
     for start, kind, end in detect(now):
         if kind == 0 and not now[start:end].rsplit(".", 1)[1].isalpha():
             continue  # a disguised address ends in letters
@@ -242,7 +293,8 @@ def deobfuscated(text: str, plain: list[Span]) -> list[Span]:
         for step in reversed(steps):
             touched |= step.touched(a, b)
             a, b = step.place(a)[0], step.place(b - 1)[1]
-        if touched and not any(k == kind and s <= a and b <= e for s, k, e in plain):
+        before = bisect_right(own[kind], (a, len(text)))
+        if touched and not (before and b <= own[kind][before - 1][1]):
             found.append((a, kind, b))
     return found
 

@@ -117,3 +117,41 @@ def test_only_the_at_sign_is_disguised(text, span):
 @pytest.mark.parametrize("text", ["look at example.com", "I saw it at example.com. Then I left.", "version 1.5 at example.com", "We met at 5.30 pm", "It ended. at example.com"])
 def test_prose_with_a_plain_domain_stays(text):
     test_clean_texts_stay(text)
+
+
+@pytest.mark.parametrize("text, kind, span", [
+    ("ask a dot b dot c dot d dot e dot f at g dot com", "email", "a dot b dot c dot d dot e dot f at g dot com"),
+    ("x a at b dot c dot d dot e dot f dot g dot h dot i dot j dot com", "email", "a at b dot c dot d dot e dot f dot g dot h dot i dot j dot com"),
+    ("to " + "n" * 70 + " at example dot com", "email", "n" * 70 + " at example dot com"), ("jane" + " " * 9 + "at" + " " * 7 + "example dot com", "email", "jane" + " " * 9 + "at" + " " * 7 + "example dot com"),
+    ("jane      [at]     example    (dot)    com", "email", "jane      [at]     example    (dot)    com"), ("a at " + "b" * 80 + " dot com", "email", "a at " + "b" * 80 + " dot com"),
+    ("ip 10    dot   0 dot 0     dot 7", "ip", "10    dot   0 dot 0     dot 7"), ("call plus     49 151 2345678", "phone", "plus     49 151 2345678"),
+    ("card 4111 1111 1111     111 - - - one", "card", "4111 1111 1111     111 - - - one"),
+])
+def test_no_length_is_too_long(text, kind, span):
+    test_disguises(text, kind, span)
+
+
+def test_a_label_that_goes_on_in_other_letters():
+    assert pii.spans("jane at example dot com\u00e9 dot org")[1] == []
+
+
+def test_many_addresses_take_linear_time():
+    import time
+
+    took = []
+    for n in (12_500, 100_000):
+        text = "a@b.co and c at d dot org, " * n
+        began = time.process_time()
+        plain, more = pii.spans(text)
+        took.append(time.process_time() - began)
+        assert len(plain) == len(more) == n
+    assert took[1] < 16 * took[0] + 1
+
+
+def test_hostile_disguises_take_linear_time():
+    import time
+
+    for text in ("a dot " * 100_000 + "at b", "a" + " " * 500_000 + "at" + " " * 500_000, "a at " * 100_000, "( " * 250_000, "(" + " " * 500_000, "x@" * 200_000, "x@y.z dot " * 60_000, "one" + " " * 500_000 + "two", "1 dot " * 100_000, " dot a" * 100_000 + " @ b" * 1000, "plus " * 100_000):
+        began = time.process_time()
+        pii.spans(text)
+        assert time.process_time() - began < 6, text[:20]
