@@ -38,17 +38,75 @@ def test_recall(spark):
             assert s == pytest.approx(np.sqrt(((np.array(vectors[i], float) - np.array(vectors[q], float)) ** 2).sum()), rel=1e-12)
 
 
-@pytest.mark.parametrize("radius", [0, 3, 15, 16, 17, 33, 60])
-def test_every_code_within_the_radius(radius):
-    rng = np.random.default_rng(radius)
-    codes = rng.integers(0, 2**63, (60_000 if radius < 20 else 3000, 4), dtype=np.int64).view(np.uint64)
-    for n, flips in enumerate((1, 5, 15, 16, 17, 30, 40, 59, 60, 61)):
+def planted(n, seed):
+    """Random codes, some of them a few bits from the first."""
+    rng = np.random.default_rng(seed)
+    codes = rng.integers(0, 2**63, (n, 4), dtype=np.int64).view(np.uint64)
+    for at, some in enumerate((1, 5, 15, 16, 17, 30, 40, 59, 60, 61)):
         row = codes[0].copy()
-        for b in rng.choice(256, flips, replace=False):
+        for b in rng.choice(256, some, replace=False):
             row[b // 64] ^= np.uint64(1 << int(b % 64))
-        codes[n + 1] = row
-    near = ann.Index(codes).within(codes[0], radius)
-    assert near.tolist() == np.flatnonzero(np.bitwise_count(codes ^ codes[0]).sum(1) <= radius).tolist()
+        codes[at + 1] = row
+    return codes
+
+
+@pytest.mark.parametrize("radius", [0, 3, 15, 16, 17, 33, 47])
+def test_probes_find_every_code_within_the_radius(spark, radius):
+    codes = planted(5000, radius)
+    subs = ann.substrings(len(codes))
+    coded = spark.createDataFrame([(i, bytearray(c.tobytes())) for i, c in enumerate(codes)], "id long, code binary")
+    asks = coded.where("id in (0, 1, 77)").selectExpr("id", "code", f"{radius} as radius")
+    got = {(r.query, r.id) for r in ann.within(coded, asks, subs).collect()}
+    assert got == {(q, int(i)) for q in (0, 1, 77) for i in np.flatnonzero(np.bitwise_count(codes ^ codes[q]).sum(1) <= radius)}
+
+
+def test_substrings_cover_the_code():
+    for n in (1, 300, 50_000, 10**9, 10**15):
+        subs = ann.substrings(n)
+        assert subs[0][0] == 0 and sum(b for _, b in subs) == 256 and all(a + b == c for (a, b), (c, _) in zip(subs, subs[1:]))
+        codes = planted(50, 1)
+        bits = np.unpackbits(codes.view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+        assert (ann.values(codes, subs) == np.stack([(bits[:, a : a + b] << np.arange(b)).sum(1) for a, b in subs], 1)).all()
+
+
+def clusters(n, size, dim, seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((n, dim))
+    return np.repeat(centres, size, 0) + 0.05 * rng.standard_normal((n * size, dim))
+
+
+def test_clustered_vectors_are_probed(spark):
+    """Where neighbours are near, every query probes, few codes are met, and the recall holds."""
+    v = clusters(400, 30, 64, 5)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    index = ann.entries(ann.able(df), 10).withColumn("id", F.monotonically_increasing_id())
+    model, subs = ann.fit(index, 10), ann.substrings(len(v))
+    some = v[::100]
+    radius = model.radius(model.bound(some, np.ones(len(some), np.int64), 10)).astype(int)
+    assert all(ann.probing(r, subs) for r in radius)
+    met = [len({i for j, every in ann.probes(c, r, subs) for i in np.flatnonzero(np.isin(ann.values(model.codes(v), subs)[:, j], every)).tolist()}) for c, r in zip(model.codes(some)[:20], radius[:20])]
+    assert max(met) < 0.05 * len(v)
+    got, expected = found(ann.search(df, F.col("vec_id") % 100 == 0)), exact(dict(enumerate(v)))
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in expected[q]}) for q in expected)
+    assert set(got) == set(expected) and hits / sum(map(len, expected.values())) >= 0.9
+
+
+def test_probed_and_checked_queries_alike(spark, monkeypatch):
+    """Both ways retrieve the same rows, radii being equal."""
+    v = clusters(40, 30, 16, 6)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    got = []
+    for most in (ann.PROBES, -1):
+        monkeypatch.setattr(ann.probing, "__code__", (lambda radius, subs: True).__code__ if most > 0 else (lambda radius, subs: False).__code__)
+        monkeypatch.setattr(ann.Model, "radius", lambda self, distance: np.full(len(distance), 20))
+        got.append({(r.query_id, r.vec_id, round(r.score, 9)) for r in ann.search(df, F.col("vec_id") % 100 == 0).collect()})
+    assert got[0] == got[1] and got[0]
+
+
+def test_lengths_have_their_own_neighbours(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(0, 30)] + [(i, [1.0, float(i), 2.0]) for i in range(100, 130)] + [(200, [1.0] * 4)]
+    got = found(ann.search(frame(spark, rows), F.col("vec_id") % 100 == 0))
+    assert [i for i, _ in got[0]] == list(range(1, 11)) and [i for i, _ in got[100]] == list(range(101, 111)) and 200 not in got
 
 
 def frame(spark, rows):
