@@ -40,8 +40,8 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 
 UNKNOWN = "und"
 DIM = 4096
-#: Most languages learned (the most frequent), documents that train all of them, and least for each.
-MOST_LANGUAGES, TRAIN_DOCS, LEAST_DOCS = 200, 1600, 30
+#: Documents that train all languages, dealt evenly, and the least for each, however many languages there are.
+TRAIN_DOCS, LEAST_DOCS = 1600, 12
 #: Characters of the snippets that join each training document, so that short texts are learned too.
 SNIPPETS = (24, 80, 240)
 #: ASCII bytes other than letters become spaces.
@@ -153,11 +153,11 @@ def _trained(x: np.ndarray, y: np.ndarray, apart: np.ndarray) -> tuple[np.ndarra
     return w, platt((x @ w[:-1] + w[-1])[test], y[test])
 
 
-def fit(docs: DataFrame, most: int = MOST_LANGUAGES, train_docs: int = TRAIN_DOCS) -> Model:
+def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """Learn from text and lang outside the held-out fold: at most `train_docs` documents (LEAST_DOCS a language at least),
-    dealt evenly to the `most` most frequent languages, chosen by a hash of the id."""
+    dealt evenly to all languages, chosen by a hash of the id."""
     known = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id", 4, 2))
-    total = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
+    total = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not total:
         return Model()
     each = max(LEAST_DOCS, train_docs // len(total))

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from lightgraph.llm import langid, queries
 
@@ -64,3 +65,43 @@ def test_weakly_told_texts_go(spark):
     docs = spark.createDataFrame([(0, "some text")], "doc_id long, text string")
     assert model.predict(["some text"])[1] == [0.25]
     assert langid.keep(docs, model).count() == 0 and langid.keep(docs, model, 0.2).count() == 1
+
+
+def test_held_out_languages_and_other_columns_change_nothing(spark, sf):
+    """Predictions come from the text alone, and what is learned from the other folds alone."""
+    docs = documents(spark, sf)
+    fold_ = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    other = docs.withColumn("lang", F.when(fold_ == 2, F.lit("en")).otherwise(F.col("lang"))).withColumn("text", F.when((fold_ == 2) & (F.col("doc_id") % 2 == 0), F.lit("only this")).otherwise(F.col("text"))).withColumn("source", F.lit("x"))
+    a, b = langid.fit(docs), langid.fit(other)
+    assert a.members == b.members and np.array_equal(a.family_machines, b.family_machines) and np.array_equal(a.pair_machines, b.pair_machines)
+    texts = [r.text for r in docs.limit(60).collect()]
+    rows = spark.createDataFrame([(9000 + i, t, "zz" if i % 2 else None, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: (r.lang_pred, round(r.score, 6)) for r in langid.identify(rows, a).collect()}
+    langs, scores = a.predict(texts)
+    assert got == {9000 + i: (la, round(s, 6)) for i, (la, s) in enumerate(zip(langs, scores))}
+
+
+def test_votes_against_plain_loops(spark, sf):
+    """The hierarchy by hand: the family of the likeliest machine, then the language with most votes."""
+    docs = documents(spark, sf)
+    model = langid.fit(docs)
+    texts = [r.text for r in docs.collect() if langid.has_letter(r.text)]
+    x = langid.features(texts).astype(float)
+    for row, lang in zip(x, model.predict(texts)[0]):
+        chance = [1 / (1 + np.exp(-(c[0] * (row @ m[:-1] + m[-1]) + c[1]))) for m, c in zip(model.family_machines.astype(float), model.family_curves)]
+        family = int(np.argmax(chance))
+        votes = dict.fromkeys(model.members[family], 0)
+        for (f, a, b), m in zip(model.pairs, model.pair_machines.astype(float)):
+            if f == family:
+                votes[a if row @ m[:-1] + m[-1] >= 0 else b] += 1
+        assert votes[lang] == max(votes.values())
+
+
+def test_many_languages_are_all_learned(spark):
+    """More languages than any cap would let through."""
+    rows = [(i, " ".join(chr(0x4E00 + 40 * (i % 230) + j % 40) * 3 for j in range(30)), f"l{i % 230}") for i in range(230 * 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert len(model.families) == 230
+    got = langid.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("lang = lang_pred").count()
+    assert got > 0.95 * len(rows)
