@@ -7,7 +7,8 @@ measured with dictionaries of the other half, and the final dictionaries come fr
 
 Defined cases: a null or empty text has differences 0, so it scores the curve's value there; with
 no labelled rows of one class every text scores 0.5; labels that contradict each other for one
-doc_id, null ids and values other than 0 and 1 are not learned from; repeated rows are scored one
+doc_id, null ids and values other than 0 and 1 are not learned from; of several texts with one
+labelled doc_id one is learned from; repeated rows are scored one
 by one; an empty table gives an empty result; only doc_id and text of the documents are read.
 """
 
@@ -104,9 +105,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_blocks
     share = lambda y: F.pmod(F.xxhash64(F.col("doc_id"), F.lit(19)), F.lit(1 << 30)) < int(min(1.0, (2 * rows + 100) / max(1, total.get(y, 0))) * (1 << 30))
     ordered = [known.where((F.col("y") == y) & share(y)).orderBy(F.xxhash64(F.col("doc_id"), F.lit(17)), "doc_id").limit(rows) for y in (0, 1)]
     few = F.broadcast(ordered[0].unionByName(ordered[1]))  # 2 * rows ids at most
-    seen = docs.select("doc_id", "text").join(few, "doc_id").withColumn("half", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(23)), F.lit(2)))
+    seen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(few, "doc_id").where("text is not null and text <> ''")
+    # of several rows with one id the one whose text comes first by hash is learned from, so that one label stays one row
+    seen = seen.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
+    seen = seen.withColumn("half", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(23)), F.lit(2)))
     # 2 * rows documents at most, written so that the passes below don't read the whole table again
-    seen = materialize(seen.where("text is not null and text <> ''").select("text", "y", "half"), "quality-sample")
+    seen = materialize(seen.select("text", "y", "half"), "quality-sample")
 
     def cut():
         def run(batch):
