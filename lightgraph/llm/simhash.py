@@ -1,9 +1,10 @@
 """SimHash near-dedup: tiled exact comparison of fingerprints with numpy.
 
-Distinct fingerprints are cut into four lanes of 16 bits. Two that differ in three bits or fewer
-agree in a lane, so comparing all pairs within the tiles (lane, leading bits of the lane) finds
-every link; the number of leading bits follows the number of fingerprints, so a tile keeps its
-size as the table grows. In a tile the fingerprints are sorted by population count and compared
+Distinct fingerprints are cut into lanes. Two that differ in three bits or fewer agree in one of
+four lanes and in two of five, so comparing all pairs within the tiles (agreeing lanes, leading
+bits of them) finds every link. The number of leading bits follows the number of fingerprints, so a tile keeps its size as
+the table grows: one tile up to TILE fingerprints, tiles by one of four lanes up to 2^28, by two
+of five lanes (ten tables of 24 bits) beyond. In a tile the fingerprints are sorted by population count and compared
 in squares with exclusive-or and bit counts; a square whose population counts differ beyond the
 radius is skipped. A tile far above its size is dealt out as pairs of chunks. Tiles return a
 spanning forest of their links, not the pairs: no link is lost between components.
@@ -16,10 +17,12 @@ doc_id and text are read.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -96,10 +99,22 @@ def forest(fps: np.ndarray, own: np.ndarray | None = None, radius: int = RADIUS)
     return fps[moved], fps[root[moved]]
 
 
+def tile_values(n: int) -> list[Column]:
+    """What fingerprints of one tile have in common, for each of the tables of tiles that n fingerprints are dealt to."""
+    lead = max(0, int(np.ceil(np.log2(max(1, n) / TILE))))
+    part = lambda first, bits: F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << bits) - 1))
+    if lead == 0:
+        return [F.lit(0).cast("long")]
+    if lead <= 16:
+        return [F.shiftright(part(16 * k, 16), 16 - lead) for k in range(4)]
+    edges = np.linspace(0, 64, 6).astype(int).tolist()
+    lane = [part(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+    return [F.shiftleft(lane[i], 13).bitwiseOR(lane[j]) for i, j in combinations(range(5), 2)]
+
+
 def links(distinct: DataFrame, n: int) -> DataFrame:
     """Edges (u, v) that connect all fingerprints fp which differ in RADIUS bits or fewer."""
-    lead = max(0, min(16, int(np.ceil(np.log2(max(1, n) / TILE)))))
-    lanes = [F.struct(F.lit(k).alias("lane"), F.shiftright(F.shiftright(F.col("fp"), 16 * k).bitwiseAND(F.lit(0xFFFF)), 16 - lead).alias("lead")) for k in range(4)]
+    lanes = [F.struct(F.lit(k).alias("lane"), value.alias("lead")) for k, value in enumerate(tile_values(n))]
     tiles = distinct.select("fp", F.explode(F.array(*lanes)).alias("tile")).select("fp", "tile.lane", "tile.lead")
     hot = tiles.groupBy("lane", "lead").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT)
     if hot.isEmpty():

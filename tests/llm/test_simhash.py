@@ -100,3 +100,18 @@ def test_first_of_each(spark):
     got = [r.doc_id for r in kept.collect()]
     assert sorted(got, key=str) == sorted(expected, key=str)
     assert simhash.first_of_each(empty_documents(spark)).count() == 0
+
+
+@pytest.mark.parametrize("n", [100, 20_000, 1 << 27, 1 << 40])
+def test_no_table_of_tiles_loses_a_link(spark, n):
+    """One tile, tiles by few and by all bits of a lane, and tiles by two lanes of five."""
+    rng = np.random.default_rng(n % 1000)
+    prints = rng.integers(0, 2**63, 300, dtype=np.int64).view(np.uint64)
+    near = [p ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 5), replace=False))) for p in prints]
+    every = np.unique(np.concatenate([prints, np.array(near, np.uint64)]))
+    df = spark.createDataFrame([(int(x),) for x in every.view(np.int64)], "fp long")
+    got = {r.node: r.root for r in components(simhash.links(df, n)).collect()}
+    expected = linked(every)
+    groups = lambda of: {frozenset(k for k in of if of[k] == r) for r in set(of.values())}
+    alone = {int(x) for x in every.view(np.int64)} - set(got)
+    assert groups(got | {x: x for x in alone}) == groups(expected)
