@@ -93,9 +93,8 @@ ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " 
 
 def html_text(html: Column) -> Column:
     """Text of a page: scripts, styles and tags out, common entities decoded, white space collapsed. JVM only."""
-    x = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>", "")
-    x = F.regexp_replace(x, r"(?is)<style[^>]*>.*?</style>", "")
-    x = F.regexp_replace(x, r"<[^>]+>", " ")
+    spoken = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1>", "")
+    x = F.regexp_replace(spoken, "<[^>]+>", " ")
     for entity, char in ENTITIES.items():
         x = F.replace(x, F.lit(entity), F.lit(char))
     x = F.replace(x, F.lit("&amp;"), F.lit("&"))  # last, so that no entity is decoded twice

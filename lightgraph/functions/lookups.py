@@ -83,6 +83,15 @@ def property_bin(prop: Column) -> Column:
     return lookup(PROPERTY_BINS, prop)
 
 
+def property_count() -> int:
+    return len(PROPERTY_BINS)
+
+
+def property_place(prop: str) -> int:
+    """Where a property stands among all, from 0."""
+    return list(PROPERTY_BINS).index(prop)
+
+
 def property_similarity(a: Column, b: Column) -> Column:
     """Similarity of two properties; null if either is null or unknown."""
     both = {f"{x}|{y}": similarity_of(x, y) for x in PROPERTY_BINS for y in PROPERTY_BINS}

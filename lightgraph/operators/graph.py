@@ -15,6 +15,8 @@ from ..session import materialize
 
 NODES = "node_id long, label string, node_type string, luminance double, reflection double, refraction double, default_bin int, prop string, dir_lum array<double>, room int"
 EDGES = "src long, dst long, pos int, attenuation double, bin int, is_portal boolean"
+#: Columns of a node that a builder may set besides its luminance.
+PROPS = {"reflection": "double", "refraction": "double", "default_bin": "int", "prop": "string", "dir_lum": "array<double>", "room": "int"}
 MOST_NODES, MOST_EDGES = 10**8, 10**9
 
 
@@ -105,22 +107,18 @@ class Graph:
         return self.nodes.agg(F.count("*").alias("num_nodes")).crossJoin(self.edges.agg(F.count("*").alias("num_edges")))
 
     def csr(self) -> DataFrame:
-        """(node_id, degree, row_ptr): out-degrees and where a node's edges start, by node_id.
-
-        Offsets over all nodes need a running sum. It is taken in two steps, so that no task sees all nodes: sums of blocks
-        of ids first, then a running sum of the few blocks and one within each block.
-        """
+        """(node_id, degree, row_ptr): out-degrees and where a node's edges start, by node_id; a running sum that no task takes over all nodes."""
         degree = self.nodes.select("node_id").join(self.edges.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("degree")), "node_id", "left").na.fill(0, ["degree"])
-        degree = degree.withColumn("block", F.floor(F.col("node_id") / 65536))
-        blocks = degree.groupBy("block").agg(F.sum("degree").alias("sum"))
-        start = blocks.withColumn("start", F.sum("sum").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))).select("block", F.coalesce("start", F.lit(0)).alias("start"))
-        inside = F.coalesce(F.sum("degree").over(Window.partitionBy("block").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return degree.join(start, "block").select("node_id", "degree", (F.col("start") + inside).alias("row_ptr"))
+        return sum_before(degree, "node_id", "degree", "row_ptr").select("node_id", "degree", "row_ptr")
 
     def summary(self) -> DataFrame:
         """Nodes of each type, most first."""
         return self.nodes.groupBy("node_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "node_type")
 
+    def lookup(self, keys: DataFrame) -> DataFrame:
+        """(node_id, label, node_type) of the nodes that keys (a column node_id, label or node_type) names; unknown ones give no row."""
+        return self.nodes.select("node_id", "label", "node_type").join(keys.distinct(), keys.columns, "left_semi")
+
     # change
 
     def with_nodes(self, overrides: DataFrame) -> Graph:
@@ -198,14 +196,20 @@ class GraphBuilder:
         self.spark = spark
         self._nodes: list[DataFrame] = []
         self._edges: list[DataFrame] = []
+        self._props: dict[str, dict] = {}  # of single nodes, as a caller adds them one by one
         self._order = 0
 
     def _put_nodes(self, labels: DataFrame) -> None:
         self._nodes.append(labels.withColumn("step", F.lit(self._order)))
         self._order += 1
 
-    def add_node(self, label: str, node_type: str = "default", luminance: float | None = None) -> GraphBuilder:
+    def add_node(self, label: str, node_type: str = "default", luminance: float | None = None, **props) -> GraphBuilder:
+        """A node; props are other columns of a node (reflection, refraction, default_bin, prop, dir_lum, room), and the last ones given hold."""
+        if unknown := set(props) - PROPS.keys():
+            raise GraphError(f"a node has no {', '.join(sorted(unknown))}")
         self._put_nodes(self.spark.createDataFrame([(label, node_type, luminance)], "label string, node_type string, luminance double"))
+        for name, value in props.items():
+            self._props.setdefault(name, {})[label] = value
         return self
 
     def add_nodes(self, df: DataFrame, id_col: str, node_type: str, luminance: float = 1.0) -> GraphBuilder:
@@ -250,6 +254,8 @@ class GraphBuilder:
         for n in self._nodes[1:]:
             every = every.unionByName(n)
         labels = every.groupBy("label").agg(F.min_by("node_type", "step").alias("node_type"), F.max_by("luminance", F.when(F.col("luminance").isNotNull(), F.col("step"))).alias("luminance"))
+        for name, values in self._props.items():
+            labels = labels.join(self.spark.createDataFrame(list(values.items()), f"label string, {name} {PROPS[name]}"), "label", "left")
         nodes = materialize(dense_ids(labels, "node_type", "label"), "builder-nodes")
         edges = None
         for e in self._edges:
@@ -262,6 +268,16 @@ class GraphBuilder:
         return Graph(complete_nodes(nodes), complete_edges(joined.withColumn("pos", place)))
 
 
+def sum_before(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """Rows with the sum of `value` over all rows before them in the order of a column. Sorted ranges are summed each, then
+    one after the other, so no task sees more rows than a range has or there are ranges."""
+    ranged = materialize(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    start = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn(name, inside).join(start, "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
+
+
 def dense_ids(df: DataFrame, *order: str, name: str = "node_id", first: int = 0) -> DataFrame:
     """Rows numbered from `first` in the order given, without one task that sees all: sorted ranges are counted, then
     numbered from the sum of those before them."""

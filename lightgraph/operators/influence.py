@@ -80,7 +80,7 @@ def contextual_embeddings(graph: Graph, sources: list[int], bins: list[int], par
     pairs = list(zip(sources, bins, strict=False))
     lit = propagate(graph, sources_of(graph.nodes.sparkSession, [(i, s, b) for i, (s, b) in enumerate(pairs)]), params, "ordered", pvs)
     most = lit.groupBy("qid").agg(F.max("intensity").alias("most"))  # a row a source
-    part = lit.join(F.broadcast(most), "qid").withColumn("x", F.when(F.col("most") > 0, F.col("intensity") / F.col("most")).otherwise(F.lit(0.0)))
+    part = lit.join(most, "qid").withColumn("x", F.when(F.col("most") > 0, F.col("intensity") / F.col("most")).otherwise(F.lit(0.0)))
     wide = part.groupBy("node_id").agg(*(F.max(F.when(F.col("qid") == i, F.col("x"))).alias(f"x{i}") for i in range(len(pairs))))
     names = [f"x{i}" for i in range(len(pairs))][: dim if dim is not None else None]
     padding = [F.lit(0.0)] * max(0, (dim or 0) - len(names))

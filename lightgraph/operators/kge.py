@@ -218,12 +218,13 @@ def hashed_sentences(texts: DataFrame, dim: int = 256, instruction: str = "") ->
     Other encoders plug in through `encode_with`."""
     from .vectors import normalized
 
-    word = F.explode(F.filter(F.split(F.lower(F.concat(F.lit(instruction + " "), F.col("text"))), r"\s+"), lambda w: w != ""))
-    h = texts.select("document_id", word.alias("w")).select("document_id", F.xxhash64("w").alias("h"))
-    part = h.groupBy("document_id", F.pmod("h", F.lit(dim)).alias("i")).agg(F.sum(F.when(F.shiftright("h", 32).bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0)).alias("x"))
-    maps = part.groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"))
+    rows = materialize(texts.select("document_id", F.monotonically_increasing_id().alias("row"), F.concat(F.lit(instruction + " "), F.coalesce("text", F.lit(""))).alias("text")), "sentences")
+    word = F.explode(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""))
+    h = rows.select("row", word.alias("w")).select("row", F.xxhash64("w").alias("h"))
+    part = h.groupBy("row", F.pmod("h", F.lit(dim)).alias("i")).agg(F.sum(F.when(F.shiftright("h", 32).bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0)).alias("x"))
+    maps = part.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"))  # dim entries at most
     full = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return normalized(maps.select("document_id", full.alias("embedding")))
+    return normalized(rows.select("document_id", "row").join(maps, "row", "left").select("document_id", full.alias("embedding")))  # texts without a word too: zeros
 
 
 def encode_with(texts: DataFrame, make_encoder: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:

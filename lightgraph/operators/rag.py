@@ -33,7 +33,7 @@ def _params(config: RagConfig, most: int | None = None) -> LightParams:
 
 def combined(graph: Graph, sources: DataFrame, params: LightParams, pvs: DataFrame | None = None) -> DataFrame:
     """(node_id, graph_intensity): weighted sums over all sources, one batch, divided by their maximum."""
-    lit = propagate(graph, sources, params, "ordered", pvs).join(F.broadcast(sources.select("qid", "weight")), "qid")
+    lit = propagate(graph, sources, params, "ordered", pvs).join(sources.select("qid", "weight"), "qid")
     total = lit.groupBy("node_id").agg(F.sum(F.col("intensity") * F.col("weight")).alias("sum"))
     total = materialize(total, "combined")
     most = F.broadcast(total.agg(F.max("sum").alias("most")))

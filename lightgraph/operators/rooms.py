@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..params import BINS, LightParams, VisibilityError
 from ..session import materialize
-from .graph import Graph
+from .graph import Graph, sum_before
 from .propagate import propagate
 
 MOST_PVS_DEPTH = 10
@@ -98,8 +98,16 @@ def partition(graph: Graph, how: str = "components", size: int = 1) -> DataFrame
 def summary(graph: Graph) -> DataFrame:
     """(room, node_start, node_count), starts as if rooms lay one after the other."""
     counts = graph.nodes.groupBy("room").agg(F.count("*").alias("node_count"))
-    before = F.sum("node_count").over(Window.orderBy("room").rowsBetween(Window.unboundedPreceding, -1))  # a row a room
-    return counts.select("room", F.coalesce(before, F.lit(0)).alias("node_start"), "node_count")
+    return sum_before(counts, "room", "node_count", "node_start").select("room", "node_start", "node_count")
+
+
+def room(graph: Graph, number: int) -> DataFrame:
+    """One row (room, node_start, node_count), or none."""
+    return summary(graph).where(F.col("room") == number)
+
+
+def num_rooms(graph: Graph) -> int:
+    return graph.nodes.select("room").distinct().count()
 
 
 def portals(graph: Graph) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -27,11 +27,14 @@ def chunk_words(docs: DataFrame, size: int = 512, overlap: int = 50, least: int
     """
     _checked(size, overlap)
     stride = size - overlap
-    own = docs.select(F.col("document_id"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    own = docs.select("document_id", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     last = F.greatest(F.lit(0), F.ceil((F.size("w") - size) / stride)).cast("int")
-    cut = own.select("document_id", "w", F.explode(F.sequence(F.lit(0), last)).alias("chunk_id")).withColumn("c", F.slice("w", F.col("chunk_id") * stride + 1, size))
-    made = cut.select("document_id", "chunk_id", F.array_join("c", " ").alias("text"), F.size("c").alias("token_count"))
-    before = F.sum(F.length("text") + 1).over(Window.partitionBy("document_id").orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1))
+    chunk = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("w", i * stride + 1, F.lit(size)))
+    # the words end here: only the chunks' own texts go on, a row each
+    cut = own.select("document_id", "row", F.posexplode(F.transform(chunk, lambda c: F.struct(F.array_join(c, " ").alias("text"), F.size(c).alias("token_count")))).alias("chunk_id", "c"))
+    made = cut.select("document_id", "row", "chunk_id", "c.text", "c.token_count")
+    # by row, as two documents may have one id
+    before = F.sum(F.length("text") + 1).over(Window.partitionBy("row").orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1))
     placed = made.withColumn("start_char", F.coalesce(before, F.lit(0)).cast("int")).where(F.col("token_count") >= least)
     return placed.select("document_id", "chunk_id", "text", "start_char", (F.col("start_char") + F.length("text")).cast("int").alias("end_char"), "token_count")
 
@@ -54,11 +57,13 @@ def packed_sentences(text: str, most: int) -> list[str]:
     return [*out, " ".join(held)] if held else out
 
 
-def _placed(docs: DataFrame, cut) -> DataFrame:
-    """The chunks that cut(text) gives, numbered and placed one after the other."""
+def _placed(docs: DataFrame, make_cut: Callable[[], Callable[[str], list[str]]]) -> DataFrame:
+    """The chunks that a cut (made once a task) gives of each text, numbered and placed one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = None
         for batch in batches:
+            cut = cut or make_cut()
             rows: list[tuple] = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 at = 0
@@ -74,20 +79,24 @@ def _placed(docs: DataFrame, cut) -> DataFrame:
 
 def chunk_sentences(docs: DataFrame, most: int = 512) -> DataFrame:
     """Chunks of whole sentences, `most` words at most."""
-    return _placed(docs, lambda text: packed_sentences(text, most))
+    return _placed(docs, lambda: lambda text: packed_sentences(text, most))
 
 
 def chunk_tokens(docs: DataFrame, make_tokenizer, size: int = 512, overlap: int = 50, least: int = 50) -> DataFrame:
-    """Windows of tokens. make_tokenizer() gives (encode, decode) and runs once a batch of texts, on the executors."""
+    """Windows of tokens. make_tokenizer() gives (encode, decode) and runs once a task, on the executors."""
     _checked(size, overlap)
 
-    def cut(text: str) -> list[str]:
+    def make_cut() -> Callable[[str], list[str]]:
         encode, decode = make_tokenizer()
-        ids = encode(text) if text.strip() else []
-        starts = [0, *range(size - overlap, max(1, len(ids) - overlap), size - overlap)] if ids else []
-        return [decode(ids[s : s + size]) for s in starts]
 
-    return _placed(docs, cut).where(F.col("token_count") >= least)
+        def cut(text: str) -> list[str]:
+            ids = encode(text) if text.strip() else []
+            starts = [0, *range(size - overlap, max(1, len(ids) - overlap), size - overlap)] if ids else []
+            return [decode(ids[s : s + size]) for s in starts]
+
+        return cut
+
+    return _placed(docs, make_cut).where(F.col("token_count") >= least)
 
 
 def with_ids(texts: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def negatives(mapped: DataFrame, num_entities: int, k: int = 8, seed: int = 42,
     valid = distinct.select("head_id", "angle_bin", F.col("tail_id").alias("negative"), F.lit(1).alias("valid")).distinct()
     marked = drawn.join(valid, ["head_id", "angle_bin", "negative"], "left").withColumn("valid", F.coalesce("valid", F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("head_id", "angle_bin", "tail_id").orderBy("valid", "draw"))
-    return marked.withColumn("n", rank - 1).where(F.col("n") < k).select("head_id", "angle_bin", "tail_id", "n", "negative")
+    return marked.withColumn("rank", rank).where(F.col("rank") <= k).select("head_id", "angle_bin", "tail_id", (F.col("rank") - 1).alias("n"), "negative")
 
 
 def contrastive(chunks: DataFrame, seed: int = 42) -> DataFrame:

@@ -19,7 +19,7 @@ def history(interactions: DataFrame) -> DataFrame:
 def sessions(seen: DataFrame, most: int = SESSION) -> DataFrame:
     """(user_id, node_id, pos): the most recent distinct nodes of each user, latest first, from a history."""
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("last"), "node_id"))
-    return seen.withColumn("pos", rank - 1).where(F.col("pos") < most).select("user_id", "node_id", "pos")
+    return seen.withColumn("rank", rank).where(F.col("rank") <= most).select("user_id", "node_id", (F.col("rank") - 1).alias("pos"))
 
 
 def affinities(values: DataFrame) -> DataFrame:

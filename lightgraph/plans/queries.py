@@ -247,13 +247,8 @@ def room_summary(spark, d):
     return rooms.summary(graphs.nation_graph(spark, d))
 
 
-@query(f"WITH {STAR} SELECT src, dst, pos FROM edges JOIN nodes a ON a.node_id = src JOIN nodes b ON b.node_id = dst WHERE a.room <> b.room AND a.room < 2")
-def portals(spark, d):
-    return rooms.portals(graphs.star_graph(spark, d)).where(F.col("src") < 2 * graphs.SPAN)
-
-
 @query(f"WITH {STAR} SELECT src, dst, pos FROM edges JOIN nodes a ON a.node_id = src JOIN nodes b ON b.node_id = dst WHERE a.room <> b.room")
-def portals_all(spark, d):
+def portals(spark, d):
     return rooms.portals(graphs.star_graph(spark, d))
 
 
@@ -270,14 +265,8 @@ def room_representatives(spark, d):
 # graph access
 
 
-@query(f"WITH {STAR} SELECT src, dst, min(pos) AS pos FROM edges WHERE src >= {3 * graphs.SPAN} GROUP BY src, dst")
-def edge_lookup(spark, d):
-    """The first of parallel edges, for all pairs of an order and a part."""
-    return graphs.star_graph(spark, d).first_edges().where(F.col("src") >= 3 * graphs.SPAN).select("src", "dst", "pos")
-
-
 @query(f"WITH {STAR} SELECT src, dst, min(pos) AS pos FROM edges GROUP BY src, dst")
-def edge_lookup_all(spark, d):
+def edge_lookup(spark, d):
     return graphs.star_graph(spark, d).first_edges().select("src", "dst", "pos")
 
 
@@ -315,23 +304,13 @@ def graph_validate(spark, d):
     return graphs.star_graph(spark, d).violations()
 
 
-@query(f"WITH {STAR} SELECT src, dst, pos FROM edges WHERE src < {2 * graphs.SPAN} AND NOT (src = 0 AND pos = (SELECT min(pos) FROM edges WHERE src = 0 AND dst = {graphs.SPAN + 5}))")
-def remove_edge(spark, d):
-    return graphs.star_graph(spark, d).without_edge(0, graphs.SPAN + 5).edges.where(F.col("src") < 2 * graphs.SPAN).select("src", "dst", "pos")
-
-
 @query(f"WITH {STAR} SELECT src, dst, pos FROM edges WHERE NOT (src = 0 AND pos = (SELECT min(pos) FROM edges WHERE src = 0 AND dst = {graphs.SPAN + 5}))")
-def remove_edge_all(spark, d):
+def remove_edge(spark, d):
     return graphs.star_graph(spark, d).without_edge(0, graphs.SPAN + 5).edges.select("src", "dst", "pos")
 
 
-@query(f"WITH {STAR} SELECT src, count(*) AS n FROM edges WHERE src <> {graphs.SPAN + 5} AND dst <> {graphs.SPAN + 5} AND src < {2 * graphs.SPAN} GROUP BY 1")
-def isolate_node(spark, d):
-    return graphs.star_graph(spark, d).isolate(graphs.SPAN + 5).edges.where(F.col("src") < 2 * graphs.SPAN).groupBy("src").agg(F.count("*").alias("n"))
-
-
 @query(f"WITH {STAR} SELECT src, count(*) AS n FROM edges WHERE src <> {graphs.SPAN + 5} AND dst <> {graphs.SPAN + 5} GROUP BY 1")
-def isolate_node_all(spark, d):
+def isolate_node(spark, d):
     return graphs.star_graph(spark, d).isolate(graphs.SPAN + 5).edges.groupBy("src").agg(F.count("*").alias("n"))
 
 
@@ -345,14 +324,8 @@ def update_edge(spark, d):
     return graphs.star_graph(spark, d).with_edge_props(0, graphs.SPAN + 5, 0.5, 3).neighbors(0).select("dst", "pos", "attenuation", "bin")
 
 
-@query(f"WITH {STAR} SELECT node_id, CASE WHEN node_type = 'region' THEN 3.0 ELSE luminance END AS luminance, CASE WHEN node_type = 'region' THEN 9 ELSE room END AS room FROM nodes WHERE room < 2")
-def update_nodes(spark, d):
-    over = table(spark, d, "region").select(graphs.node_of(0, "r_regionkey").alias("node_id"), F.lit(3.0).alias("luminance"), F.lit(9).alias("room"))
-    return graphs.star_graph(spark, d).with_nodes(over).nodes.where(F.col("node_id") < 2 * graphs.SPAN).select("node_id", "luminance", "room")
-
-
 @query(f"WITH {STAR} SELECT node_id, CASE WHEN node_type = 'region' THEN 3.0 ELSE luminance END AS luminance, CASE WHEN node_type = 'region' THEN 9 ELSE room END AS room FROM nodes")
-def update_nodes_all(spark, d):
+def update_nodes(spark, d):
     over = table(spark, d, "region").select(graphs.node_of(0, "r_regionkey").alias("node_id"), F.lit(3.0).alias("luminance"), F.lit(9).alias("room"))
     return graphs.star_graph(spark, d).with_nodes(over).nodes.select("node_id", "luminance", "room")
 
@@ -425,14 +398,8 @@ def property_pairs(spark, d):
     return lk.property_pairs(spark)
 
 
-@query(f"WITH {GATED} SELECT node_id, list_transform(dir_lum, lambda x: round(x, 6) + 0.0) AS dir_lum, {r6('list_max(dir_lum)', 'effective')} FROM nodes WHERE node_id < {2 * graphs.SPAN}")
-def directional_luminance(spark, d):
-    n = graphs.nation_graph(spark, d).nodes.where(F.col("node_id") < 2 * graphs.SPAN)
-    return n.select("node_id", "dir_lum", fn.effective_luminance(F.col("prop"), F.col("dir_lum"), F.col("luminance")).alias("effective"))
-
-
 @query(f"WITH {GATED} SELECT node_id, list_transform(dir_lum, lambda x: round(x, 6) + 0.0) AS dir_lum, {r6('list_max(dir_lum)', 'effective')} FROM nodes")
-def directional_luminance_all(spark, d):
+def directional_luminance(spark, d):
     return graphs.nation_graph(spark, d).nodes.select("node_id", "dir_lum", fn.effective_luminance(F.col("prop"), F.col("dir_lum"), F.col("luminance")).alias("effective"))
 
 
@@ -667,14 +634,8 @@ def preferred_bins(spark, d):
     return users.preferred_bins(users.all_affinities(seen, given)).where("rank <= 3")
 
 
-@query(f"WITH {GATED} SELECT node_id, list_transform(list_transform(range(1, 17), lambda i: dir_lum[i] * ((i - 1) / 16.0)), lambda x: round(x, 6) + 0.0) AS modulated FROM nodes WHERE node_id < {2 * graphs.SPAN}")
-def modulated_luminance(spark, d):
-    n = graphs.nation_graph(spark, d).nodes.where(F.col("node_id") < 2 * graphs.SPAN)
-    return n.select("node_id", users.modulated(F.col("dir_lum"), F.array(*(F.lit(b / 16.0) for b in range(16)))).alias("modulated"))
-
-
 @query(f"WITH {GATED} SELECT node_id, list_transform(list_transform(range(1, 17), lambda i: dir_lum[i] * ((i - 1) / 16.0)), lambda x: round(x, 6) + 0.0) AS modulated FROM nodes")
-def modulated_luminance_all(spark, d):
+def modulated_luminance(spark, d):
     return graphs.nation_graph(spark, d).nodes.select("node_id", users.modulated(F.col("dir_lum"), F.array(*(F.lit(b / 16.0) for b in range(16)))).alias("modulated"))
 
 
@@ -790,7 +751,16 @@ def chunk_words(spark, d):
     return text.chunk_words(documents(spark, d), 120, 20, 50)
 
 
-@query()
+SENTENCES = (
+    r"p AS (SELECT doc_id::VARCHAR AS document_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') AS s FROM documents), "
+    f"q AS (SELECT document_id, unnest(s) AS text, generate_subscripts(s, 1) AS i FROM p), n AS (SELECT document_id, i, text, len({WORDS})::INTEGER AS n FROM q), "
+    "f AS (SELECT document_id, i, n AS held, 0 AS chunk_id FROM n WHERE i = 1 UNION ALL SELECT n.document_id, n.i, CASE WHEN held + n > 100 THEN n ELSE held + n END, chunk_id + (held + n > 100)::INTEGER FROM f JOIN n ON n.document_id = f.document_id AND n.i = f.i + 1), "
+    "c AS (SELECT document_id, chunk_id, string_agg(text, ' ' ORDER BY i) AS text, sum(n)::INTEGER AS token_count FROM f JOIN n USING (document_id, i) GROUP BY 1, 2), "
+    "b AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY document_id ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS start_char FROM c)"
+)
+
+
+@query(f"WITH RECURSIVE {SENTENCES} SELECT document_id, chunk_id, text, start_char, (start_char + length(text))::INTEGER AS end_char, token_count FROM b")
 def chunk_sentences(spark, d):
     return text.chunk_sentences(documents(spark, d), 100)
 
@@ -835,17 +805,10 @@ def rotate_scores(spark, d):
 
 
 @query(
-    f"WITH {sql.vectors()}, {P_SQL}, {ROTATED}, s AS (SELECT DISTINCT head_id, angle_bin, tail_id, r, {SC} AS d FROM rot WHERE head_id < 60), k AS (SELECT head_id, angle_bin, tail_id, 1 + sum((x.vec_id <> tail_id AND {SC.replace('t[', 'x.embedding::DOUBLE[][')} < d - 1e-12)::BIGINT) AS rank FROM s, embeddings x GROUP BY 1, 2, 3) ".replace("a.embedding[", "(a.embedding::DOUBLE[])[").replace("x.embedding::DOUBLE[][", "(x.embedding::DOUBLE[])[")
+    f"WITH {sql.vectors()}, {P_SQL}, {ROTATED}, s AS (SELECT DISTINCT head_id, angle_bin, tail_id, r, {SC} AS d FROM rot), k AS (SELECT head_id, angle_bin, tail_id, 1 + sum((x.vec_id <> tail_id AND {SC.replace('t[', 'x.embedding::DOUBLE[][')} < d - 1e-12)::BIGINT) AS rank FROM s, embeddings x GROUP BY 1, 2, 3) ".replace("a.embedding[", "(a.embedding::DOUBLE[])[").replace("x.embedding::DOUBLE[][", "(x.embedding::DOUBLE[])[")
     + f"SELECT {r6('avg(1.0 / rank)', 'mrr')}, {', '.join(r6(f'avg((rank <= {n})::INTEGER)', f'hits_{n}') for n in (1, 3, 10))}, {r6('avg(rank)', 'mean_rank')} FROM k"
 )
 def link_prediction_eval(spark, d):
-    test = vector_triples(spark, d).where("head_id < 60")
-    return kge.link_metrics(kge.link_ranks(test, graphs.vector_graph(spark, d)[1], PHASES))
-
-
-@query()
-def link_prediction_eval_all(spark, d):
-    """Every link of the vector graph; tested by brute force, as SQL is too slow."""
     return kge.link_metrics(kge.link_ranks(vector_triples(spark, d), graphs.vector_graph(spark, d)[1], PHASES))
 
 

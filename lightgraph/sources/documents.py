@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import html
-import re
 from collections.abc import Iterator
+from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,26 +13,54 @@ from ..functions.columns import content_id
 from ..operators.text import chunk_words
 
 EXTENSIONS = ("txt", "md", "markdown", "rst", "html")
-ENCODINGS = ("utf-8", "utf-8-sig", "latin-1", "cp1252")
-
-SCRIPT = re.compile(r"<script[^>]*>.*?</script>", re.S | re.I)
-STYLE = re.compile(r"<style[^>]*>.*?</style>", re.S | re.I)
-TAG = re.compile(r"<[^>]+>")
 
 
 def decoded(data: bytes) -> str:
-    """With the first encoding that takes the bytes."""
-    for encoding in ENCODINGS:
-        try:
-            return data.decode(encoding)
-        except UnicodeDecodeError:
-            continue
-    raise ValueError("no encoding fits")
+    """UTF-8, or Latin-1, which takes any bytes."""
+    try:
+        return data.decode()
+    except UnicodeDecodeError:
+        return data.decode("latin-1")
+
+
+class _Reader(HTMLParser):
+    """What a page says outside scripts and styles; markup parts words, entities of all kinds are characters."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.said: list[str] = []
+        self.unseen: str | None = None
+
+    def handle_starttag(self, tag: str, attrs) -> None:
+        if self.unseen is None and tag in ("script", "style"):
+            self.unseen = tag
+        elif self.unseen is None:
+            self.said.append(" ")
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == self.unseen:
+            self.unseen = None
+        elif self.unseen is None:
+            self.said.append(" ")
+
+    def handle_startendtag(self, tag: str, attrs) -> None:
+        if self.unseen is None:
+            self.said.append(" ")
+
+    def handle_data(self, data: str) -> None:
+        if self.unseen is None:
+            self.said.append(data)
+
+    def handle_comment(self, data: str) -> None:
+        self.said.append(" ")
 
 
 def text_of_html(page: str) -> str:
     """Scripts, styles and tags out, all entities decoded, white space collapsed."""
-    return " ".join(html.unescape(TAG.sub(" ", STYLE.sub("", SCRIPT.sub("", page)))).split())
+    reader = _Reader()
+    reader.feed(page)
+    reader.close()
+    return " ".join("".join(reader.said).split())
 
 
 def html_texts(pages: DataFrame, key: str, column: str) -> DataFrame:
@@ -48,9 +75,10 @@ def html_texts(pages: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def load_directory(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """(document_id, content, source_path, metadata) of the files with known extensions; unreadable ones are left out."""
+    """(document_id, content, source_path, metadata) of the files with known extensions. Files that can't be read are left
+    out; Spark logs a warning for each."""
     glob = "*.{" + ",".join(EXTENSIONS) + "}"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -13,7 +13,7 @@ def test_every_link_is_ranked(spark, tmp_path):
     vectors = np.round(rng.normal(size=(150, 64)), 3)
     rows = [(i, int(i % 16), v.tolist()) for i, v in enumerate(vectors)]
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
-    got = entry.queries()["link_prediction_eval_all"](spark, str(tmp_path)).collect()[0]
+    got = entry.queries()["link_prediction_eval"](spark, str(tmp_path)).collect()[0]
     links = queries.vector_triples(spark, str(tmp_path)).distinct().collect()
     assert sum(r.head_id >= 60 for r in links) > 200
     ranks = []
@@ -29,8 +29,8 @@ def test_every_link_is_ranked(spark, tmp_path):
 
 
 @pytest.mark.parametrize("name, column, places", [
-    ("portals_all", "src", {0, 1, 2, 3}), ("edge_lookup_all", "src", {0, 1, 2, 3}), ("remove_edge_all", "src", {0, 1, 2, 3}), ("isolate_node_all", "src", {0, 1, 2, 3}),
-    ("update_nodes_all", "node_id", {0, 1, 2, 3, 4}), ("directional_luminance_all", "node_id", {0, 1, 2}), ("modulated_luminance_all", "node_id", {0, 1, 2}),
+    ("portals", "src", {0, 1, 2, 3}), ("edge_lookup", "src", {0, 1, 2, 3}), ("remove_edge", "src", {0, 1, 2, 3}), ("isolate_node", "src", {0, 1, 2, 3}),
+    ("update_nodes", "node_id", {0, 1, 2, 3, 4}), ("directional_luminance", "node_id", {0, 1, 2}), ("modulated_luminance", "node_id", {0, 1, 2}),
 ])
 def test_every_type_is_there(spark, sf, name, column, places):
     """test_oracle.py holds the rows against SQL."""
