@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -23,7 +23,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         hung = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), name)
+        new = materialize(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), name)
+        discard(now)
+        now = new
         before, state = state, _state(now)
         if state == before:
             break

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 from . import bpe
 
 ROOM, END = 2048, 0
@@ -227,7 +227,8 @@ def pack(table: DataFrame, room: int = ROOM, island: int = ISLAND) -> DataFrame:
                     wanted = [tuple(np.frombuffer(g, np.int32).tolist()) for g in row["guests"] or ()]  # the island before may have no pieces
                     yield _state(row["island"], uid, lengths, evolve(lengths, packings, wanted, room, np.random.default_rng((row["island"], epoch))))
 
-        state = materialize(state.join(guests, "island", "left").repartition(tasks, "island").mapInArrow(later, STATE), "packing-epoch")
+        before, state = state, materialize(state.join(guests, "island", "left").repartition(tasks, "island").mapInArrow(later, STATE), "packing-epoch")
+        discard(before)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

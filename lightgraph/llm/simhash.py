@@ -2,12 +2,13 @@
 
 Distinct fingerprints are cut into lanes. Two that differ in three bits or fewer agree in one of
 four lanes and in two of five, so comparing all pairs within the tiles (agreeing lanes, leading
-bits of them) finds every link. The number of leading bits follows the number of fingerprints, so a tile keeps its size as
-the table grows: one tile up to TILE fingerprints, tiles by one of four lanes up to 2^28, by two
-of five lanes (ten tables of 24 bits) beyond. In a tile the fingerprints are sorted by population count and compared
-in squares with exclusive-or and bit counts; a square whose population counts differ beyond the
-radius is skipped. A tile far above its size is dealt out as pairs of chunks. Tiles return a
-spanning forest of their links, not the pairs: no link is lost between components.
+bits of them) finds every link. The number of leading bits follows the number of fingerprints, so
+a tile keeps its size as the table grows: one tile up to TILE fingerprints, tiles by one of four
+lanes up to 2^28, by two of five lanes (ten tables of 25 bits) beyond. In a tile the fingerprints
+are sorted by population count and compared in squares with exclusive-or and bit counts; a square
+whose population counts differ beyond the radius is skipped. A tile far above its size is dealt
+out as pairs of chunks. Tiles return a spanning forest of their links, not the pairs: no link is
+lost between components.
 
 Defined cases: a null, empty or blank text has fingerprint zero and links like any other; copies
 share a fingerprint and are never compared; repeated rows get the same component; a null doc_id
