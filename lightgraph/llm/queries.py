@@ -66,7 +66,7 @@ def _rules_sql() -> str:
     space = "[ \\t\\n\\x0B\\f\\r]"
     bucket = lambda x: f"CASE WHEN {x} < 32 THEN {x} ELSE 16 * (length(bin({x})) - 5) + ({x} >> (length(bin({x})) - 5)) END"
     value = lambda b: f"CASE WHEN {b} < 32 THEN {b}::DOUBLE ELSE ({b} - 16 * ({b} // 16 - 1)) * pow(2.0, {b} // 16 - 1) END"
-    scaled = {"symbols_per_1000": "1000 * n_symbols // n_words", "dup_lines_per_1000": "1000 * n_dup_lines // greatest(n_lines, 1)", "repeats_per_1000": "1000 * n_repeat_words // n_words", "chars_per_100_words": f"CASE WHEN n_words >= {rules.FEW} THEN 100 * word_chars // n_words END"}
+    scaled = {"symbols_per_1000": "1000 * n_symbols // n_words", "dup_lines_per_1000": "1000 * n_dup_lines // greatest(n_lines, 1)", "repeats_per_1000": "1000 * n_repeat_words // n_words", "chars_per_100_words": "100 * word_chars // n_words"}
     levels = {"q0": ["lang", "source"], "q1": ["lang"], "q2": []}
     quartiles = ", ".join(
         f"{name} AS (SELECT {''.join(k + ', ' for k in keys)}measure, max(CASE WHEN rn = ceil(total * 0.25) THEN b END) AS b1, max(CASE WHEN rn = ceil(total * 0.75) THEN b END) AS b3, max(total) AS total FROM "
@@ -89,11 +89,11 @@ def _rules_sql() -> str:
                      coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines FROM w LEFT JOIN c USING (r)),
         f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b),
         x AS (SELECT *, unnest([{", ".join(f"{{'measure': '{n}', 'v': CASE WHEN n_words > 0 THEN ({e})::BIGINT END}}" for n, e in scaled.items())}]) AS u FROM f),
-        m AS (SELECT r, lang, source, base_failed, u.measure AS measure, {bucket("u.v")} AS b FROM x),
+        m AS (SELECT r, lang, source, base_failed, n_words, u.measure AS measure, {bucket("u.v")} AS b FROM x),
         {quartiles},
-        v AS (SELECT m.r, m.measure, {value("m.b")} AS x, {value(f"({pick('b1')})")} AS v1, {value(f"({pick('b3')})")} AS v3 FROM m {joins}),
+        v AS (SELECT m.r, m.measure, m.n_words, {value("m.b")} AS x, {value(f"({pick('b1')})")} AS v1, {value(f"({pick('b3')})")} AS v3 FROM m {joins}),
         k AS (SELECT r, bool_and(coalesce(x <= v3 + s, true) AND (measure NOT IN ({both}) OR coalesce(x >= v1 - s, true))) AS ok
-              FROM (SELECT *, {rules.FENCE} * greatest(v3 - v1, CASE measure {least} END) AS s FROM v) GROUP BY r)
+              FROM (SELECT *, {rules.FENCE} * greatest(v3 - v1, CASE measure {least} END) * CASE WHEN measure IN ({both}) THEN 1.0::DOUBLE + greatest(0.0::DOUBLE, {rules.FEW}.0::DOUBLE / greatest(n_words, 1) - 1) ELSE 1.0::DOUBLE END AS s FROM v) GROUP BY r)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(ok, false) AS kept
         FROM f LEFT JOIN k USING (r)
     """

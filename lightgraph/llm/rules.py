@@ -32,7 +32,7 @@ LEAST_DOCS = 100
 #: Interquartile ranges beyond the quartile, and the least range of each measure.
 FENCE = 3.0
 LEAST_RANGE = {"symbols_per_1000": 30, "dup_lines_per_1000": 60, "repeats_per_1000": 60, "chars_per_100_words": 60}
-#: Only the mean word length can also be too low; of fewer words than FEW it says too little to judge by.
+#: Only the mean word length can also be too low; of fewer words than FEW it says less, so its fences are wider in proportion.
 TWO_SIDED = ("chars_per_100_words",)
 FEW = 50
 
@@ -105,7 +105,7 @@ def measure(docs: DataFrame) -> DataFrame:
             out: list[list] = [[] for _ in range(6 + len(MEASURES))]
             for text in batch.column("text").to_pylist():
                 n, chars, symbols, dup, repeats, lines = row = counts(text)
-                scaled = (1000 * symbols // n, 1000 * dup // max(lines, 1), 1000 * repeats // n, 100 * chars // n if n >= FEW else None) if n else (0, 0, 0, None)
+                scaled = (1000 * symbols // n, 1000 * dup // max(lines, 1), 1000 * repeats // n, 100 * chars // n) if n else (0, 0, 0, None)
                 failed = n < 10 or 100 * repeats > 20 * n
                 for at, x in zip(out, (*row[:5], failed, *(x if x is None else bucket(x) for x in scaled)), strict=True):
                     at.append(x)
@@ -137,7 +137,7 @@ def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """A row for each (lang, source) with low_<measure> and high_<measure>."""
+    """A row for each (lang, source) with low_<measure>, high_<measure> and how far these are from the quartiles, spread_<measure>."""
     groups = sketch.select("lang", "source").distinct()
     levels = [quartiles(sketch, ["lang", "source"]), quartiles(sketch, ["lang"]), quartiles(sketch, [])]
     measures = F.array(*(F.struct(F.lit(m).alias("measure"), F.lit(float(r)).alias("least"), F.lit(m in TWO_SIDED).alias("both")) for m, r in LEAST_RANGE.items()))
@@ -151,8 +151,8 @@ def fences(sketch: DataFrame) -> DataFrame:
     q = F.when(F.col("q_0.total") >= LEAST_DOCS, F.col("q_0")).when(F.col("q_1.total") >= LEAST_DOCS, F.col("q_1")).otherwise(F.col("q_2"))
     own = own.withColumn("q", q).withColumn("v1", bucket_value(F.col("q.b1"))).withColumn("v3", bucket_value(F.col("q.b3")))
     spread = F.greatest(F.col("v3") - F.col("v1"), F.col("least")) * FENCE
-    own = own.withColumn("high", F.col("v3") + spread).withColumn("low", F.when(F.col("both"), F.col("v1") - spread))
-    return own.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{side}_{m}") for m in MEASURES for side in ("low", "high")))
+    own = own.withColumn("spread", spread).withColumn("high", F.col("v3") + F.col("spread")).withColumn("low", F.when(F.col("both"), F.col("v1") - F.col("spread")))
+    return own.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{side}_{m}") for m in MEASURES for side in ("low", "high", "spread")))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -161,7 +161,9 @@ def judge(docs: DataFrame) -> DataFrame:
     limits = fences(sketches(measured)).withColumnsRenamed({"lang": "lang_", "source": "source_"})
     ok = ~F.col("base_failed")
     for m in MEASURES:
-        x = bucket_value(F.col(m))
-        ok &= F.coalesce(x <= F.col(f"high_{m}"), F.lit(True)) & F.coalesce(x >= F.col(f"low_{m}"), F.lit(True))
+        x, more = bucket_value(F.col(m)), F.lit(0.0)
+        if m in TWO_SIDED:
+            more = F.col(f"spread_{m}") * F.greatest(F.lit(0.0), F.lit(float(FEW)) / F.greatest("n_words", F.lit(1)) - 1)
+        ok &= F.coalesce(x <= F.col(f"high_{m}") + more, F.lit(True)) & F.coalesce(x >= F.col(f"low_{m}") - more, F.lit(True))
     joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_")), "left")
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(ok, F.lit(False)).alias("kept"))
