@@ -81,20 +81,36 @@ def test_held_out_languages_and_other_columns_change_nothing(spark, sf):
     assert got == {9000 + i: (la, round(s, 6)) for i, (la, s) in enumerate(zip(langs, scores))}
 
 
-def test_votes_against_plain_loops(spark, sf):
-    """The hierarchy by hand: the family of the likeliest machine, then the language with most votes."""
+def plain_language(model, text):
+    """Language and score by hand: the family of the likeliest machine, in it the language with most votes, ties by margins."""
+    if not langid.has_letter(text) or not model.families:
+        return "und", 0.0
+    x = langid.features([text])[0].astype(float)
+    margin = lambda m: float(x @ m[:-1].astype(float) + m[-1])
+    chance = lambda m, c: 1 / (1 + np.exp(-(c[0] * margin(m) + c[1])))
+    family = [chance(m, c) for m, c in zip(model.family_machines, model.family_curves)] or [1.0]
+    f = int(np.argmax(family))
+    votes, sums, least = ({k: v for k in model.members[f]} for v in (0, 0.0, 1.0))
+    for (of, a, b), m, c in zip(model.pairs, model.pair_machines, model.pair_curves):
+        if of == f:
+            votes[a if margin(m) >= 0 else b] += 1
+            for k, side in ((a, 1), (b, -1)):
+                sums[k] += side * margin(m)
+                p = chance(m, c)
+                least[k] = min(least[k], p if side > 0 else 1 - p)
+    best = max(votes, key=lambda k: (votes[k], sums[k]))
+    return best, family[f] / sum(family) * least[best]
+
+
+def test_query_against_plain_loops(spark, sf):
     docs = documents(spark, sf)
     model = langid.fit(docs)
-    texts = [r.text for r in docs.collect() if langid.has_letter(r.text)]
-    x = langid.features(texts).astype(float)
-    for row, lang in zip(x, model.predict(texts)[0]):
-        chance = [1 / (1 + np.exp(-(c[0] * (row @ m[:-1] + m[-1]) + c[1]))) for m, c in zip(model.family_machines.astype(float), model.family_curves)]
-        family = int(np.argmax(chance))
-        votes = dict.fromkeys(model.members[family], 0)
-        for (f, a, b), m in zip(model.pairs, model.pair_machines.astype(float)):
-            if f == family:
-                votes[a if row @ m[:-1] + m[-1] >= 0 else b] += 1
-        assert votes[lang] == max(votes.values())
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = queries.op4_language_id(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        lang, score = plain_language(model, texts[r.doc_id])
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-4
 
 
 def test_many_languages_are_all_learned(spark):

@@ -1,4 +1,7 @@
+import math
+
 import numpy as np
+import zstandard
 
 from lightgraph.llm import quality, queries
 
@@ -65,24 +68,25 @@ def test_logistic_recovers_a_curve():
     assert abs(a - 2) < 0.25 and abs(b + 1) < 0.25 and abs(c - 0.5) < 0.2
 
 
-def test_scores_against_plain_compression(spark, sf):
-    """Every document's score again, from the library's compressed sizes and the fitted curve."""
-    import math
+def plain_scores(model, texts):
+    """From the library's compressed sizes and the fitted curve."""
+    pair = [zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False) for d in (model.good, model.bad)]
+    empty, out = [len(c.compress(b"")) for c in pair], []
+    for text in texts:
+        data = (text or "").encode()
+        good, bad = (1 + sum(len(c.compress(data[s : s + 2048])) - e for s in range(0, len(data), 2048)) for c, e in zip(pair, empty))
+        x = model.bias + (model.weights[0] * (bad - good) / (bad + good) + model.weights[1] * math.log(2 * len(data) / (bad + good)) if data else 0)
+        out.append(1 / (1 + math.exp(-max(-40, min(40, x)))))
+    return out
 
-    import zstandard
 
+def test_query_against_plain_compression(spark, sf):
     docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
     model = quality.fit(docs, labels)
     rows = {r.doc_id: r for r in queries.op1_quality_classifier(spark, sf).collect()}
-    pair = [zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False) for d in (model.good, model.bad)]
-    empty = [len(c.compress(b"")) for c in pair]
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert set(rows) == set(texts)
-    for i, text in texts.items():
-        data = (text or "").encode()
-        good, bad = (1 + sum(len(c.compress(data[s : s + 2048])) - e for s in range(0, len(data), 2048)) for c, e in zip(pair, empty))
-        x = model.bias + (model.weights[0] * (bad - good) / (bad + good) + model.weights[1] * math.log(2 * len(data) / (bad + good)) if data else 0)
-        score = 1 / (1 + math.exp(-max(-40, min(40, x))))
+    for i, score in zip(texts, plain_scores(model, texts.values())):
         assert abs(rows[i].score - score) < 1e-9 and rows[i].predicted == (score >= 0.5) and rows[i].held_out == (fold(i, 3) == 1)
 
 
