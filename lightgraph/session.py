@@ -21,6 +21,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     env = spark.sparkContext.environment
     env.setdefault("MALLOC_ARENA_MAX", "2")  # workers give back what a batch took
+    env.setdefault("MALLOC_MMAP_THRESHOLD_", "262144")  # large arrays always by pages of their own, which go back at once
     env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
     if REPO not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [REPO, env.get("PYTHONPATH", "")]))
