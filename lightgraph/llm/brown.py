@@ -60,9 +60,9 @@ SMOOTHING = 20.0
 #: Bytes of text that are split at once.
 PART = 256 << 10
 #: Distinct words, or bytes of all words, that a task reads before it hands on its counts; rows that it hands on at once.
-FLUSH, FLUSH_BYTES, ROWS = 400_000, 64 << 20, 10_000
+FLUSH, FLUSH_BYTES, ROWS = 200_000, 64 << 20, 10_000
 #: Neighbours a task holds before it hands on their counts, and words whose classes are chosen at once.
-HELD, SOME = 4_000_000, 500
+HELD, SOME = 3_000_000, 500
 #: The id of a text's ends, and the columns that the passes over the parts read.
 END_ID, READ = -(1 << 31), ("ids", "shapes", "rare", "part", "last")
 #: All words differ: dictionary pages would only take memory.
