@@ -12,7 +12,8 @@ The radius is each query's own: an upper bound on its k-th distance, from a boun
 the Hamming distance under which a learned share of pairs so near stays. Where the values that
 near are more than PROBES, or would meet more than PROBED_SHARE of all codes, no index by
 substrings can prune; for such a query all codes are checked, in blocks, which retrieves the same
-set. probing() tells which queries are which.
+set. probing() tells which queries are which. A query that finds too few is asked again with all
+bits as its radius, so every query has its k.
 
 Equal vectors are one entry of the index with its k + 1 smallest ids, which is all that any query
 can return of them, so large groups of copies cost one comparison.
@@ -56,7 +57,7 @@ INDEX_BLOCK, QUERY_BLOCK, LEAST_BLOCKS = 4096, 16_384, 24
 
 @dataclass(frozen=True)
 class Model:
-    """codes: sign((v - mean) @ rotation). radii[i]: the radius for distances from edges[i] to the next edge."""
+    """codes: sign((v - mean) @ rotation). radii[i]: the radius for the distance edges[i]."""
 
     mean: np.ndarray
     rotation: np.ndarray
@@ -70,11 +71,10 @@ class Model:
         return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
 
     def radius(self, distance: np.ndarray) -> np.ndarray:
-        """None at distance 0, the first of the learned ones up to the second edge, all bits beyond the last edge."""
+        """None at distance 0, all bits beyond the last edge, and in between on the line from one edge's radius to the next one's."""
         if not len(self.radii):
             return np.where(distance > 0, BITS, 0)
-        at = np.searchsorted(self.edges, distance, "right") - 1
-        out = np.where(distance > self.edges[-1], BITS, self.radii[np.clip(at, 0, len(self.radii) - 1)])
+        out = np.where(distance > self.edges[-1], BITS, np.ceil(np.interp(distance, self.edges, self.radii)))
         return np.where(distance > 0, out, 0)
 
     def bound(self, v: np.ndarray, copies: np.ndarray, k: int) -> np.ndarray:
@@ -280,7 +280,15 @@ def search_length(rows: DataFrame, queries, k: int) -> DataFrame:
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    nearest = found.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("score", "vec_id"))).where(F.col("n") <= k + 1).drop("n")
+    best = lambda df: df.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("score", "vec_id"))).where(F.col("n") <= k + 1).drop("n")
+    nearest = materialize(best(found), "ann-nearest")
+    # a radius that holds too few is grown to all bits
+    most = min(k + 1, coded.agg(F.sum(F.size("members")).alias("n")).collect()[0].n)
+    held = nearest.groupBy("id").agg(F.count("*").alias("held"))
+    short = asks.join(held, "id", "left").where(F.coalesce("held", F.lit(0)) < most).drop("held").withColumn("radius", F.lit(BITS))
+    short = materialize(short, "ann-short")
+    if not short.isEmpty():
+        nearest = nearest.join(short.select("id"), "id", "left_anti").unionByName(best(checked(coded, n, short, k)))
     # a query's list holds k + 1 rows, itself among them or not; without it k are left
     found = asked.select("query_id", "id").join(nearest, "id").where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id", "id").orderBy("score", "vec_id"))

@@ -103,6 +103,21 @@ def test_probed_and_checked_queries_alike(spark, monkeypatch):
     assert got[0] == got[1] and got[0]
 
 
+def test_radii_that_are_too_small_grow(spark, monkeypatch):
+    """With a radius of two bits hardly any query would find ten; all of them do, and the same as by brute force."""
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((700, 32))
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann.Model, "radius", lambda self, distance: np.full(len(distance), 2))
+    got, expected = found(ann.search(df, F.col("vec_id") % 100 == 0)), exact(dict(enumerate(v)))
+    assert {q: [i for i, _ in rows] for q, rows in got.items()} == {q: [i for i, _ in rows] for q, rows in expected.items()}
+
+
+def test_a_bound_between_near_and_far_pairs():
+    model = ann.Model(np.zeros(2), np.eye(2), np.array([0.1, 0.2, 1.0, 1.2]), np.array([5, 7, 100, 110]), np.zeros((0, 2)), np.zeros(0))
+    assert model.radius(np.array([0.0, 0.05, 0.2, 0.21, 0.95, 1.2, 1.3])).tolist() == [0, 5, 7, 9, 95, 110, 256]
+
+
 def test_lengths_have_their_own_neighbours(spark):
     rows = [(i, [float(i), 1.0]) for i in range(0, 30)] + [(i, [1.0, float(i), 2.0]) for i in range(100, 130)] + [(200, [1.0] * 4)]
     got = found(ann.search(frame(spark, rows), F.col("vec_id") % 100 == 0))
