@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..params import BINS, LightParams, VisibilityError
-from ..session import materialize
+from ..session import discard, materialize
 from .graph import Graph, sum_before
 from .propagate import propagate
 
@@ -19,18 +19,23 @@ MOST_PVS_DEPTH = 10
 def least_reaching(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node_id, root): the smallest id from which a node can be reached along edges (src, dst), itself included.
 
-    Labels travel along edges and jump through their own labels, so long chains need few rounds; each round is written.
+    Labels travel along edges and jump through their own labels, so long chains need few rounds; each round is written and
+    the one before it deleted. Jumps go through distinct roots that moved themselves, few rows once labels settle, so a
+    component whose nodes nearly all carry one root isn't gathered at that root.
     """
-    labels = materialize(nodes.select("node_id", F.col("node_id").alias("root")), "reach")
+    written = labels = materialize(nodes.select("node_id", F.col("node_id").alias("root")), "reach")
     arcs = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "reach-edges")
     while True:
         offered = arcs.join(labels.withColumnRenamed("node_id", "src"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.min("root").alias("offer"))
-        up = labels.select(F.col("node_id").alias("root"), F.col("root").alias("up"))
-        moved = labels.join(offered, "node_id", "left").join(up, "root").select("node_id", F.least("root", "up", "offer").alias("to"), "root")
+        own = labels.select(F.col("node_id").alias("root"), F.col("root").alias("up")).where("up < root")
+        up = own.join(labels.select("root").distinct(), "root", "left_semi")
+        moved = labels.join(offered, "node_id", "left").join(up, "root", "left").select("node_id", F.least("root", "up", "offer").alias("to"), "root")
         moved = materialize(moved, "reach")
         if moved.where("to < root").isEmpty():
+            discard(moved, arcs)
             return labels
-        labels = moved.select("node_id", F.col("to").alias("root"))
+        discard(written)
+        written, labels = moved, moved.select("node_id", F.col("to").alias("root"))
 
 
 def by_reach(graph: Graph) -> DataFrame:

@@ -50,16 +50,34 @@ def valid_heads(mapped: DataFrame) -> DataFrame:
     return mapped.groupBy("tail_id", "angle_bin").agg(F.sort_array(F.collect_set("head_id")).alias("heads"))
 
 
+#: Draws for each negative that are made for every triple; only triples that these leave short get all attempts.
+FIRST_DRAWS = 2
+
+
 def negatives(mapped: DataFrame, num_entities: int, k: int = 8, seed: int = 42, attempts: int = 10) -> DataFrame:
     """(head_id, angle_bin, tail_id, n, negative): k entities each that aren't valid tails, from `attempts` * k draws by
-    a seeded hash; where those don't suffice, draws that may be valid fill up."""
-    distinct = mapped.select("head_id", "angle_bin", "tail_id").distinct()
-    drawn = distinct.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(attempts * k - 1))))
+    a seeded hash; where those don't suffice, draws that may be valid fill up.
+
+    Draws count in order, so a triple whose first draws hold k entities that aren't valid tails needs no more of them.
+    """
+    keys = ["head_id", "angle_bin", "tail_id"]
+    distinct = materialize(mapped.select(*keys).distinct(), "negatives-triples")
+    first = materialize(_best_draws(distinct, distinct, num_entities, k, seed, min(FIRST_DRAWS, attempts) * k), "negatives-first")
+    short = first.where("valid = 1").select(*keys).distinct()
+    made = first
+    if attempts > FIRST_DRAWS:
+        made = first.join(short, keys, "left_anti").unionByName(_best_draws(short, distinct, num_entities, k, seed, attempts * k))
+    return made.select(*keys, (F.col("rank") - 1).alias("n"), "negative")
+
+
+def _best_draws(rows: DataFrame, distinct: DataFrame, num_entities: int, k: int, seed: int, draws: int) -> DataFrame:
+    """Of each triple's draws the first k that are no valid tails, then those that are; valid, rank and negative."""
+    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     drawn = drawn.withColumn("negative", F.pmod(F.xxhash64("head_id", "angle_bin", "tail_id", "draw", F.lit(seed)), F.lit(num_entities)))
-    valid = distinct.select("head_id", "angle_bin", F.col("tail_id").alias("negative"), F.lit(1).alias("valid")).distinct()
+    valid = distinct.select("head_id", "angle_bin", F.col("tail_id").alias("negative"), F.lit(1).alias("valid"))
     marked = drawn.join(valid, ["head_id", "angle_bin", "negative"], "left").withColumn("valid", F.coalesce("valid", F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("head_id", "angle_bin", "tail_id").orderBy("valid", "draw"))
-    return marked.withColumn("rank", rank).where(F.col("rank") <= k).select("head_id", "angle_bin", "tail_id", (F.col("rank") - 1).alias("n"), "negative")
+    return marked.withColumn("rank", rank).where(F.col("rank") <= k).select("head_id", "angle_bin", "tail_id", "rank", "valid", "negative")
 
 
 def contrastive(chunks: DataFrame, seed: int = 42) -> DataFrame:

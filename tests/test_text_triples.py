@@ -85,6 +85,15 @@ def test_negatives(spark):
     assert triples.negatives(m.limit(1), 3, 4).count() == 4  # too few entities: valid ones fill up
 
 
+def test_negatives_of_crowded_heads(spark):
+    """A head with most entities as tails takes all its draws, others the first ones: the same as drawing in full for all."""
+    m = spark.createDataFrame([(0, 1, t) for t in range(50)] + [(h, 2, h % 7) for h in range(1, 30)], "head_id long, angle_bin int, tail_id long").distinct()
+    got = sorted(tuple(r) for r in triples.negatives(m, 60, 4).collect())
+    full = triples._best_draws(m, m, 60, 4, 42, 40).select("head_id", "angle_bin", "tail_id", (F.col("rank") - 1).alias("n"), "negative")
+    assert got == sorted(tuple(r) for r in full.collect()) and len(got) == 79 * 4
+    assert triples.negatives(m.limit(0), 60, 4).count() == 0
+
+
 def test_contrastive(spark):
     c = spark.createDataFrame([("a", 0), ("a", 1), ("a", 2), ("b", 0), ("c", 0), ("c", 1)], "document_id string, chunk_id int")
     for r in triples.contrastive(c).collect():
