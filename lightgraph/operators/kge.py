@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -160,6 +161,22 @@ def link_metrics(ranks: DataFrame) -> DataFrame:
 # graph encoder
 
 
+def layer_normed(rows: DataFrame, column: str, dim: int) -> DataFrame:
+    """(node_id, embedding): a column's vectors less their mean, over their deviation."""
+    mean = F.aggregate(column, F.lit(0.0), lambda s, x: s + x) / dim
+    out = rows.select("node_id", F.col(column).alias("v"), mean.alias("m"))
+    out = out.withColumn("s", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x - F.col("m")) * (x - F.col("m"))) / dim + 1e-5))
+    return out.select("node_id", F.transform("v", lambda x: (x - F.col("m")) / F.col("s")).alias("embedding"))
+
+
+def sums_by_node(to: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
+    """(node_id, sum, n) of a batch of messages: what a task sends to the shuffle."""
+    nodes, at, n = np.unique(to, return_inverse=True, return_counts=True)
+    total = np.zeros((len(nodes), vectors.shape[1]))
+    np.add.at(total, at, vectors)
+    return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(total.tolist(), pa.list_(pa.float64())), pa.array(n)], names=["node_id", "sum", "n"])
+
+
 def message_layer(features: DataFrame, edges: DataFrame, weights: np.ndarray, bias: np.ndarray, pool: str = "mean") -> DataFrame:
     """One layer: neighbours' vectors times their edge's bin matrix, pooled at the destination, added and layer-normalised.
 
@@ -170,14 +187,11 @@ def message_layer(features: DataFrame, edges: DataFrame, weights: np.ndarray, bi
     def messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, b, to = matrix(pa.chunked_array([batch.column("embedding")])), batch.column("bin").to_numpy(), batch.column("node_id").to_numpy()
+                x, b = matrix(pa.chunked_array([batch.column("embedding")])), batch.column("bin").to_numpy()
                 y = np.empty((len(x), weights.shape[2]))
                 for k in np.unique(b):
                     y[b == k] = x[b == k] @ weights[k]
-                nodes, at, n = np.unique(to, return_inverse=True, return_counts=True)
-                total = np.zeros((len(nodes), y.shape[1]))
-                np.add.at(total, at, y)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(total.tolist(), pa.list_(pa.float64())), pa.array(n)], names=["node_id", "sum", "n"])
+                yield sums_by_node(batch.column("node_id").to_numpy(), y)
 
     partial = rows.mapInArrow(messages, "node_id long, sum array<double>, n long")
     dim = weights.shape[2]
@@ -187,10 +201,7 @@ def message_layer(features: DataFrame, edges: DataFrame, weights: np.ndarray, bi
     zero = F.array_repeat(F.lit(0.0), dim)
     arrived = F.transform(F.coalesce("sum", zero), lambda x: x / F.coalesce(over, F.lit(1.0)))
     added = F.zip_with(F.zip_with("embedding", arrived, lambda a, b: a + b), F.array(*map(F.lit, bias.tolist())), lambda a, b: a + b)
-    out = joined.select("node_id", added.alias("v"))
-    mean = F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / dim
-    out = out.withColumn("m", mean).withColumn("s", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x - F.col("m")) * (x - F.col("m"))) / dim + 1e-5))
-    return out.select("node_id", F.transform("v", lambda x: (x - F.col("m")) / F.col("s")).alias("embedding"))
+    return layer_normed(joined.withColumn("v", added), "v", dim)
 
 
 def encode_graph(features: DataFrame, edges: DataFrame, layers: list[tuple[np.ndarray, np.ndarray]], pool: str = "mean") -> DataFrame:
@@ -202,6 +213,78 @@ def encode_graph(features: DataFrame, edges: DataFrame, layers: list[tuple[np.nd
     return normalized(features)
 
 
+Linear = tuple[np.ndarray, np.ndarray]
+
+
+@dataclass(frozen=True)
+class Attention:
+    """One attention layer: (weight, bias) of queries, keys, values and the way out, all of one size, and a bias for each
+    bin and head."""
+
+    query: Linear
+    key: Linear
+    value: Linear
+    out: Linear
+    bin_bias: np.ndarray
+
+
+def attention_layer(features: DataFrame, edges: DataFrame, layer: Attention) -> DataFrame:
+    """One layer: values of sources, weighted by a softmax over all edges for each head, summed at the destination, sent
+    out, added to the node's vector and layer-normalised.
+
+    An edge's score is its destination's query times its source's key over the root of the head's size, and its bin's bias.
+    The softmax needs a maximum and a sum for each head, which alone reach the driver; messages are summed by task first.
+    """
+    dim, heads = layer.query[0].shape[1], layer.bin_bias.shape[1]
+    arrays = lambda v: pa.array(v.tolist(), pa.list_(pa.float64()))
+
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(pa.chunked_array([batch.column("embedding")]))
+                yield pa.RecordBatch.from_arrays([batch.column("node_id"), *(arrays(x @ w + b) for w, b in (layer.query, layer.key, layer.value))], names=["node_id", "q", "k", "v"])
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                q, k = (matrix(pa.chunked_array([batch.column(c)])).reshape(batch.num_rows, heads, -1) for c in ("q", "k"))
+                s = (q * k).sum(2) / math.sqrt(dim // heads) + layer.bin_bias[batch.column("bin").to_numpy()]
+                yield pa.RecordBatch.from_arrays([batch.column("dst"), arrays(s), batch.column("v")], names=["dst", "s", "v"])
+
+    made = materialize(features.select(F.col("node_id").cast("long").alias("node_id"), "embedding").mapInArrow(sides, "node_id long, q array<double>, k array<double>, v array<double>"), "attention-sides")
+    ends = edges.select("src", "dst", "bin").join(made.select(F.col("node_id").alias("src"), "k", "v"), "src").join(made.select(F.col("node_id").alias("dst"), "q"), "dst")
+    scored = materialize(ends.select(F.col("dst").cast("long").alias("dst"), "bin", "q", "k", "v").mapInArrow(scores, "dst long, s array<double>, v array<double>"), "attention-scores")
+    most = scored.agg(*(F.max(F.col("s")[h]).alias(f"m{h}") for h in range(heads))).collect()[0]  # a value a head
+    pooled = None
+    if most[0] is not None:
+        top = np.array(list(most))
+        total = np.array(list(scored.agg(*(F.sum(F.exp(F.col("s")[h] - float(top[h]))).alias(f"t{h}") for h in range(heads))).collect()[0]))
+
+        def messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    s, v = (matrix(pa.chunked_array([batch.column(c)])) for c in ("s", "v"))
+                    weight = np.exp(s - top) / total
+                    yield sums_by_node(batch.column("dst").to_numpy(), (weight[:, :, None] * v.reshape(len(v), heads, -1)).reshape(len(v), -1))
+
+        partial = scored.mapInArrow(messages, "node_id long, sum array<double>, n long")
+        pooled = partial.groupBy("node_id").agg(F.array(*(F.sum(F.col("sum")[i]) for i in range(dim))).alias("sum"))
+    zero = F.array_repeat(F.lit(0.0), dim)
+    joined = features.join(pooled, "node_id", "left") if pooled is not None else features.withColumn("sum", F.lit(None).cast("array<double>"))
+    sent = linear(joined.select("node_id", F.col("embedding").alias("own"), F.coalesce("sum", zero).alias("embedding")), *layer.out)
+    return layer_normed(sent.withColumn("both", F.zip_with("own", "embedding", lambda a, b: a + b)), "both", dim)
+
+
+def encode_with_attention(features: DataFrame, edges: DataFrame, inward: Linear, layers: list[Attention], outward: Linear) -> DataFrame:
+    """Vectors sent in and cut off at zero, all layers, sent out, unit length. Forward only: dropout belongs to training."""
+    from .vectors import normalized
+
+    features = linear(features.select("node_id", "embedding"), *inward).select("node_id", F.transform("embedding", lambda x: F.greatest(x, F.lit(0.0))).alias("embedding"))
+    for layer in layers:
+        features = materialize(attention_layer(features, edges, layer), "attention-encoder")
+    return normalized(linear(features, *outward))
+
+
 def edge_attention(edges: DataFrame, features: DataFrame, bin_vectors: list[list[float]]) -> DataFrame:
     """(src, dst, pos, weight): softmax over all edges of the source vector's inner product with its bin's vector."""
     at = F.element_at(F.array(*(F.array(*map(F.lit, v)) for v in bin_vectors)), F.col("bin") + 1)
@@ -241,10 +324,34 @@ def encode_with(texts: DataFrame, make_encoder: Callable[[], Callable[[list[str]
     return texts.select(F.col("document_id").cast("string"), "text").mapInArrow(run, "document_id string, embedding array<double>")
 
 
-def projected(embeddings: DataFrame, weight: np.ndarray, bias: np.ndarray) -> DataFrame:
-    """A fine-tuned head's forward pass: v W + b, unit length. weight (dim, out), or (BINS, dim, out) with a column `bin`."""
-    from .vectors import normalized
+# Domain -> (public sentence encoder, its dimensions), to pass to encode_with where the model is installed.
+ENCODERS = {
+    "general": ("all-MiniLM-L6-v2", 384), "quality": ("all-mpnet-base-v2", 768), "speed": ("paraphrase-MiniLM-L3-v2", 384),
+    "multilingual": ("paraphrase-multilingual-MiniLM-L12-v2", 384), "code": ("flax-sentence-embeddings/st-codesearch-distilroberta-base", 768),
+    "medical": ("pritamdeka/S-PubMedBert-MS-MARCO", 768), "legal": ("nlpaueb/legal-bert-base-uncased", 768),
+}
+# Instructions that go before texts.
+INSTRUCTIONS = {"query": "Represent the question for retrieval:", "document": "Represent the document for retrieval:"}
+
+
+def recommended_encoder(domain: str = "general") -> tuple[str, int]:
+    """Name and dimensions of the encoder for a domain; the general one for others."""
+    return ENCODERS.get(domain, ENCODERS["general"])
 
+
+def encode_instructed(texts: DataFrame, kind: str, make_encoder: Callable[[], Callable[[list[tuple[str, str]]], np.ndarray]]) -> DataFrame:
+    """(document_id, embedding) by an encoder that takes (instruction, text) pairs; kind: `query` or `document`."""
+    said = INSTRUCTIONS[kind]
+
+    def paired() -> Callable[[list[str]], np.ndarray]:
+        encoder = make_encoder()
+        return lambda batch: encoder([(said, t) for t in batch])
+
+    return encode_with(texts, paired)
+
+
+def linear(embeddings: DataFrame, weight: np.ndarray, bias: np.ndarray) -> DataFrame:
+    """v W + b; other columns pass. weight (dim, out), or (BINS, dim, out) with a column `bin`."""
     by_bin = weight.ndim == 3
     keys = [c for c in embeddings.columns if c != "embedding"]
 
@@ -256,7 +363,14 @@ def projected(embeddings: DataFrame, weight: np.ndarray, bias: np.ndarray) -> Da
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array((y + bias).tolist(), pa.list_(pa.float64()))], names=[*keys, "embedding"])
 
     schema = ", ".join(f"{k} {t}" for k, t in embeddings.dtypes if k != "embedding") + ", embedding array<double>"
-    return normalized(embeddings.select(*keys, "embedding").mapInArrow(run, schema))
+    return embeddings.select(*keys, "embedding").mapInArrow(run, schema)
+
+
+def projected(embeddings: DataFrame, weight: np.ndarray, bias: np.ndarray) -> DataFrame:
+    """A fine-tuned head's forward pass: linear(), unit length."""
+    from .vectors import normalized
+
+    return normalized(linear(embeddings, weight, bias))
 
 
 def rotated_texts(embeddings: DataFrame, phases: Phases, bin_: Column | None = None, weight: np.ndarray | None = None) -> DataFrame:

@@ -66,9 +66,39 @@ class TrainConfig:
     seed: int = 42
 
 
+@dataclass(frozen=True)
+class EvalConfig:
+    compute_mrr: bool = True
+    compute_hits: bool = True
+    hits_k: tuple[int, ...] = (1, 3, 10)
+    batch_size: int = 256
+    filter_known: bool = True
+
+
+@dataclass(frozen=True)
+class ExportConfig:
+    output_path: str = "embeddings.emb"
+    normalize: bool = True
+    include_vocab: bool = False
+    vocab_path: str | None = None
+
+
+@dataclass(frozen=True)
+class Config:
+    """All groups; from_dict() makes each from its own dictionary."""
+
+    data: DataConfig = DataConfig()
+    training: TrainConfig = TrainConfig()
+    evaluation: EvalConfig = EvalConfig()
+    export: ExportConfig = ExportConfig()
+
+
 def from_dict(kind: type, values: dict):
-    """A config of the kind from the values whose names it knows."""
-    return kind(**{f.name: values[f.name] for f in fields(kind) if f.name in values})
+    """A config of the kind from the values whose names it knows; groups from dictionaries of theirs."""
+    made = {f.name: values[f.name] for f in fields(kind) if f.name in values}
+    if kind is Config:
+        made = {name: from_dict(type(getattr(Config(), name)), group) for name, group in made.items()}
+    return kind(**made)
 
 
 class GraphError(ValueError):

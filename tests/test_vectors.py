@@ -100,12 +100,56 @@ def test_graph_encoder(spark):
     assert sum(r.weight for r in a) == pytest.approx(1)
 
 
+def test_attention_encoder(spark):
+    from lightgraph.session import materialize
+
+    rng = np.random.default_rng(4)
+    n, size, dim, heads = 7, 3, 4, 2
+    x = rng.standard_normal((n, size))
+    features = frame(spark, [(i, x[i].tolist()) for i in range(n)])
+    ends = [(0, 1, 0), (2, 1, 3), (1, 4, 3), (4, 0, 15), (0, 4, 2), (0, 1, 0)]  # a repeated edge, nodes without any
+    edges = materialize(spark.createDataFrame([(s, d, i, b) for i, (s, d, b) in enumerate(ends)], "src long, dst long, pos int, bin int"), "test-edges")
+    line = lambda a, b: (rng.standard_normal((a, b)), rng.standard_normal(b))
+    inward, outward = line(size, dim), line(dim, 5)
+    layers = [kge.Attention(*(line(dim, dim) for _ in range(4)), rng.standard_normal((16, heads))) for _ in range(2)]
+
+    def expected(ends):
+        h = np.maximum(x @ inward[0] + inward[1], 0)
+        for la in layers:
+            q, k, v = (h @ w + b for w, b in (la.query, la.key, la.value))
+            arrived = np.zeros((n, dim))
+            for head in range(heads):
+                part = slice(head * 2, head * 2 + 2)
+                e = np.exp([q[d, part] @ k[s, part] / np.sqrt(2) + la.bin_bias[b, head] for s, d, b in ends])
+                for (s, d, _), w in zip(ends, e / e.sum(), strict=True):
+                    arrived[d, part] += w * v[s, part]
+            h = h + arrived @ la.out[0] + la.out[1]
+            h = (h - h.mean(1)[:, None]) / np.sqrt(h.var(1)[:, None] + 1e-5)
+        y = h @ outward[0] + outward[1]
+        return y / np.linalg.norm(y, axis=1)[:, None]
+
+    for table, of in ((edges, ends), (edges.limit(0), [])):
+        got = {r.node_id: r.embedding for r in kge.encode_with_attention(features, table, inward, layers, outward).collect()}
+        assert len(got) == n and all(got[i] == pytest.approx(expected(of)[i], abs=1e-9) for i in range(n))
+
+
+def test_configs_and_recommendations():
+    from lightgraph.params import Config, DataConfig, from_dict
+
+    c = from_dict(Config, {"data": {"chunk_size": 9, "unknown": 1}, "evaluation": {"hits_k": (1, 5)}, "other": 3})
+    assert c.data.chunk_size == 9 and c.data.chunk_overlap == 50 and c.evaluation.hits_k == (1, 5) and c.export.normalize and c.training.epochs == 10
+    assert from_dict(DataConfig, {"seed": 7}).seed == 7 and from_dict(Config, {}) == Config()
+    assert kge.recommended_encoder("code")[1] == 768 and kge.recommended_encoder("cooking") == kge.recommended_encoder()
+
+
 def test_encoders(spark):
     texts = spark.createDataFrame([("a", "red green"), ("b", "green red"), ("c", "blue")], "document_id string, text string")
     v = {r.document_id: r.embedding for r in kge.hashed_sentences(texts, 32).collect()}
     assert v["a"] == v["b"] != v["c"] and np.linalg.norm(v["c"]) == pytest.approx(1)
     got = {r.document_id: r.embedding for r in kge.encode_with(texts, lambda: lambda ts: np.array([[len(t), 1.0] for t in ts])).collect()}
     assert got["c"] == [4.0, 1.0]
+    got = {r.document_id: r.embedding for r in kge.encode_instructed(texts, "query", lambda: lambda ts: np.array([[len(said), len(t)] for said, t in ts])).collect()}
+    assert got["c"] == [float(len(kge.INSTRUCTIONS["query"])), 4.0]
     e = spark.createDataFrame([(0, 1, [1.0, 0.0])], "node_id long, bin int, embedding array<double>")
     assert kge.projected(e, np.array([[0.0, 2.0], [1.0, 0.0]]), np.zeros(2)).collect()[0].embedding == [0.0, 1.0]
     assert kge.projected(e, np.stack([np.eye(2), np.array([[0.0, 2.0], [1.0, 0.0]])]), np.zeros(2)).collect()[0].embedding == [0.0, 1.0]
