@@ -462,68 +462,126 @@ def learning_rate(step: int, steps: int, peak: float, warmup: float = 0.1) -> fl
     return peak * (step + 1) / start if step < start else peak * 0.5 * (1 + math.cos(math.pi * (step - start) / max(1, steps - start)))
 
 
+#: Decay of the two moments, and what keeps the second from zero.
+MOMENTS, TINY_MOMENT = (0.9, 0.999), 1e-8
+
+
 def train_rotation(triples: DataFrame, num_entities: int, config: TrainConfig = TrainConfig(), callbacks: list[Callback] = ()) -> tuple[DataFrame, Phases]:
-    """Entities and phases by gradient descent, an epoch one distributed step.
+    """Entities and phases by gradient descent, in steps_per_epoch distributed steps an epoch.
 
-    Entity vectors stay a table: each epoch joins them to its triples and seeded negatives, tasks compute gradients for
-    their rows with numpy, and sums by entity update the table, with gradients clipped to length 1. Phases are BINS rows.
+    Entity vectors, and their moments where the optimizer has some, stay a table: each step joins them to its triples and
+    seeded negatives, tasks compute gradients for their rows with numpy, and sums by entity update the table. Phases are
+    BINS rows. The rate warms up and falls by steps. A step without triples changes nothing.
     """
-    from .triples import negatives
-
+    if config.optimizer not in ("plain", "adamw"):
+        raise ValueError(f"no optimizer is called {config.optimizer}")
+    adamw, steps = config.optimizer == "adamw", max(1, config.steps_per_epoch)
     spark = triples.sparkSession
-    entities, phases = materialize(initial_entities(spark, num_entities, config.dim, config.seed), "kge"), initial_phases(config.dim, config.seed)
+    entities, phases = initial_entities(spark, num_entities, config.dim, config.seed), initial_phases(config.dim, config.seed)
+    if adamw:
+        zeros = F.array_repeat(F.lit(0.0), config.dim)
+        entities = entities.withColumns({"first": zeros, "second": zeros})
+    entities = materialize(entities, "kge")
+    phase_moments = np.zeros((2, BINS, config.dim // 2))
     for c in callbacks:
         c.before_training(config)
-    half, gamma = config.dim // 2, config.gamma
+    half = config.dim // 2
+    dealt = F.pmod(F.xxhash64("head_id", "angle_bin", "tail_id", F.lit(config.seed + 1)), F.lit(steps))
     for epoch in range(config.epochs):
-        bad = negatives(triples, num_entities, config.negatives, config.seed + epoch)
-        rows = bad.select("head_id", "angle_bin", "tail_id", F.lit(-1.0 / config.negatives).alias("sign"), F.col("negative").alias("other"))
-        rows = rows.unionByName(triples.select("head_id", "angle_bin", "tail_id", F.lit(1.0).alias("sign"), F.col("tail_id").alias("other")))
-        h = entities.select(F.col("node_id").alias("head_id"), F.col("embedding").alias("h"))
-        t = entities.select(F.col("node_id").alias("other"), F.col("embedding").alias("t"))
-        ready = rows.join(h, "head_id").join(t, "other").select("head_id", "other", "angle_bin", "sign", "h", "t")
-        now = np.array(phases)
-
-        def gradients(batches: Iterator[pa.RecordBatch], now: np.ndarray = now) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x, y = (matrix(pa.chunked_array([batch.column(c)])) for c in ("h", "t"))
-                b, sign = batch.column("angle_bin").to_numpy(), batch.column("sign").to_numpy()
-                c, s = np.cos(now[b]), np.sin(now[b])
-                re, im = x[:, :half] * c - x[:, half:] * s, x[:, :half] * s + x[:, half:] * c
-                a, d = re - y[:, :half], im - y[:, half:]
-                each = np.sqrt(a * a + d * d + 1e-8)
-                z = np.where(sign > 0, gamma - each.sum(1), each.sum(1) - gamma)
-                loss = np.abs(sign) * np.logaddexp(0, -z)
-                slope = (sign / (1 + np.exp(np.clip(z, -40, 40))))[:, None]  # d loss / d distance
-                ga, gd = slope * a / each, slope * d / each
-                head = np.hstack([ga * c + gd * s, -ga * s + gd * c])
-                turn = ga * (-im) + gd * re
-                g = np.vstack([head, -np.hstack([ga, gd])])
-                ids = np.concatenate([batch.column("head_id").to_numpy(), batch.column("other").to_numpy()])
-                nodes, at = np.unique(ids, return_inverse=True)
-                total = np.zeros((len(nodes), config.dim))
-                np.add.at(total, at, g)
-                bins, bat = np.unique(b, return_inverse=True)
-                phase = np.zeros((len(bins), config.dim))
-                np.add.at(phase[:, :half], bat, turn)
-                keys = np.concatenate([nodes, -1 - bins])
-                losses = np.zeros(len(keys))
-                losses[0] = loss.sum()
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.vstack([total, phase]).tolist(), pa.list_(pa.float64())), pa.array(losses)], names=["key", "g", "loss"])
-
-        made = ready.mapInArrow(gradients, "key long, g array<double>, loss double")
-        summed = materialize(made.groupBy("key").agg(F.array(*(F.sum(F.col("g")[i]) for i in range(config.dim))).alias("g"), F.sum("loss").alias("loss")), "kge-step")
-        rate = learning_rate(epoch, config.epochs, config.learning_rate)
-        size = F.sqrt(F.aggregate("g", F.lit(0.0), lambda s, x: s + x * x))
-        step = F.lit(rate) / F.greatest(size, F.lit(1.0))
-        moved = entities.join(summed.where("key >= 0").select(F.col("key").alias("node_id"), "g", step.alias("step")), "node_id", "left")
-        entities = materialize(moved.select("node_id", F.when(F.col("g").isNull(), F.col("embedding")).otherwise(F.zip_with("embedding", "g", lambda v, g: v - g * F.col("step"))).alias("embedding")), "kge")
-        for r in summed.where("key < 0").collect():  # BINS rows at most
-            g = np.array(r.g[:half])
-            phases[-1 - r.key] = (np.array(phases[-1 - r.key]) - rate * g / max(1.0, float(np.linalg.norm(g)))).tolist()
-        metrics = {"loss": summed.agg(F.sum("loss")).collect()[0][0] / max(1, triples.count())}
-        if any([c.after_epoch(epoch, metrics, (entities, phases)) for c in callbacks]):
+        total_loss, seen = 0.0, 0
+        for part in range(steps):
+            number, some = epoch * steps + part, triples if steps == 1 else triples.where(dealt == part)
+            rate = learning_rate(number, config.epochs * steps, config.learning_rate)
+            summed = _gradient_sums(some, triples, entities, phases, num_entities, config, epoch)
+            n = some.count()
+            totals = summed.agg(F.coalesce(F.sum("loss"), F.lit(0.0)).alias("loss"), F.coalesce(F.sum(_squares("g")), F.lit(0.0)).alias("squares")).collect()[0]
+            total_loss, seen = total_loss + totals.loss, seen + n
+            if not n:
+                continue
+            now = entities.join(summed.where("key >= 0").select(F.col("key").alias("node_id"), "g"), "node_id", "left")
+            if adamw:
+                mean = 1.0 / n / max(1.0, math.sqrt(totals.squares) / n / config.max_grad_norm)
+                entities = materialize(_adamw(now, mean, rate, number + 1, config), "kge")
+                g = np.zeros((BINS, half))
+                for r in summed.where("key < 0").collect():  # BINS rows at most
+                    g[-1 - r.key] = np.array(r.g[:half]) * mean
+                moved, *moments = _adamw_step(np.array(phases), g, *phase_moments, rate, number + 1, config)
+                phases, phase_moments = moved.tolist(), np.stack(moments)
+            else:
+                step = F.lit(rate) / F.greatest(F.sqrt(_squares("g")), F.lit(1.0))
+                moved = F.zip_with("embedding", "g", lambda v, g: v - g * F.col("step"))
+                entities = materialize(now.withColumn("step", step).select("node_id", F.when(F.col("g").isNull(), F.col("embedding")).otherwise(moved).alias("embedding")), "kge")
+                for r in summed.where("key < 0").collect():  # BINS rows at most
+                    g = np.array(r.g[:half])
+                    phases[-1 - r.key] = (np.array(phases[-1 - r.key]) - rate * g / max(1.0, float(np.linalg.norm(g)))).tolist()
+        metrics = {"loss": total_loss / max(1, seen)}
+        model = entities.select("node_id", "embedding"), phases
+        if any([c.after_epoch(epoch, metrics, model) for c in callbacks]):
             break
-    return entities, phases
+    return entities.select("node_id", "embedding"), phases
+
+
+def _squares(column: str) -> Column:
+    return F.aggregate(column, F.lit(0.0), lambda s, x: s + x * x)
+
+
+def _adamw_step(v: np.ndarray, g: np.ndarray, first: np.ndarray, second: np.ndarray, rate: float, t: int, config: TrainConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    first, second = MOMENTS[0] * first + (1 - MOMENTS[0]) * g, MOMENTS[1] * second + (1 - MOMENTS[1]) * g * g
+    ahead = first / (1 - MOMENTS[0] ** t) / (np.sqrt(second / (1 - MOMENTS[1] ** t)) + TINY_MOMENT)
+    return v - rate * (ahead + config.weight_decay * v), first, second
+
+
+def _adamw(rows: DataFrame, scale: float, rate: float, t: int, config: TrainConfig) -> DataFrame:
+    """Entities (node_id, embedding, first, second) after a step along their summed gradients g times scale; none is zero."""
+    b1, b2 = MOMENTS
+    g = F.transform(F.coalesce("g", F.array_repeat(F.lit(0.0), config.dim)), lambda x: x * scale)
+    rows = rows.withColumn("g", g)
+    rows = rows.withColumns({"first": F.zip_with("first", "g", lambda m, x: m * b1 + x * (1 - b1)), "second": F.zip_with("second", "g", lambda m, x: m * b2 + x * x * (1 - b2))})
+    ahead = F.zip_with("first", "second", lambda m, s: m / (1 - b1**t) / (F.sqrt(s / (1 - b2**t)) + TINY_MOMENT))
+    return rows.select("node_id", F.zip_with("embedding", ahead, lambda v, d: v - (d + v * config.weight_decay) * rate).alias("embedding"), "first", "second")
+
+
+def _gradient_sums(some: DataFrame, triples: DataFrame, entities: DataFrame, phases: Phases, num_entities: int, config: TrainConfig, epoch: int) -> DataFrame:
+    """(key, g, loss), written: sums over some of the triples and their negatives. key: an entity, or -1 - bin for phases."""
+    from .triples import negatives
+
+    half, gamma = config.dim // 2, config.gamma
+    bad = negatives(triples, num_entities, config.negatives, config.seed + epoch, of=None if some is triples else some)
+    rows = bad.select("head_id", "angle_bin", "tail_id", F.lit(-1.0 / config.negatives).alias("sign"), F.col("negative").alias("other"))
+    rows = rows.unionByName(some.select("head_id", "angle_bin", "tail_id", F.lit(1.0).alias("sign"), F.col("tail_id").alias("other")))
+    h = entities.select(F.col("node_id").alias("head_id"), F.col("embedding").alias("h"))
+    t = entities.select(F.col("node_id").alias("other"), F.col("embedding").alias("t"))
+    ready = rows.join(h, "head_id").join(t, "other").select("head_id", "other", "angle_bin", "sign", "h", "t")
+    now = np.array(phases)
+
+    def gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (matrix(pa.chunked_array([batch.column(c)])) for c in ("h", "t"))
+            b, sign = batch.column("angle_bin").to_numpy(), batch.column("sign").to_numpy()
+            c, s = np.cos(now[b]), np.sin(now[b])
+            re, im = x[:, :half] * c - x[:, half:] * s, x[:, :half] * s + x[:, half:] * c
+            a, d = re - y[:, :half], im - y[:, half:]
+            each = np.sqrt(a * a + d * d + 1e-8)
+            z = np.where(sign > 0, gamma - each.sum(1), each.sum(1) - gamma)
+            loss = np.abs(sign) * np.logaddexp(0, -z)
+            slope = (sign / (1 + np.exp(np.clip(z, -40, 40))))[:, None]  # d loss / d distance
+            ga, gd = slope * a / each, slope * d / each
+            head = np.hstack([ga * c + gd * s, -ga * s + gd * c])
+            turn = ga * (-im) + gd * re
+            g = np.vstack([head, -np.hstack([ga, gd])])
+            ids = np.concatenate([batch.column("head_id").to_numpy(), batch.column("other").to_numpy()])
+            nodes, at = np.unique(ids, return_inverse=True)
+            total = np.zeros((len(nodes), config.dim))
+            np.add.at(total, at, g)
+            bins, bat = np.unique(b, return_inverse=True)
+            phase = np.zeros((len(bins), config.dim))
+            np.add.at(phase[:, :half], bat, turn)
+            keys = np.concatenate([nodes, -1 - bins])
+            losses = np.zeros(len(keys))
+            losses[0] = loss.sum()
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.vstack([total, phase]).tolist(), pa.list_(pa.float64())), pa.array(losses)], names=["key", "g", "loss"])
+
+    made = ready.mapInArrow(gradients, "key long, g array<double>, loss double")
+    return materialize(made.groupBy("key").agg(F.array(*(F.sum(F.col("g")[i]) for i in range(config.dim))).alias("g"), F.sum("loss").alias("loss")), "kge-step")

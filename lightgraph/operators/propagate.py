@@ -109,7 +109,7 @@ def propagate(graph: Graph, sources: DataFrame, params: LightParams = LightParam
         every = every.unionByName(level)
     if mode == "maxbin":
         every = every.groupBy("qid", "v", "bin").agg(F.max("x").alias("x"))
-    return every.groupBy("qid", F.col("v").alias("node_id")).agg(F.sum("x").alias("intensity"))
+    return total_by_node(every.withColumnRenamed("v", "node_id"))
 
 
 def total_by_node(states: DataFrame) -> DataFrame:

@@ -54,15 +54,16 @@ def valid_heads(mapped: DataFrame) -> DataFrame:
 FIRST_DRAWS = 2
 
 
-def negatives(mapped: DataFrame, num_entities: int, k: int = 8, seed: int = 42, attempts: int = 10) -> DataFrame:
+def negatives(mapped: DataFrame, num_entities: int, k: int = 8, seed: int = 42, attempts: int = 10, of: DataFrame | None = None) -> DataFrame:
     """(head_id, angle_bin, tail_id, n, negative): k entities each that aren't valid tails, from `attempts` * k draws by
-    a seeded hash; where those don't suffice, draws that may be valid fill up.
+    a seeded hash; where those don't suffice, draws that may be valid fill up. of: the triples to draw for, all by default.
 
     Draws count in order, so a triple whose first draws hold k entities that aren't valid tails needs no more of them.
     """
     keys = ["head_id", "angle_bin", "tail_id"]
     distinct = materialize(mapped.select(*keys).distinct(), "negatives-triples")
-    first = materialize(_best_draws(distinct, distinct, num_entities, k, seed, min(FIRST_DRAWS, attempts) * k), "negatives-first")
+    asked = distinct if of is None else of.select(*keys).distinct()
+    first = materialize(_best_draws(asked, distinct, num_entities, k, seed, min(FIRST_DRAWS, attempts) * k), "negatives-first")
     short = first.where("valid = 1").select(*keys).distinct()
     made = first
     if attempts > FIRST_DRAWS:

@@ -64,6 +64,12 @@ class TrainConfig:
     gamma: float = 12.0
     negatives: int = 8
     seed: int = 42
+    #: `plain` steps against each entity's clipped gradient; `adamw` with moments, decay and one norm that clips all.
+    optimizer: str = "plain"
+    weight_decay: float = 0.01
+    max_grad_norm: float = 1.0
+    #: Distributed steps an epoch, each with the triples that a hash deals it.
+    steps_per_epoch: int = 1
 
 
 @dataclass(frozen=True)

@@ -92,6 +92,7 @@ def test_negatives_of_crowded_heads(spark):
     full = triples._best_draws(m, m, 60, 4, 42, 40).select("head_id", "angle_bin", "tail_id", (F.col("rank") - 1).alias("n"), "negative")
     assert got == sorted(tuple(r) for r in full.collect()) and len(got) == 79 * 4
     assert triples.negatives(m.limit(0), 60, 4).count() == 0
+    assert sorted(tuple(r) for r in triples.negatives(m, 60, 4, of=m.where("head_id = 3")).collect()) == [r for r in got if r[0] == 3]
 
 
 def test_contrastive(spark):

@@ -84,6 +84,35 @@ def test_training_lowers_the_loss(spark, tmp_path):
     assert [stop.after_epoch(i, {"loss": 1.0}, None) for i in range(3)] == [False, False, True]
 
 
+def test_training_with_moments(spark):
+    from lightgraph.params import TrainConfig
+
+    t = spark.createDataFrame([(i, i % 3, (i + 1) % 12) for i in range(12)], "head_id long, angle_bin int, tail_id long")
+    history = kge.History()
+    entities, phases = kge.train_rotation(t, 13, TrainConfig(dim=8, epochs=3, learning_rate=0.1, negatives=2, optimizer="adamw", steps_per_epoch=2), [history])
+    losses = [r["loss"] for r in history.rows]
+    assert losses[-1] < losses[0] and entities.columns == ["node_id", "embedding"] and entities.count() == 13 and len(phases) == 16
+    with pytest.raises(ValueError):
+        kge.train_rotation(t, 13, TrainConfig(optimizer="none"))
+
+
+def test_moments_of_entities(spark):
+    from lightgraph.params import TrainConfig
+
+    rng, config = np.random.default_rng(2), TrainConfig(dim=4)
+    v, g, first, second = rng.standard_normal((4, 3, 4))
+    second = second**2
+    rows = [(i, v[i].tolist(), first[i].tolist(), second[i].tolist(), g[i].tolist() if i else None) for i in range(3)]
+    got = kge._adamw(spark.createDataFrame(rows, "node_id long, embedding array<double>, first array<double>, second array<double>, g array<double>"), 0.5, 0.1, 3, config)
+    g[0] = 0  # an entity of no triple
+    expected = kge._adamw_step(v, g * 0.5, first, second, 0.1, 3, config)
+    for r in got.collect():
+        for have, want in zip((r.embedding, r.first, r.second), expected, strict=True):
+            assert have == pytest.approx(want[r.node_id], abs=1e-12)
+    m, s = 0.9 * first + 0.1 * g * 0.5, 0.999 * second + 0.001 * (g * 0.5) ** 2
+    assert expected[0] == pytest.approx(v * (1 - 0.1 * 0.01) - 0.1 * (m / (1 - 0.9**3)) / (np.sqrt(s / (1 - 0.999**3)) + 1e-8), abs=1e-12)
+
+
 def test_graph_encoder(spark):
     rng = np.random.default_rng(3)
     x = frame(spark, [(i, rng.standard_normal(4).tolist()) for i in range(6)])
