@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare, table
-from . import ann, bpe, brown, langid, packing, pii, quality, rules, simhash, warc
+from . import alignment, ann, bpe, brown, conversations, exact, langid, packing, pii, quality, rules, simhash, warc
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,11 +51,24 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(prepare(spark), sf_dir, "documents"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digests(table(prepare(spark), sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(conversations.damaged(table(prepare(spark), sf_dir, "conversations")))
+
+
+def op13_exact_dedup_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.classes(table(prepare(spark), sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_quality_rules, op3_bpe_round_trip, op4_language_id, op5_multi_index_hashing,
         op6_grouping_genetic_packing, op7_warc_index_first, op8_pii_deobfuscation, op9_brown_lm_scoring, op10_simhash_near_dedup,
+        op11_cross_tokenizer_alignment, op12_conversation_repair, op13_exact_dedup_tree,
     )
 }
 
@@ -99,7 +112,7 @@ def _rules_sql() -> str:
     """
 
 
-#: op2 and op7 are within SQL. The others learn, hash with XXH64 or crc32, or track positions, which DuckDB can't follow.
+#: op2, op7 and op13 are within SQL. The others learn, hash with XXH64 or crc32, tokenize, or track positions, which DuckDB can't follow.
 ORACLE_SQL = {
     "op2_quality_rules": _rules_sql(),
     "op7_warc_index_first": """
@@ -113,4 +126,9 @@ ORACLE_SQL = {
                CASE WHEN first IS NOT DISTINCT FROM page_id THEN NULL ELSE first END AS refers_to
         FROM p LEFT JOIN f ON d = payload_digest AND payload_bytes >= 100
     """,
+    "op13_exact_dedup_tree": """
+        WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS plain FROM documents),
+        g AS (SELECT doc_id, max(doc_id) OVER (PARTITION BY plain) AS keep_id, count(*) OVER (PARTITION BY plain) AS group_size, sha256(plain) AS text_sha256 FROM t)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
+    """,
 }
