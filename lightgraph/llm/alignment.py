@@ -29,11 +29,13 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +49,7 @@ SPACE = "▁"  # how B writes a space
 #: White space, and what versions of Unicode have held for it; a cut has none of these before it.
 GAP = r"\s᠎​﻿"
 #: Characters of text in a batch, about; one document is never divided.
-BATCH = 4 << 20
+BATCH = 16 << 20
 
 SEGMENTED = "batch long, doc_ids array<bigint>, sizes array<int>, numbers binary, segments array<string>, repeats array<int>"
 ALIGNED = "segment string, n long, good boolean, n_a int, n_b int, links array<bigint>, groups string"
@@ -123,8 +125,18 @@ def pair(a_file: str, b_file: str) -> Pair:
     return Pair(a_file, b_file)
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """int32 values, byte by byte in four planes, compressed: they are written once and sent once."""
+    return zstandard.ZstdCompressor(3).compress(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<i4").ravel()
+
+
 def segmented(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, batch_chars: int = BATCH) -> DataFrame:
-    """Batches of documents: ids, segments a document, their numbers (4 bytes each), the batch's distinct segments and how often each is there."""
+    """Batches of documents: ids, segments a document, their numbers, the batch's distinct segments and how often each is there."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, batch = pair(a_file, b_file), TaskContext.get().partitionId() << 32
@@ -133,7 +145,7 @@ def segmented(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, batch
 
         def finish() -> pa.RecordBatch:
             flat = np.concatenate(numbers) if numbers else np.empty(0, np.int32)
-            row = {"batch": batch, "doc_ids": ids, "sizes": sizes, "numbers": flat.tobytes(), "segments": list(place), "repeats": np.bincount(flat, minlength=len(place))}
+            row = {"batch": batch, "doc_ids": ids, "sizes": sizes, "numbers": packed(flat), "segments": list(place), "repeats": np.bincount(flat, minlength=len(place))}
             return pa.RecordBatch.from_pylist([row], kind)
 
         for rows in batches:
@@ -161,25 +173,22 @@ def aligned(counted: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE) -> D
 
         def work(batch: pa.RecordBatch) -> list:
             segments = batch.column(0).to_pylist()
-            good, n_a, n_b, links, groups = [], [], [], [], []
-            for text, a, b in zip(segments, *both.tokenized(segments), strict=True):
-                plain = text.encode()
-                fits = b"".join([both.a_bytes[i] for i in a]) == plain == b"".join([both.b_bytes[i] for i in b])
-                good.append(fits)
-                if not fits:
-                    a = b = []
-                n_a.append(len(a))
-                n_b.append(len(b))
-                ends_a, ends_b = np.cumsum(both.a_size[a]), np.cumsum(both.b_size[b])
-                _, i, j = np.intersect1d(ends_a, ends_b, True, return_indices=True) if len(a) > 1 and len(b) > 1 else (0, [len(a) - 1] * bool(a), [len(b) - 1] * bool(b))
-                link, said, p, q = [], [], 0, 0
-                for x, y in zip(i, j, strict=True):
-                    link.append(a[x] << 32 | b[y])
-                    said.append(",".join(map(str, a[p : x + 1])) + "|" + ",".join(map(str, b[q : y + 1])))
-                    p, q = x + 1, y + 1
-                links.append(link)
-                groups.append(";".join(said))
-            return [batch.column(0), batch.column(1), good, n_a, n_b, links, groups]
+            a, b = both.tokenized(segments)
+            good = [b"".join([both.a_bytes[i] for i in x]) == text.encode() == b"".join([both.b_bytes[i] for i in y]) for text, x, y in zip(segments, a, b, strict=True)]
+            if not all(good):
+                a, b = ([x if fits else [] for x, fits in zip(side, good, strict=True)] for side in (a, b))
+            n_a, n_b = (np.fromiter(map(len, side), np.int32, len(side)) for side in (a, b))
+            flat_a, flat_b = (np.fromiter(chain.from_iterable(side), np.int64, int(n.sum())) for side, n in ((a, n_a), (b, n_b)))
+            # What is spelt has as many bytes in A as in B, so ends may be counted on through the whole batch.
+            ends_a, ends_b = np.cumsum(both.a_size[flat_a]), np.cumsum(both.b_size[flat_b])
+            _, i, j = np.intersect1d(ends_a, ends_b, True, return_indices=True)
+            links = flat_a[i] << 32 | flat_b[j]
+            n_links = np.diff(np.searchsorted(i, np.cumsum(n_a)), prepend=0)
+            said_a, said_b = (np.split(np.array(list(map(str, flat.tolist())), object), at[:-1] + 1) for flat, at in ((flat_a, i), (flat_b, j)))
+            said = [",".join(x) + "|" + ",".join(y) for x, y in zip(said_a, said_b, strict=True)] if len(i) else []
+            ends = np.cumsum(n_links).tolist()
+            groups = [";".join(said[p:q]) for p, q in zip([0, *ends], ends, strict=False)]
+            return [batch.column(0), batch.column(1), good, n_a, n_b, pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(links, pa.int64())), groups]
 
         return work
 
@@ -233,7 +242,7 @@ def composed(batches: DataFrame, parts: DataFrame) -> DataFrame:
         groups = segments.column("groups").to_pylist()
         sums = {c: segments.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b", "n_links", "n_best", "count_sum")}
         bad = ~segments.column("good").to_numpy()
-        numbers = np.frombuffer(row["numbers"], np.int32)
+        numbers = unpacked(row["numbers"])
         found, start = {c: [] for c in names}, 0
         for doc_id, size in zip(row["doc_ids"], row["sizes"], strict=True):
             own, start = numbers[start : start + size], start + size
