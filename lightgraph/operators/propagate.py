@@ -1,27 +1,42 @@
 """Light propagation: bounded intensity that spreads along edges, weaker the more an edge turns from the way it came.
 
-Many (qid, source, bin) run as one batch. A depth is one join of the frontier with the edges, written to the shared
-folder, since both the totals and the next frontier read it. Three modes:
+Many (qid, source, bin) run as one batch. Arcs are written once, in buckets of their source, so that a depth shuffles
+its frontier but never the arcs; a node with very many arcs has them in shares, a bucket key each, and its frontier
+rows go to all of them. A depth's transmissions are written to the shared folder. What all depths so far came to is one
+row for each (qid, node, bin), its strongest and the sum, brought up to date by each depth. Three modes:
 
 - ordered: every transmission counts; one that is stronger than all before it at its (node, bin), in visiting order,
   goes on. The order is an array of edge positions along the path, and "before" is a running maximum over it.
 - maxbin: only the strongest at each (node, bin) counts, whenever it came. Order plays no part, so each depth is a plain
   maximum: the mode for very large frontiers.
 - levelmax: every transmission counts; the strongest of each depth goes on, without memory of other depths.
+
+The running maximum of mode ordered is a window as long as no (qid, node, bin) has more than HUB rows in a depth. Beyond
+that it is a scan over stretches: rows are dealt out by ranges of (qid, node, bin, order), a task keeps those stronger
+than all before them in its stretch, and the maxima of earlier stretches, a row each, decide among them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import angular_distance
 from ..functions.lookups import LEAST_SIMILARITY, property_similarity
 from ..params import MODES, LightParams, PropagationError
-from ..session import materialize
+from ..session import bucketed, discard, forget, materialize
 from .graph import Graph
 
 SOURCES = "qid long, node_id long, bin int, weight double"
+#: Arcs of a node in one share, arcs in a bucket, and rows of one (qid, node, bin) that a window takes.
+SHARE, BUCKET, HUB = 1 << 16, 1 << 21, 1 << 20
+#: Rows of depths that are read again before what they came to is written.
+LAZY = 1 << 18
+KEY = ("qid", "v", "bin")
 
 
 def sources_of(spark: SparkSession, rows: list[tuple]) -> DataFrame:
@@ -58,58 +73,136 @@ def arcs(graph: Graph, gate: bool, pvs: DataFrame | None) -> DataFrame:
     return out.select(*keep, *(["room_u", "room_v"] if pvs is not None else []))
 
 
-def propagate(graph: Graph, sources: DataFrame, params: LightParams = LightParams(), mode: str = "ordered", pvs: DataFrame | None = None) -> DataFrame:
+def shares(edges: DataFrame, share: int = SHARE) -> tuple[DataFrame, DataFrame | None]:
+    """Arcs in buckets of src, or of (src, share) and with (src, last_share) of the nodes that have several, if there are any; pos
+    tells an arc's share."""
+    many = not edges.where(F.col("pos") >= share).isEmpty()
+    buckets = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() // BUCKET))
+    dealt = edges.withColumn("share", F.floor(F.col("pos") / share).cast("int")) if many else edges
+    table = bucketed(dealt, "light-arcs", buckets, "src", *(["share"] if many else []))
+    return table, materialize(table.where("share > 0").groupBy("src").agg(F.max("share").alias("last_share")), "light-hubs") if many else None
+
+
+def transmissions(frontier: DataFrame, edges: DataFrame, hubs: DataFrame | None, pvs: DataFrame | None, params: LightParams, mode: str) -> DataFrame:
+    """(qid, v, bin, x), and seq in mode ordered: what the frontier (qid, u, bin, x, seq) sends along the arcs."""
+    sent = frontier.where(F.col("x") >= params.min_intensity).withColumnsRenamed({"bin": "bin_in", "u": "src"})
+    if hubs is None:
+        step = sent.join(edges, "src")
+    else:
+        step = sent.join(hubs, "src", "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("last_share", F.lit(0))))).join(edges, ["src", "share"])
+    if pvs is not None:
+        seen = pvs.select(F.col("from_room").alias("room_u"), F.col("bin").alias("bin_in"), F.col("to_room").alias("room_v"))
+        step = step.join(seen, ["room_u", "bin_in", "room_v"], "left_semi")
+    turn = angular_distance(F.col("bin_in"), F.col("bin_out"), params.bins) / F.lit(float(params.bins))
+    x = F.col("x") * F.col("factor") * F.exp(F.lit(-float(params.k)) * F.col("refraction") * turn * turn)
+    order = [F.concat("seq", F.array("pos")).alias("seq")] if mode == "ordered" else []
+    cand = step.select("qid", F.col("dst").alias("v"), F.col("bin_out").alias("bin"), x.alias("x"), *order).where(F.col("x") >= params.min_intensity)
+    return cand.groupBy(*KEY).agg(F.max("x").alias("x")) if mode == "maxbin" else cand
+
+
+def records(cand: DataFrame) -> DataFrame:
+    """Rows (qid, v, bin, x, seq) that are stronger than all before them in their (qid, v, bin), by a window."""
+    earlier = F.max("x").over(Window.partitionBy(*KEY).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    return cand.withColumn("earlier", earlier).where(F.col("earlier").isNull() | (F.col("x") > F.col("earlier"))).drop("earlier")
+
+
+def records_by_stretches(cand: DataFrame) -> DataFrame:
+    """The same rows as records(), for groups of any size: none is gathered in one task."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, most = None, -np.inf  # the group that the batch before ended in, and its maximum
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in KEY])
+            x = batch.column("x").to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0)))
+            keep = np.zeros(len(x), bool)
+            for a, b in zip(starts, np.append(starts[1:], len(x)), strict=True):
+                group = tuple(keys[:, a].tolist())
+                before = np.maximum.accumulate(np.append(most if group == last else -np.inf, x[a:b]))
+                keep[a:b] = x[a:b] > before[:-1]
+                last, most = group, before[-1]
+            yield batch.filter(pa.array(keep))
+
+    order = [*KEY, "seq"]
+    ranged = cand.select(*KEY, "x", "seq").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("stretch", F.spark_partition_id())
+    # A task's batches are its partition's rows in order, so `stretch` numbers the ranges.
+    best = materialize(ranged.mapInArrow(work, ranged.schema), "light-records")
+    tops = best.groupBy("stretch", *KEY).agg(F.max("x").alias("top"))
+    before = F.max("top").over(Window.partitionBy(*KEY).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
+    earlier = tops.withColumn("earlier", before).where(F.col("earlier").isNotNull()).drop("top")
+    return best.join(earlier, ["stretch", *KEY], "left").where(F.col("earlier").isNull() | (F.col("x") > F.col("earlier"))).select(*KEY, "x", "seq")
+
+
+def propagate(
+    graph: Graph, sources: DataFrame, params: LightParams = LightParams(), mode: str = "ordered", pvs: DataFrame | None = None,
+    hub: int = HUB, share: int = SHARE, bucket: int = BUCKET, lazy: int = LAZY,
+) -> DataFrame:
     """(qid, node_id, intensity) of all nodes that light reaches; a missing row is intensity 0.
 
     pvs (from_room, bin, to_room) prunes edges into rooms that are not visible, in mode ordered only; it loses light
-    that only a room's other nodes could pass on, so it is never used unasked.
+    that only a room's other nodes could pass on, so it is never used unasked. hub, share, bucket, lazy: rows of a (qid,
+    node, bin) beyond which the running maximum is a scan over stretches, arcs of a node that go together, arcs beyond
+    which they are kept in buckets, and rows beyond which each depth writes what all came to. None changes the result.
     """
     if mode not in MODES:
         raise PropagationError(f"mode {mode} is none of {MODES}")
     if params.bins < 1 or params.max_depth < 0:
         raise PropagationError("bins must be 1 or more and max_depth 0 or more")
     pvs = pvs if mode == "ordered" else None
-    edges = arcs(graph, mode == "ordered", pvs)
-    if params.max_depth > 1:  # every depth reads them, so their joins and numbering run once
-        edges = materialize(edges, "light-arcs")
+    edges, hubs = arcs(graph, mode == "ordered", pvs), None
+    if params.max_depth > 1:
+        edges = materialize(edges, "light-edges")  # every depth reads them, so their joins and numbering run once
+        if edges.count() > bucket:
+            few, (edges, hubs) = edges, shares(edges, share)
+            discard(few)
     frontier = materialize(seeds(graph, sources, params, mode), "light-0")
-    levels = [frontier.select("qid", F.col("u").alias("v"), "bin", "x")]
+    state = frontier.select("qid", F.col("u").alias("v"), "bin", F.col("x").alias("best"), F.col("x").alias("total"))
+    held, read, reread = [], [], 0  # tables behind the state, tables that only the frontier still reads, rows behind the state
     for depth in range(1, params.max_depth + 1):
-        step = frontier.where(F.col("x") >= params.min_intensity).withColumnRenamed("bin", "bin_in").join(edges, F.col("u") == F.col("src"))
-        if pvs is not None:
-            seen = pvs.select(F.col("from_room").alias("room_u"), F.col("bin").alias("bin_in"), F.col("to_room").alias("room_v"))
-            step = step.join(seen, ["room_u", "bin_in", "room_v"], "left_semi")
-        turn = angular_distance(F.col("bin_in"), F.col("bin_out"), params.bins) / F.lit(float(params.bins))
-        x = F.col("x") * F.col("factor") * F.exp(F.lit(-float(params.k)) * F.col("refraction") * turn * turn)
-        cand = step.select("qid", F.col("dst").alias("v"), F.col("bin_out").alias("bin"), x.alias("x"), *([F.concat("seq", F.array("pos")).alias("seq")] if mode == "ordered" else [])).where(F.col("x") >= params.min_intensity)
-        if mode == "maxbin":
-            cand = cand.groupBy("qid", "v", "bin").agg(F.max("x").alias("x"))
-        cand = materialize(cand, f"light-{depth}")
-        if cand.isEmpty():
-            break
-        so_far = levels[0]
-        for level in levels[1:]:
-            so_far = so_far.unionByName(level)
-        levels.append(cand.select("qid", "v", "bin", "x"))
-        if depth == params.max_depth:
+        cand = materialize(transmissions(frontier, edges, hubs, pvs, params, mode), f"light-{depth}")
+        discard(*read)
+        rows, read = cand.count(), []  # from the files' footers
+        if not rows:
             break
-        inside = cand.where(F.col("bin").between(0, params.bins - 1))
-        best = so_far.groupBy("qid", "v", "bin").agg(F.max("x").alias("best"))
-        if mode == "levelmax":
-            ahead = inside.groupBy("qid", "v", "bin").agg(F.max("x").alias("x"))
-        elif mode == "maxbin":
-            ahead = inside.join(best, ["qid", "v", "bin"], "left").where(F.col("best").isNull() | (F.col("x") > F.col("best"))).drop("best")
-        else:
-            earlier = F.max("x").over(Window.partitionBy("qid", "v", "bin").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-            ahead = inside.withColumn("earlier", earlier).where(F.col("earlier").isNull() | (F.col("x") > F.col("earlier"))).join(best, ["qid", "v", "bin"], "left")
-            ahead = ahead.where(F.col("best").isNull() | (F.col("x") > F.col("best"))).drop("best", "earlier")
-        frontier = ahead.withColumnRenamed("v", "u")
-    every = levels[0]
-    for level in levels[1:]:
-        every = every.unionByName(level)
-    if mode == "maxbin":
-        every = every.groupBy("qid", "v", "bin").agg(F.max("x").alias("x"))
-    return total_by_node(every.withColumnRenamed("v", "node_id"))
+        held.append(cand)
+        reread += rows
+        came = cand.select(*KEY, F.col("x").alias("best"), F.col("x").alias("total"))
+        after = state.unionByName(came)
+        if depth < params.max_depth:
+            frontier = ahead(cand, state, params, mode, rows > hub and largest(cand) > hub).withColumnRenamed("v", "u")
+            if reread > lazy:
+                after = materialize(summed(after, mode), f"light-state-{depth}")
+                held, read, reread = [after], held, after.count()
+        state = after
+    if hubs is not None:
+        discard(hubs)
+    if hasattr(edges, "known_as"):
+        forget(edges)
+    return total_by_node(summed(state, mode).select("qid", F.col("v").alias("node_id"), "bin", F.col("total").alias("x")))
+
+
+def summed(state: DataFrame, mode: str) -> DataFrame:
+    """One row (qid, v, bin, best, total): the strongest, and the sum of all that came; in mode maxbin the strongest alone."""
+    total = F.max("total") if mode == "maxbin" else F.sum("total")
+    return state.groupBy(*KEY).agg(F.max("best").alias("best"), total.alias("total"))
+
+
+def largest(cand: DataFrame) -> int:
+    """Rows of the largest (qid, v, bin)."""
+    return cand.groupBy(*KEY).count().agg(F.max("count")).collect()[0][0]
+
+
+def ahead(cand: DataFrame, state: DataFrame, params: LightParams, mode: str, by_stretches: bool) -> DataFrame:
+    """The rows of a depth that go on. state: (qid, v, bin, best) of the depths before it."""
+    inside = cand.where(F.col("bin").between(0, params.bins - 1))
+    if mode == "levelmax":
+        return inside.groupBy(*KEY).agg(F.max("x").alias("x"))
+    if mode == "ordered":
+        inside = records_by_stretches(inside) if by_stretches else records(inside)
+    best = state.groupBy(*KEY).agg(F.max("best").alias("best"))
+    return inside.join(best, list(KEY), "left").where(F.col("best").isNull() | (F.col("x") > F.col("best"))).drop("best")
 
 
 def total_by_node(states: DataFrame) -> DataFrame:

@@ -58,6 +58,24 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, *keys: str) -> DataFrame:
+    """materialize() in `buckets` buckets of the keys, a file each, sorted by them: joins and groups by the keys read it without a shuffle.
+    forget() takes the table out of the catalog again."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    known = f"lightgraph_{uuid.uuid4().hex}"
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet").option("path", path).saveAsTable(known)
+    out = spark.table(known)
+    out.written_at, out.known_as = path, known
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Drop what bucketed() wrote for these, files too; nothing may read them any more."""
+    for df in tables:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.known_as}")
+        discard(df)
+
+
 def discard(*written: DataFrame) -> None:
     """Delete what materialize() wrote for these; nothing may read them any more. For rounds of iterations."""
     for df in written:

@@ -10,6 +10,7 @@ from lightgraph.functions.columns import directional_luminance
 from lightgraph.functions.lookups import similarity_of
 from lightgraph.operators import influence
 from lightgraph.operators.graph import Graph
+from lightgraph.operators import propagate as light
 from lightgraph.operators.propagate import propagate, sources_of
 from lightgraph.params import LightParams, PropagationError
 from lightgraph.plans.graphs import ring_graph
@@ -139,3 +140,66 @@ def test_edges_of_the_parameter_space(spark):
     assert [r.node_id for r in top] == [0, 1] and top[0].distance == pytest.approx(-0.693148, abs=1e-6)
     assert influence.distance(graph, 0, 7, 2).collect()[0].distance is None
     assert influence.distance_or_infinity(graph, 2, 0).collect()[0].distance == math.inf
+
+
+@pytest.mark.parametrize("mode", ["ordered", "maxbin", "levelmax"])
+def test_buckets_shares_and_stretches_change_nothing(spark, mode):
+    """Arcs in buckets and shares of two, every depth's sums written, the running maximum over stretches: the rows of the plain way."""
+    rng = random.Random(11)
+    nodes = [(i, 2.0, 0.95, 1.0) for i in range(14)]
+    graph = graph_of(spark, nodes, [(rng.randrange(14), rng.randrange(14), rng.random() / 4, rng.randrange(16)) for _ in range(70)]).materialized()
+    sources = sources_of(spark, [(q, q % 14, q % 16) for q in range(9)])
+    rows = lambda **how: {(r.qid, r.node_id): r.intensity for r in propagate(graph, sources, LightParams(max_depth=3), mode, **how).collect()}
+    assert rows(hub=0, share=2, bucket=0, lazy=0) == pytest.approx(rows(), abs=1e-9)
+
+
+def test_arcs_are_not_shuffled(spark):
+    """The plan of a depth has one exchange, that of the frontier; the arcs' side reads buckets."""
+    graph = ring_graph(spark, 500).materialized()
+    edges, hubs = light.shares(light.arcs(graph, True, None))
+    assert hubs is None
+    frontier = light.seeds(graph, sources_of(spark, [(q, q, 2) for q in range(300)]), LightParams(), "ordered")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        from lightgraph.session import forget, materialize
+
+        step = light.transmissions(materialize(frontier, "front"), edges, hubs, None, LightParams(), "ordered")
+        plan = step._jdf.queryExecution().executedPlan().toString()
+        assert step.count() == 300 * 8
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Bucketed: true" in plan and plan.count("Exchange") == 1 and "SortMergeJoin" in plan
+    forget(edges)
+    assert not [t for t in spark.catalog.listTables() if t.name == edges.known_as]
+
+
+def test_a_hub_is_many_tasks(spark):
+    """A star of 100,000 arcs into one node: its running maximum is dealt out by ranges of the order, and equals the window's."""
+    n = 100_000
+    star = spark.range(n).select(F.lit(0).cast("long").alias("qid"), F.lit(7).cast("long").alias("v"), F.lit(3).alias("bin"), (F.xxhash64("id") % 1_000_003).cast("double").alias("x"), F.array(F.lit(2), F.col("id").cast("int")).alias("seq"))
+    other = spark.range(500).select((F.col("id") % 5).alias("qid"), (F.col("id") % 3).alias("v"), (F.col("id") % 2).cast("int").alias("bin"), (F.xxhash64("id") % 97).cast("double").alias("x"), F.array(F.lit(1), F.col("id").cast("int")).alias("seq"))
+    cand = star.unionByName(other)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        order = [*light.KEY, "seq"]
+        tasks = cand.repartitionByRange(*order).where("v = 7").groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) >= 12 and max(r["count"] for r in tasks) < n // 5
+        got = sorted(map(tuple, light.records_by_stretches(cand).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == sorted(map(tuple, light.records(cand).select(*light.KEY, "x", "seq").collect()))
+
+
+def test_a_node_with_many_arcs_in_shares(spark):
+    """A star of 20,000 arcs out of one node and back into another, in shares of 1,000."""
+    n = 20_000
+    nodes = spark.range(n + 2).select(F.col("id").alias("node_id"), F.lit(2.0).alias("luminance"), F.lit(0.9).alias("reflection"))
+    out = spark.range(n).select(F.lit(n).cast("long").alias("src"), F.col("id").alias("dst"), F.col("id").cast("int").alias("pos"), F.lit(0.1).alias("attenuation"), F.lit(2).alias("bin"))
+    back = spark.range(n).select(F.col("id").alias("src"), F.lit(n + 1).cast("long").alias("dst"), F.lit(0).alias("pos"), F.lit(0.1).alias("attenuation"), F.lit(2).alias("bin"))
+    graph = Graph.of(nodes, out.unionByName(back))
+    edges, hubs = light.shares(light.arcs(graph, True, None), 1000)
+    assert [tuple(r) for r in hubs.collect()] == [(n, 19)]
+    got = {r.node_id: r.intensity for r in propagate(graph, sources_of(spark, [(0, n, 2)]), LightParams(max_depth=2), share=1000, bucket=0, hub=100).collect()}
+    assert len(got) == n + 2 and got[n + 1] == pytest.approx(n * 2 * 0.81 * 0.81, rel=1e-9)
