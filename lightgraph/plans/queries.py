@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fn
 from ..functions import lookups as lk
-from ..operators import influence, kge, rag, rooms, text, triples, users, vectors
+from ..operators import influence, kge, neighbors, rag, rooms, text, triples, users, vectors
 from ..operators.graph import Graph, GraphBuilder
 from ..operators.graph import document_nodes as graph_nodes
 from ..operators.propagate import propagate, sources_of
@@ -436,6 +436,20 @@ def knn_edges(spark, d):
     return vectors.knn_edges(graphs.vector_graph(spark, d)[1], 3)
 
 
+@query()
+def knn_graph(spark, d):
+    """Most of the nearest: NN-descent. knn_graph_recall holds it against all pairs."""
+    return neighbors.near_edges(graphs.vector_graph(spark, d)[1], 3)
+
+
+@query("SELECT count(*) * least(3, count(*) - 1) AS num_edges, true AS recall_reached FROM embeddings")
+def knn_graph_recall(spark, d):
+    """All edges of the exact graph, and whether the approximate one has nine tenths of them."""
+    e = graphs.vector_graph(spark, d)[1]
+    row = neighbors.recall(neighbors.near_edges(e, 3), vectors.knn_edges(e, 3))
+    return row.select("num_edges", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
 @query(
     "WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))) AS s "
     f"FROM embeddings a, embeddings b WHERE a.label = 0 AND b.label = 1) SELECT a, b, {r6('s', 'similarity')} FROM p"
