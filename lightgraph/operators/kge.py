@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import cosine, dot
 from ..params import BINS, TrainConfig
 from ..session import materialize
-from .vectors import in_blocks, matrix
+from .vectors import matrix
 
 Phases = list[list[float]]
 
@@ -118,38 +118,135 @@ def combined_loss(parts: list[tuple[float, Column]]) -> Column:
     return out
 
 
-def link_ranks(triples: DataFrame, embeddings: DataFrame, phases: Phases, filtered: DataFrame | None = None) -> DataFrame:
-    """Triples with rank: 1 + the entities that are strictly nearer to the rotated head than the tail is.
+#: Entities that the space is cut by at most, rows of one block of a cell, and values of one step of a comparison.
+PIVOTS, CELL, STEP = 64, 4096, 1 << 22
 
-    Blocks of triples meet blocks of entities; each meeting returns one count a triple. filtered: known triples whose
-    tails don't count.
+
+def plain_distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sums over components of the gaps' lengths, each row of x with each of y: a metric, as every component's length is one."""
+    half, out = x.shape[1] // 2, np.empty((len(x), len(y)))
+    rows = max(1, STEP // max(1, y.size))
+    for i in range(0, len(x), rows):
+        out[i : i + rows] = np.hypot(x[i : i + rows, None, :half] - y[None, :, :half], x[i : i + rows, None, half:] - y[None, :, half:]).sum(2)
+    return out
+
+
+def cells(embeddings: DataFrame, pivots: int) -> tuple[DataFrame, np.ndarray]:
+    """Entities (node_id, embedding, cell, away) with their nearest pivot and its distance, written; and the pivots, drawn by a hash of the id."""
+    drawn = embeddings.select("node_id", "embedding").orderBy(F.xxhash64("node_id", F.lit(1)), "node_id").limit(pivots).toArrow()  # `pivots` rows
+    points = matrix(drawn.column("embedding")) if drawn.num_rows else np.empty((0, 0))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                d = plain_distance(matrix(pa.chunked_array([batch.column("embedding")])), points)
+                cell = d.argmin(1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(d[np.arange(len(d)), cell])], names=["node_id", "embedding", "cell", "away"])
+
+    rows = embeddings.select("node_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    return materialize(rows.mapInArrow(make, "node_id long, embedding array<double>, cell int, away double"), "links-cells"), points
+
+
+def bounds(entities: DataFrame, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each cell: the least and the largest distance of its entities to each pivot, and how many it has. A row for each cell and task meets here."""
+    n = len(points)
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high, count = np.full((n, n), np.inf), np.full((n, n), -np.inf), np.zeros(n, np.int64)
+        for batch in batches:
+            d, cell = plain_distance(matrix(pa.chunked_array([batch.column("embedding")])), points), batch.column("cell").to_numpy()
+            np.minimum.at(low, cell, d)
+            np.maximum.at(high, cell, d)
+            count += np.bincount(cell, minlength=n)
+        for c in np.flatnonzero(count):
+            yield pa.RecordBatch.from_pylist([{"cell": int(c), "pivot": p, "low": low[c, p], "high": high[c, p], "n": int(count[c])} for p in range(n)], pa.schema([("cell", pa.int32()), ("pivot", pa.int32()), ("low", pa.float64()), ("high", pa.float64()), ("n", pa.int64())]))
+
+    parts = entities.mapInArrow(ranges, "cell int, pivot int, low double, high double, n long").groupBy("cell", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
+    low, high, count = np.full((n, n), np.inf), np.full((n, n), -np.inf), np.zeros(n, np.int64)
+    for r in parts.toArrow().to_pylist():  # PIVOTS squared at most
+        low[r["cell"], r["pivot"]], high[r["cell"], r["pivot"]], count[r["cell"]] = r["low"], r["high"], r["n"]
+    return low, high, count
+
+
+def link_ranks(triples: DataFrame, embeddings: DataFrame, phases: Phases, filtered: DataFrame | None = None, pivots: int | None = None) -> DataFrame:
+    """Triples with rank: 1 + the entities that are strictly nearer to the rotated head than the tail is; and compared, the
+    entities whose distance had to be computed for it.
+
+    Entities are in cells around pivots. By the triangle inequality the distances of a rotated head and of a cell to the
+    pivots bound all distances between them: a cell whose entities all are nearer than the tail is counted, one whose
+    entities all are not is skipped, and only the others meet the triple, in blocks. There an entity's own distance to the
+    cell's pivot bounds it again. The ranks are exact. filtered: known triples whose tails don't count. pivots:
+    as many as make cells of CELL entities, PIVOTS at most, unless given.
     """
     test = triples.select("head_id", "angle_bin", "tail_id").distinct()
     own = scored(test, embeddings, phases)
     h = embeddings.select(F.col("node_id").alias("head_id"), F.col("embedding").alias("_h"))
-    rows = own.join(h, "head_id").select("head_id", "angle_bin", "tail_id", "distance", rotate(F.col("_h"), phase_column(phases, F.col("angle_bin"))).alias("embedding"), F.xxhash64("head_id", "angle_bin", "tail_id").alias("node_id"))
+    rows = own.join(h, "head_id").select("head_id", "angle_bin", "tail_id", "distance", rotate(F.col("_h"), phase_column(phases, F.col("angle_bin"))).alias("embedding"))
+    entities, points = cells(embeddings, pivots or max(1, min(PIVOTS, embeddings.count() // CELL)))
+    low, high, count = bounds(entities, points) if len(points) else (np.empty((0, 0)),) * 3
+    smooth = points.shape[1] // 2 * 1e-4 + 1e-9  # the distance in use is the metric and this at most
+    key = ["head_id", "angle_bin", "tail_id"]
 
-    def count(a: pa.Table, b: pa.Table) -> pa.Table:
-        n = np.zeros(a.num_rows, np.int64)
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            d, own = plain_distance(matrix(pa.chunked_array([batch.column("embedding")])), points), batch.column("distance").to_numpy()
+            sure, open_ = np.zeros(len(d), np.int64), []
+            for c in np.flatnonzero(count):
+                least = np.maximum(low[c] - d, d - high[c]).max(1)
+                most = (d + high[c]).min(1) + smooth
+                within = most < own - 1e-9
+                sure += within * count[c]
+                i = np.flatnonzero(~within & (least < own + 1e-9))
+                open_.append((i, np.full(len(i), c, np.int32), d[i, c]))
+            # First a row for each triple, of what is known of it, then one for each cell that it has to meet.
+            i, cell, away = map(np.concatenate, zip((np.arange(len(d)), np.full(len(d), -1, np.int32), np.zeros(len(d))), *open_, strict=True))
+            nearer = pa.array(np.concatenate([sure, np.zeros(len(i) - len(d), np.int64)]))
+            taken = batch.select([*key, "distance"]).take(pa.array(i))
+            vectors = pa.concat_arrays([pa.nulls(len(d), batch.column("embedding").type), batch.column("embedding").take(pa.array(i[len(d) :]))])
+            yield pa.RecordBatch.from_arrays([*taken.columns, vectors, pa.array(cell), pa.array(away), nearer], names=[*key, "distance", "embedding", "cell", "away", "nearer"])
+
+    known = materialize(rows.mapInArrow(dealt, "head_id long, angle_bin int, tail_id long, distance double, embedding array<double>, cell int, away double, nearer long"), "links-open")
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        n = met = np.zeros(a.num_rows, np.int64)
         if a.num_rows and b.num_rows:
+            a, b = a.sort_by("away"), b.sort_by("away")
             x, y, own = matrix(a.column("embedding")), matrix(b.column("embedding")), a.column("distance").to_numpy()
-            tail, node = a.column("tail_id").to_numpy(), b.column("node_id").to_numpy()
-            half = x.shape[1] // 2
-            for i in range(len(x)):
-                gap = x[i] - y
-                d = np.sqrt(gap[:, :half] ** 2 + gap[:, half:] ** 2 + 1e-8).sum(1)
-                n[i] = ((d < own[i] - 1e-12) & (node != tail[i])).sum()
-        return pa.table({"head_id": a.column("head_id"), "angle_bin": a.column("angle_bin"), "tail_id": a.column("tail_id"), "nearer": n})
-
-    parts = in_blocks(rows, embeddings.select("node_id", "embedding"), count, "head_id long, angle_bin int, tail_id long, nearer long")
-    ranks = parts.groupBy("head_id", "angle_bin", "tail_id").agg((F.sum("nearer") + 1).alias("rank"))
+            away, off, tail, node = a.column("away").to_numpy(), b.column("away").to_numpy(), a.column("tail_id").to_numpy(), b.column("node_id").to_numpy()
+            n, met, half, size = n.copy(), met.copy(), x.shape[1] // 2, max(1, STEP // y.size)
+            for i in range(0, len(x), size):
+                part = slice(i, i + size)
+                # Rows that |away - off| leaves open for any of these triples, which lie at like distances from the pivot.
+                p, q = np.searchsorted(off, [(away[part] - own[part]).min() - 1e-9, (away[part] + own[part]).max() + 1e-9])
+                gap = x[part, None] - y[None, p:q]
+                d = np.sqrt(gap[..., :half] ** 2 + gap[..., half:] ** 2 + 1e-8).sum(2)
+                n[part] = ((d < own[part, None] - 1e-12) & (node[None, p:q] != tail[part, None])).sum(1)
+                met[part] = q - p
+        return pa.table({**{c: a.column(c) for c in key}, "nearer": n, "compared": met})
+
+    open_ = known.where("cell >= 0").drop("nearer")
+    parts = in_cells(open_, entities, compare, "head_id long, angle_bin int, tail_id long, nearer long, compared long")
+    parts = parts.unionByName(known.where("cell < 0").select(*key, "nearer", F.lit(0).cast("long").alias("compared")))
+    ranks = parts.groupBy(*key).agg((F.sum("nearer") + 1).alias("rank"), F.sum("compared").alias("compared"))
     if filtered is None:
         return ranks
     known = filtered.select("head_id", "angle_bin", F.col("tail_id").alias("other")).distinct()
     pairs = own.join(known, ["head_id", "angle_bin"]).where("other <> tail_id").select("head_id", "angle_bin", F.col("tail_id").alias("tail"), "distance", F.col("other").alias("tail_id"))
     nearer = scored(pairs.withColumnRenamed("distance", "own"), embeddings, phases).where(F.col("distance") < F.col("own") - 1e-12)
     less = nearer.groupBy("head_id", "angle_bin", F.col("tail").alias("tail_id")).agg(F.count("*").alias("less"))
-    return ranks.join(less, ["head_id", "angle_bin", "tail_id"], "left").select("head_id", "angle_bin", "tail_id", (F.col("rank") - F.coalesce("less", F.lit(0))).alias("rank"))
+    return ranks.join(less, ["head_id", "angle_bin", "tail_id"], "left").select("head_id", "angle_bin", "tail_id", (F.col("rank") - F.coalesce("less", F.lit(0))).alias("rank"), "compared")
+
+
+def in_cells(left: DataFrame, right: DataFrame, compare: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """compare() on the blocks of each cell: rows of one cell meet, CELL of each side at most on average, dealt by a hash."""
+    a, b = (df.groupBy("cell").agg(F.ceil(F.count("*") / CELL).cast("int").alias(name)) for df, name in ((left, "_n"), (right, "_m")))
+    sizes = F.broadcast(a.join(b, "cell"))  # a row for each cell
+    numbers = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    x = left.join(sizes, "cell").withColumn("_a", F.pmod(F.xxhash64("head_id", "angle_bin", "tail_id"), F.col("_n"))).withColumn("_b", numbers("_m")).drop("_n", "_m")
+    y = right.join(sizes, "cell").withColumn("_b", F.pmod(F.xxhash64("node_id"), F.col("_m"))).withColumn("_a", numbers("_n")).drop("_n", "_m")
+    return x.groupBy("cell", "_a", "_b").cogroup(y.groupBy("cell", "_a", "_b")).applyInArrow(compare, schema)
 
 
 def link_metrics(ranks: DataFrame) -> DataFrame:

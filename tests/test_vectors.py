@@ -182,3 +182,25 @@ def test_encoders(spark):
     e = spark.createDataFrame([(0, 1, [1.0, 0.0])], "node_id long, bin int, embedding array<double>")
     assert kge.projected(e, np.array([[0.0, 2.0], [1.0, 0.0]]), np.zeros(2)).collect()[0].embedding == [0.0, 1.0]
     assert kge.projected(e, np.stack([np.eye(2), np.array([[0.0, 2.0], [1.0, 0.0]])]), np.zeros(2)).collect()[0].embedding == [0.0, 1.0]
+
+
+@pytest.mark.parametrize("pivots", [1, 16])
+def test_link_ranks_skip_by_the_triangle_inequality(spark, monkeypatch, pivots):
+    """Clustered entities: the ranks are those of all pairs, and most pairs are never compared."""
+    rng = np.random.default_rng(5)
+    n, dim = 400, 8
+    x = np.repeat(rng.standard_normal((16, dim)) * 5, n // 16, axis=0) + rng.standard_normal((n, dim)) * 0.1
+    phases = (rng.standard_normal((16, dim // 2)) * 0.02).tolist()
+    tail = lambda h: int(h // 25 * 25 + rng.integers(25)) if rng.random() < 0.9 else int(rng.integers(n))  # noqa: E731  mostly of the head's own cluster
+    rows = [(int(h), int(rng.integers(16)), tail(h)) for h in rng.integers(0, n, 300)]
+    e = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "node_id long, embedding array<double>")
+    got = kge.link_ranks(spark.createDataFrame(rows, "head_id long, angle_bin int, tail_id long"), e, phases, pivots=pivots).collect()
+    assert len(got) == len(set(rows))
+    for r in got:
+        phi = np.array(phases[r.angle_bin])
+        head = (x[r.head_id, : dim // 2] + 1j * x[r.head_id, dim // 2 :]) * np.exp(1j * phi)
+        gap = head - (x[:, : dim // 2] + 1j * x[:, dim // 2 :])
+        d = np.sqrt(gap.real**2 + gap.imag**2 + 1e-8).sum(1)
+        assert r["rank"] == 1 + (np.delete(d, r.tail_id) < d[r.tail_id] - 1e-12).sum()
+    share = sum(r.compared for r in got) / len(got) / n
+    assert share < 0.35 if pivots == 16 else share <= 1
