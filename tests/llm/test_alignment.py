@@ -85,11 +85,22 @@ def test_odd_rows(spark):
 
 def test_small_batches(spark, sf):
     """Batches of a few documents give the same rows as large ones."""
-    docs = documents(spark, sf).limit(60)
+    docs = documents(spark, sf).where("doc_id % 4 = 1")
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(alignment.align(docs, batch_chars=500)) == rows(alignment.align(docs))
 
 
+def test_popular_segments_change_nothing(spark, sf):
+    """None, some and all segments told to every task."""
+    docs = documents(spark, sf).where("doc_id % 3 = 0")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    expected = rows(alignment.align(docs))
+    assert rows(alignment.align(docs, most_popular=0)) == rows(alignment.align(docs, batch_chars=9000, most_popular=300)) == expected
+    counted = spark.createDataFrame([(f" w{i}", 1 + i % 50) for i in range(500)] + [("x" * 100, 900)], "segment string, n long")
+    often = [r.n for r in alignment.popular(counted, 40).collect()]
+    assert 10 <= len(often) <= 40 and min(often) > 45
+
+
 def test_cuts_are_those_that_no_token_crosses():
     both = alignment.pair(alignment.A_FILE, alignment.B_FILE)
     assert both.cuts == " \n\t\f\v"  # B has pieces such as `;\r`
