@@ -173,8 +173,18 @@ def directory_chunks(spark, d):
 def chunks_json(spark, d):
     path = shared_path(spark, "chunks")
     tables.write_chunks(text.chunk_words(documents(spark, d), 120, 20, 50), path)
-    back = spark.read.schema("document_id string, chunk_id int, text string, start_char int, end_char int").json(path)
-    return back.select("document_id", "chunk_id", "text", "start_char", "end_char")
+    return tables.read_chunks(spark, path).select("document_id", "chunk_id", "text", "start_char", "end_char")
+
+
+@query(ORACLE_SQL["chunks_json"])
+def chunks_json_arrays(spark, d):
+    """The same chunks from files that hold an array each: a file for every hundred documents, or about as many."""
+    path = shared_path(spark, "chunk-arrays")
+    chunks = text.chunk_words(documents(spark, d), 120, 20, 50)
+    rows = chunks.withColumn("file", F.pmod(F.xxhash64("document_id"), F.lit(max(1, chunks.select("document_id").distinct().count() // 100))))
+    listed = rows.groupBy("file").agg(F.collect_list(F.to_json(F.struct(*chunks.columns))).alias("all"))
+    listed.select("file", F.concat(F.lit("[\n"), F.array_join("all", ",\n"), F.lit("\n]")).alias("value")).write.partitionBy("file").text(path)
+    return tables.read_chunks(spark, path).select("document_id", "chunk_id", "text", "start_char", "end_char")
 
 
 @query(f"WITH {TRIPLES}, {VOCAB} SELECT entity, entity_id FROM v")

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fn
 from ..functions import lookups as lk
-from ..operators import influence, kge, neighbors, rag, rooms, text, triples, users, vectors
+from ..operators import influence, kge, rag, rooms, text, triples, users, vectors
 from ..operators.graph import Graph, GraphBuilder
 from ..operators.graph import document_nodes as graph_nodes
+from ..operators.neighbors import near_edges, recall
 from ..operators.propagate import propagate, sources_of
 from ..params import LightParams, RagConfig, UserContext
 from ..session import prepare, table
@@ -314,14 +315,14 @@ def isolate_node(spark, d):
     return graphs.star_graph(spark, d).isolate(graphs.SPAN + 5).edges.groupBy("src").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {STAR} SELECT src, dst, pos, attenuation, bin FROM edges WHERE src = 0 UNION ALL SELECT 0, 3, (SELECT max(pos) + 1 FROM edges WHERE src = 0), 0.25, 12")
+@query(f"WITH {STAR} SELECT src, dst, pos, attenuation, bin FROM edges UNION ALL SELECT 0, 3, (SELECT max(pos) + 1 FROM edges WHERE src = 0), 0.25, 12")
 def append_edge(spark, d):
-    return graphs.star_graph(spark, d).with_edge(0, 3, 0.25, 12).neighbors(0).select("src", "dst", "pos", "attenuation", "bin")
+    return graphs.star_graph(spark, d).with_edge(0, 3, 0.25, 12).edges.select("src", "dst", "pos", "attenuation", "bin")
 
 
-@query(f"WITH {STAR} SELECT dst, pos, CASE WHEN dst = {graphs.SPAN + 5} THEN 0.5 ELSE attenuation END AS attenuation, CASE WHEN dst = {graphs.SPAN + 5} THEN 3 ELSE bin END AS bin FROM edges WHERE src = 0")
+@query(f"WITH {STAR} SELECT src, dst, pos, CASE WHEN src = 0 AND dst = {graphs.SPAN + 5} THEN 0.5 ELSE attenuation END AS attenuation, CASE WHEN src = 0 AND dst = {graphs.SPAN + 5} THEN 3 ELSE bin END AS bin FROM edges")
 def update_edge(spark, d):
-    return graphs.star_graph(spark, d).with_edge_props(0, graphs.SPAN + 5, 0.5, 3).neighbors(0).select("dst", "pos", "attenuation", "bin")
+    return graphs.star_graph(spark, d).with_edge_props(0, graphs.SPAN + 5, 0.5, 3).edges.select("src", "dst", "pos", "attenuation", "bin")
 
 
 @query(f"WITH {STAR} SELECT node_id, CASE WHEN node_type = 'region' THEN 3.0 ELSE luminance END AS luminance, CASE WHEN node_type = 'region' THEN 9 ELSE room END AS room FROM nodes")
@@ -439,24 +440,24 @@ def knn_edges(spark, d):
 @query()
 def knn_graph(spark, d):
     """Most of the nearest: NN-descent. knn_graph_recall holds it against all pairs."""
-    return neighbors.near_edges(graphs.vector_graph(spark, d)[1], 3)
+    return near_edges(graphs.vector_graph(spark, d)[1], 3)
 
 
 @query("SELECT count(*) * least(3, count(*) - 1) AS num_edges, true AS recall_reached FROM embeddings")
 def knn_graph_recall(spark, d):
     """All edges of the exact graph, and whether the approximate one has nine tenths of them."""
     e = graphs.vector_graph(spark, d)[1]
-    row = neighbors.recall(neighbors.near_edges(e, 3), vectors.knn_edges(e, 3))
+    row = recall(near_edges(e, 3), vectors.knn_edges(e, 3))
     return row.select("num_edges", (F.col("recall") >= 0.9).alias("recall_reached"))
 
 
 @query(
     "WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))) AS s "
-    f"FROM embeddings a, embeddings b WHERE a.label = 0 AND b.label = 1) SELECT a, b, {r6('s', 'similarity')} FROM p"
+    f"FROM embeddings a, embeddings b WHERE a.label % 2 = 0 AND b.label % 2 = 1) SELECT a, b, {r6('s', 'similarity')} FROM p"
 )
 def similarity_matrix(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("node_id"), "embedding", "label")
-    return vectors.similarity_matrix(e.where("label = 0"), e.where("label = 1"))
+    return vectors.similarity_matrix(e.where("label % 2 = 0"), e.where("label % 2 = 1"))
 
 
 @query(

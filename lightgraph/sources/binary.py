@@ -180,4 +180,21 @@ def read_level(spark: SparkSession, path: str) -> tuple[Graph, DataFrame]:
     node_rows = _ranges(spark, n, nodes, "node_id long, luminance double, reflection double, refraction double, default_bin int, room int")
     edge_rows = _ranges(spark, n, edges, "src long, dst long, pos int, attenuation double, bin int, is_portal boolean")
     graph = Graph(complete_nodes(node_rows.withColumn("dir_lum", F.array_repeat("luminance", BINS))), edge_rows)
-    return graph, room_operators.summary(graph)
+    return graph, level_rooms(spark, path, h)
+
+
+def level_rooms(spark: SparkSession, path: str, h: dict) -> DataFrame:
+    """(room, node_start, node_count) as the file's room table has them."""
+    at = h["rooms_at"]
+    count = struct.unpack("<I", _bytes(path, at, 4))[0] if h["num_rooms"] else 0
+    if count != h["num_rooms"]:
+        raise GraphError(f"{path}: {count} rooms in the table, {h['num_rooms']} in the header")
+
+    def rooms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                a, b = part * ROWS, min(count, (part + 1) * ROWS)
+                v = np.frombuffer(_bytes(path, at + 4 + ROOM * a, ROOM * (b - a)), "<u4").reshape(-1, 3).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(v[:, 0].astype(np.int32)), pa.array(v[:, 1]), pa.array(v[:, 2])], names=["room", "node_start", "node_count"])
+
+    return _ranges(spark, count, rooms, "room int, node_start long, node_count long")

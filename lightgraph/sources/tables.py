@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +53,19 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").json(path)
 
 
+CHUNKS = "text string, chunk_id int, document_id string, start_char int, end_char int, metadata map<string,string>"
+
+
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks from JSON lines or a JSON array."""
-    schema = "text string, chunk_id int, document_id string, start_char int, end_char int, metadata map<string,string>"
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """Chunks from files of JSON lines, of JSON arrays, or of both kinds.
+
+    A line of JSON lines is an object and never begins with a bracket, so a file with a line that does holds an array. Such a
+    file is read by one task, as its form asks for; lines are split like any text.
+    """
+    bracket = F.max(F.ltrim("value").startswith("["))
+    files = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(bracket.alias("array")).collect()  # a row a file
+    arrays, others = ([unquote(r.file) for r in files if r.array == kind] for kind in (True, False))
+    if not arrays:
+        return spark.read.schema(CHUNKS).json(path)
+    found = spark.read.schema(CHUNKS).option("multiLine", True).json(arrays)
+    return found.unionByName(spark.read.schema(CHUNKS).json(others)) if others else found

@@ -52,7 +52,16 @@ def test_level_files(spark, tmp_path, monkeypatch):
     assert key(back.edges, *graph.edges.columns) == key(graph.edges, *graph.edges.columns)
     names = ("node_id", "luminance", "reflection", "refraction", "default_bin", "room")
     assert key(back.nodes, *names) == key(graph.nodes, *names)
-    assert key(summary, "room", "node_count") == [(0, 2), (1, 2)]
+    assert key(summary, "room", "node_start", "node_count") == [(0, 0, 2), (1, 2, 2)]
+    data = bytearray((tmp_path / "x.lvl").read_bytes())
+    at = binary.level_header(path)["rooms_at"]
+    data[at + 8] = 5  # the first room's start; the nodes' rooms stay as they are
+    (tmp_path / "z.lvl").write_bytes(data)
+    assert key(binary.read_level(spark, str(tmp_path / "z.lvl"))[1], "room", "node_start", "node_count") == [(0, 5, 2), (1, 2, 2)]
+    data[at] = 3
+    (tmp_path / "w.lvl").write_bytes(data)
+    with pytest.raises(GraphError):
+        binary.read_level(spark, str(tmp_path / "w.lvl"))
     data = bytearray((tmp_path / "x.lvl").read_bytes())
     data[4] = 9
     (tmp_path / "y.lvl").write_bytes(data)
@@ -104,6 +113,22 @@ def test_chunks_and_vocabulary(spark, tmp_path):
     assert {tuple(r) for r in tables.read_vocab_json(spark, str(tmp_path / "v.json")).collect()} == {("a", 0), ("b", 1)}
 
 
+def test_chunks_of_both_forms(spark, tmp_path):
+    """Many rows and files, lines and arrays (on one line and on many), together and apart."""
+    chunks = spark.range(90).selectExpr("concat('[', id, ']') AS text", "cast(id AS int) AS chunk_id", "concat('d', id % 7) AS document_id", "0 AS start_char", "3 AS end_char", "map('k', concat('{', id)) AS metadata")
+    rows = lambda df: sorted((r.chunk_id, r.text, r.document_id, r.metadata["k"]) for r in df.collect())
+    lines, mixed = tmp_path / "some lines", tmp_path / "both"
+    tables.write_chunks(chunks.repartition(5), str(lines))
+    assert rows(tables.read_chunks(spark, str(lines))) == rows(chunks)
+    mixed.mkdir()
+    objects = [json.loads(r.j) for r in chunks.orderBy("chunk_id").selectExpr("to_json(struct(*)) AS j").collect()]
+    (mixed / "a b.json").write_text(json.dumps(objects[:30], indent=2))
+    (mixed / "c.json").write_text("  " + json.dumps(objects[30:50]))
+    assert rows(tables.read_chunks(spark, str(mixed))) == rows(chunks.where("chunk_id < 50"))
+    (mixed / "d.json").write_text("\n".join(map(json.dumps, objects[50:])))
+    assert rows(tables.read_chunks(spark, str(mixed))) == rows(chunks)
+
+
 def test_command_line(spark, tmp_path, capsys):
     from lightgraph import cli
 
