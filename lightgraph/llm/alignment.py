@@ -12,6 +12,10 @@ for each document, their numbers; a segment comes to the joins once a batch, how
     batches -> distinct segments, counted -> aligned once -> linked pairs, counted over the corpus
     batches' segments x aligned segments, by segment -> back to their batch -> documents
 
+The most frequent segments (POPULAR short ones at most, found by a histogram of the counts) are told
+to every task instead, so the segments that nearly all batches hold are sent once a task, not once a
+batch.
+
 A and B tokens link where they end at the same byte. Then the bytes of one are the end of the
 other's, so no more pairs of ids can link than twice all bytes of both vocabularies (some hundred
 thousand): the table of pairs is bounded by the vocabularies, not the corpus, and every task has it.
@@ -50,10 +54,12 @@ SPACE = "▁"  # how B writes a space
 GAP = r"\s᠎​﻿"
 #: Characters of text in a batch, about; one document is never divided.
 BATCH = 16 << 20
+#: Segments that every task is told at most, characters of one at most, and steps in a doubling of the histogram that finds them.
+POPULAR, SHORT, STEPS = 1 << 17, 64, 16
 
 SEGMENTED = "batch long, doc_ids array<bigint>, sizes array<int>, numbers binary, segments array<string>, repeats array<int>"
 ALIGNED = "segment string, n long, good boolean, n_a int, n_b int, links array<bigint>, groups string"
-SCORED = "segment string, good boolean, n_a int, n_b int, n_links int, n_best int, count_sum long, groups string"
+SCORED = "segment string, body string"
 COMPOSED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
 
@@ -210,7 +216,7 @@ def pair_counts(segments: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def scored(segments: DataFrame, counts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
-    """Aligned segments with the sums over their links."""
+    """Aligned segments (segment, body): best links, their sum of counts and the groups in one string; an empty one where the tokens don't fit."""
     table = segments.sparkSession.sparkContext.broadcast(counts)
 
     def make():
@@ -222,27 +228,58 @@ def scored(segments: DataFrame, counts: tuple[np.ndarray, np.ndarray, np.ndarray
             at = np.searchsorted(link, column.flatten().to_numpy())
             totals = [np.concatenate([[0], np.cumsum(values)]) for values in (n[at], best[at])]
             end = np.cumsum(size)
-            count_sum, n_best = (t[end] - t[end - size] for t in totals)
-            keep = {c: batch.column(c) for c in ("segment", "good", "n_a", "n_b", "groups")}
-            return [keep["segment"], keep["good"], keep["n_a"], keep["n_b"], size, n_best, count_sum, keep["groups"]]
+            count_sum, n_best = ((t[end] - t[end - size]).tolist() for t in totals)
+            said = zip(batch.column("good").to_pylist(), n_best, count_sum, batch.column("groups").to_pylist(), strict=True)
+            return [batch.column("segment"), [f"{x} {y} {groups}" if good else "" for good, x, y, groups in said]]
 
         return work
 
-    return map_batches(segments, make, SCORED)
+    return map_batches(segments.select("segment", "good", "links", "groups"), make, SCORED)
+
+
+def popular(segments: DataFrame, most: int) -> DataFrame:
+    """Those aligned segments that come most often: all of the upper steps of a histogram of counts that hold `most` together."""
+    step = F.floor(F.log2(F.col("n").cast("double")) * STEPS).cast("int")
+    short = segments.where(F.length("segment") <= SHORT).withColumn("step", step)
+    held, least = 0, None
+    for step, n in sorted(map(tuple, short.groupBy("step").count().collect()), reverse=True):  # 64 doublings at most
+        held += n
+        if held > most:
+            break
+        least = step
+    return short.where(F.col("step") >= least).drop("step") if least is not None else segments.limit(0)
 
 
-def composed(batches: DataFrame, parts: DataFrame) -> DataFrame:
-    """The documents of batches from the scored segments (holder: the batch, number, ...) of each."""
+def composed(batches: DataFrame, parts: DataFrame, told: pa.Table) -> DataFrame:
+    """The documents of batches from the bodies of their segments: those in parts (holder: the batch, number, body) and those told to all tasks."""
+    table = batches.sparkSession.sparkContext.broadcast((told.column("segment").to_pylist(), told.column("body").to_pylist()))
+
+    def make():
+        index = {s: i for i, s in enumerate(table.value[0])}
+
+        def work(batch: pa.RecordBatch) -> list:
+            known = [[(k, index[s]) for k, s in enumerate(own) if s in index] for own in batch.column("segments").to_pylist()]
+            return [*(batch.column(c) for c in ("batch", "doc_ids", "sizes", "numbers")), [packed(np.array(pairs, np.int32).ravel()) for pairs in known]]
+
+        return work
 
     def compose(docs: pa.Table, segments: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return pa.table({c: pa.array([], pa.string() if c == "groups" else pa.int64()) for c in names})
         row = docs.to_pylist()[0]
-        segments = segments.sort_by("number")
-        groups = segments.column("groups").to_pylist()
-        sums = {c: segments.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b", "n_links", "n_best", "count_sum")}
-        bad = ~segments.column("good").to_numpy()
-        numbers = unpacked(row["numbers"])
+        numbers, known = unpacked(row["numbers"]), unpacked(row["known"]).reshape(-1, 2)
+        body = [""] * (segments.num_rows + len(known))
+        for k, i in known.tolist():
+            body[k] = table.value[1][i]
+        for k, said in zip(segments.column("number").to_pylist(), segments.column("body").to_pylist(), strict=True):
+            body[k] = said
+        split = [said.split(" ") if said else ("0", "0", "") for said in body]
+        groups = [g for _, _, g in split]
+        sums = {"n_best": [int(x) for x, _, _ in split], "count_sum": [int(x) for _, x, _ in split], "n_links": [g.count("|") for g in groups]}
+        sums["n_a"] = [sum(1 + x.partition("|")[0].count(",") for x in g.split(";")) if g else 0 for g in groups]
+        sums["n_b"] = [g.count(",") + 2 * g.count("|") - a for g, a in zip(groups, sums["n_a"], strict=True)]
+        sums = {c: np.array(values, np.int64) for c, values in sums.items()}
+        bad = np.array([not said for said in body], bool)
         found, start = {c: [] for c in names}, 0
         for doc_id, size in zip(row["doc_ids"], row["sizes"], strict=True):
             own, start = numbers[start : start + size], start + size
@@ -256,19 +293,21 @@ def composed(batches: DataFrame, parts: DataFrame) -> DataFrame:
         return pa.table({c: pa.array(found[c], pa.string() if c == "groups" else pa.int64()) for c in names})
 
     names = [part.split()[0] for part in COMPOSED.split(", ")]
-    own = batches.select("batch", "doc_ids", "sizes", "numbers")
+    own = map_batches(batches.select("batch", "doc_ids", "sizes", "numbers", "segments"), make, "batch long, doc_ids array<bigint>, sizes array<int>, numbers binary, known binary")
     return own.groupBy("batch").cogroup(parts.groupBy("holder")).applyInArrow(compose, COMPOSED)
 
 
-def align(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, batch_chars: int = BATCH) -> DataFrame:
+def align(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, batch_chars: int = BATCH, most_popular: int = POPULAR) -> DataFrame:
     """doc_id, counts of tokens, groups and links, and the groups as `a1,a2|b1;a3|b2,b3` for every document."""
     batches = materialize(segmented(docs, a_file, b_file, batch_chars), "alignment-batches", compression="zstd")
     listed = batches.select(F.col("batch").alias("holder"), F.posexplode(F.arrays_zip("segments", "repeats")).alias("number", "part"))
     listed = listed.select("holder", "number", F.col("part.segments").alias("segment"), F.col("part.repeats").cast("long").alias("n"))
     segments = materialize(aligned(listed.groupBy("segment").agg(F.sum("n").alias("n")), a_file, b_file), "alignment-segments", compression="zstd")
     counts = pair_counts(segments, pair(a_file, b_file).most_links())
-    parts = listed.select("holder", "number", "segment").join(scored(segments, counts), "segment").drop("segment")
-    return composed(batches, parts)
+    often = popular(segments, most_popular)
+    told = scored(often, counts).toArrow()
+    rest = listed.select("holder", "number", "segment").join(F.broadcast(often.select("segment")), "segment", "left_anti")
+    return composed(batches, rest.join(scored(segments, counts), "segment").select("holder", "number", "body"), told)
 
 
 def digests(docs: DataFrame) -> DataFrame:
