@@ -20,9 +20,9 @@ can return of them, so large groups of copies cost one comparison.
 
 Defined cases: vectors that are null or zero, that hold a null or non-finite component, or whose id
 is null take no part; vectors are near only to those of their own length, and each length has an
-index of its own; repeated rows of one id and vector count
-once; an id with several vectors is searched for each, and none of its own is returned; fewer
-than k candidates are all returned; an empty table gives an empty result; only vec_id and
+index of its own; repeated rows of one id and vector count once; an id with several vectors is one
+candidate, by its nearest, and one query, by the nearest to any of them; fewer than k candidates
+are all returned; an empty table gives an empty result; only vec_id and
 embedding are read.
 """
 
@@ -236,10 +236,34 @@ def fit(index: DataFrame, k: int) -> Model:
 
 
 def search(embeddings: DataFrame, queries, k: int = 10) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each row for which `queries` (a column) is true."""
-    spark = embeddings.sparkSession
+    """query_id, rank, vec_id, score: the k nearest found of each row for which `queries` (a column) is true.
+
+    An id that has several vectors is one candidate, by its nearest, and one query, by the nearest to any of its vectors.
+    """
     rows = able(embeddings)
-    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if rows.groupBy("vec_id").count().where("count > 1").isEmpty():
+        return search_lengths(rows, queries, k)
+    rows = materialize(rows.distinct(), "ann-rows")
+    total, ids = rows.agg(F.count("*"), F.countDistinct("vec_id")).collect()[0]
+    asked, wide, done = rows.where(queries).select(F.col("vec_id").alias("query_id")).distinct(), 2 * k, None
+    while True:  # lists of vectors grow until they hold k ids; only queries that are short ask again
+        flagged = rows.join(asked.select(F.col("query_id").alias("vec_id"), F.lit(True).alias("asks")), "vec_id", "left")
+        lists = search_lengths(flagged, F.coalesce("asks", F.lit(False)), wide).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+        found = materialize(lists.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "ann-lists")
+        full = found.groupBy("query_id").count().where(F.col("count") >= min(k, ids - 1)).select("query_id")
+        last = wide > total
+        kept = found if last else found.join(full, "query_id", "left_semi").select(*found.columns)
+        done = kept if done is None else done.unionByName(kept)
+        asked = materialize(asked.join(full, "query_id", "left_anti"), "ann-short")
+        if last or asked.isEmpty():
+            return done
+        wide *= 4
+
+
+def search_lengths(rows: DataFrame, queries, k: int) -> DataFrame:
+    """search() over vectors of any lengths, each id and vector apart."""
+    out = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     for r in rows.groupBy(F.size("vec").alias("n")).agg(F.count("*").alias("rows")).orderBy("n").collect():  # a row a length
         out = out.unionByName(search_length(rows.where(F.size("vec") == r.n), queries, k))
     return out

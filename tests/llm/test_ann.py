@@ -151,4 +151,22 @@ def test_few_and_none(spark):
 
 def test_two_vectors_of_one_id(spark):
     got = ann.search(frame(spark, [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (5, [1.0, 0.1]), (6, [0.1, 1.0])]), F.col("vec_id") % 100 == 0).collect()
-    assert sorted((r["rank"], r.vec_id) for r in got) == [(1, 5), (1, 6), (2, 5), (2, 6)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got) == [(0, 1, 5, 0.1), (0, 2, 6, 0.1)]
+
+
+def test_an_id_with_many_vectors_is_one_candidate_and_one_query(spark):
+    """Id 0 asks with six vectors, ids 1 and 2 have forty near ones; each query has k distinct others, by their nearest vectors."""
+    rng = np.random.default_rng(4)
+    rows = [(0, rng.standard_normal(6) * 0.1) for _ in range(6)] + [(1 + i % 2, rng.standard_normal(6) * 0.1) for i in range(80)] + [(10 + i, rng.standard_normal(6) * (1 + i % 3)) for i in range(60)] + [(100, rng.standard_normal(6))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in ann.search(df, F.col("vec_id") % 100 == 0, 10).collect())
+    expected = []
+    for q in (0, 100):
+        near = {}
+        for i, v in rows:
+            if i != q:
+                d = min(float(np.sqrt(((v - w) ** 2).sum())) for j, w in rows if j == q)
+                near[i] = min(near.get(i, d), d)
+        expected += [(q, n + 1, i, round(d, 9)) for n, (i, d) in enumerate(sorted(near.items(), key=lambda x: (x[1], x[0]))[:10])]
+    assert [g[:3] for g in got] == [e[:3] for e in expected]
+    assert [g[3] for g in got] == pytest.approx([e[3] for e in expected])
