@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialize
 from .common import map_batches
@@ -153,10 +154,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def first_of_each(docs: DataFrame) -> DataFrame:
     """One document of each component, that with the smallest doc_id, with all its columns. Of repeated rows one stays."""
     columns = docs.columns
-    row = docs.select(F.struct(*(docs[c] for c in columns)).alias("row"), F.monotonically_increasing_id().alias("key"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
-    # The keys are written with their rows, so no later read can number the rows anew.
-    kept = materialize(row.select("key", "row"), "simhash-rows")
-    fps = materialize(fingerprints(kept.select("key", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text")), "key"), "simhash-fps")
+    row = docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*(docs[c] for c in columns)).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+
+    def make():
+        return lambda batch: [batch.column("key"), batch.column("row"), batch.column("doc_id"), [fingerprint(t) for t in batch.column("text").to_pylist()]]
+
+    # The keys and fingerprints are written with their rows, once, so no later read can number the rows anew.
+    kind = T.StructType([*(row.schema[c] for c in ("key", "row", "doc_id")), T.StructField("fp", T.LongType())])
+    kept = materialize(map_batches(row, make, kind), "simhash-rows")
+    fps = kept.select("key", "doc_id", "fp")
     whole = fps.join(classes(fps.select("doc_id", "fp")), "fp").select("key", "fp", "component_id", F.struct(F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(10).cast("decimal(20,0)") ** 19), "key").alias("rank"))
     first = whole.groupBy(F.coalesce("component_id", "fp").alias("component"), F.col("component_id").isNull().alias("anonymous")).agg(F.min("rank").alias("rank"))
     return kept.join(first.select(F.col("rank.key").alias("key")), "key", "left_semi").select("row.*")
