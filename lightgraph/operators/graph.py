@@ -245,8 +245,8 @@ class GraphBuilder:
     def build(self) -> Graph:
         """Ids are dense, by (type, label) in order; a label's first type stays, its last luminance holds.
 
-        Dense ids need one total order of the labels. They are ranked within hash buckets of the type's labels sorted by
-        range: Spark's range partitioning deals them out, and partition sizes give the offsets.
+        Dense ids need one total order of the labels. They are numbered within ranges of (type, label): Spark's range
+        partitioning deals them out, and partition sizes give the offsets.
         """
         if not self._nodes:
             raise GraphError("a graph has a node at least")
