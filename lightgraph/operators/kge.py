@@ -279,6 +279,11 @@ def message_layer(features: DataFrame, edges: DataFrame, weights: np.ndarray, bi
 
     weights: (BINS, dim, dim). Sums form in the shuffle's map side, a row for each node and task; `max` acts as `sum`.
     """
+    return layer_normed(message_sums(features, edges, weights, bias, pool), "v", weights.shape[2])
+
+
+def message_sums(features: DataFrame, edges: DataFrame, weights: np.ndarray, bias: np.ndarray, pool: str = "mean") -> DataFrame:
+    """(node_id, v): message_layer() before it is normalised."""
     rows = edges.join(features.withColumnRenamed("node_id", "src"), "src").select(F.col("dst").alias("node_id"), "bin", "embedding")
 
     def messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +303,7 @@ def message_layer(features: DataFrame, edges: DataFrame, weights: np.ndarray, bi
     zero = F.array_repeat(F.lit(0.0), dim)
     arrived = F.transform(F.coalesce("sum", zero), lambda x: x / F.coalesce(over, F.lit(1.0)))
     added = F.zip_with(F.zip_with("embedding", arrived, lambda a, b: a + b), F.array(*map(F.lit, bias.tolist())), lambda a, b: a + b)
-    return layer_normed(joined.withColumn("v", added), "v", dim)
+    return joined.select("node_id", added.alias("v"))
 
 
 def encode_graph(features: DataFrame, edges: DataFrame, layers: list[tuple[np.ndarray, np.ndarray]], pool: str = "mean") -> DataFrame:
