@@ -146,9 +146,49 @@ def paths_from(graph: Graph, starts: list[int], max_depth: int, bins: list[int]
     return out.select("node_id", "path")
 
 
+def meeting_path(graph: Graph, source: int, target: int, max_depth: int) -> tuple[DataFrame, int]:
+    """(one row (path), or none if the target is further than max_depth; rows of all frontiers): the path that paths_from finds.
+
+    Frontiers go forward from the source and backward from the target; the smaller one takes the next hop, so neither grows to the
+    whole graph where both ends are thin. Forward rows hold the first path to a node in walking order, backward rows the first path
+    on from it. When the frontiers first share nodes, every shortest path runs through one of these, and as all forward parts are
+    of one length, the first by both parts is the first of all.
+    """
+    spark, nodes = graph.nodes.sparkSession, graph.nodes.select("node_id")
+    edges, sides = graph.edges.select("src", "dst", "pos"), {}
+    for name, at in (("forward", source), ("backward", target)):
+        first = spark.createDataFrame([(at, [at], [])], "node_id long, path array<long>, seq array<int>")
+        sides[name] = [materialize(first.join(nodes, "node_id", "left_semi"), f"path-{name}")]
+    sizes = {name: found[-1].count() for name, found in sides.items()}
+    seen = sum(sizes.values())
+    none = nodes.select(F.array("node_id").alias("path")).limit(0)
+    for depth in range(max_depth + 1):
+        if not all(sizes.values()):
+            break
+        ahead, back = (sides[name][-1] for name in ("forward", "backward"))
+        met = ahead.join(back.select("node_id", F.col("path").alias("_path"), F.col("seq").alias("_seq")), "node_id")
+        whole = F.struct(F.concat("seq", "_seq").alias("seq"), F.concat("path", F.slice("_path", F.lit(2), F.size("_path"))).alias("path"))
+        best = met.agg(F.min(whole).alias("s")).collect()[0].s  # one path
+        if best is not None:
+            return spark.createDataFrame([(best.path,)], "path array<long>"), seen
+        if depth == max_depth:
+            break
+        name = "forward" if sizes["forward"] <= sizes["backward"] else "backward"
+        near, far = ("src", "dst") if name == "forward" else ("dst", "src")
+        step = sides[name][-1].withColumnRenamed("node_id", near).join(edges, near)
+        path, seq = (F.concat("path", F.array("dst")), F.concat("seq", F.array("pos"))) if name == "forward" else (F.concat(F.array("src"), "path"), F.concat(F.array("pos"), "seq"))
+        new = step.select(F.col(far).alias("node_id"), path.alias("path"), seq.alias("seq"))
+        for known in sides[name]:
+            new = new.join(known.select("node_id"), "node_id", "left_anti")
+        sides[name].append(materialize(new.groupBy("node_id").agg(F.min(F.struct("seq", "path")).alias("s")).select("node_id", "s.path", "s.seq"), f"path-{name}"))
+        sizes[name] = sides[name][-1].count()
+        seen += sizes[name]
+    return none, seen
+
+
 def reasoning_path(graph: Graph, source: int, target: int, max_depth: int) -> DataFrame:
     """One row (path), or none if the target is further than max_depth."""
-    return paths_from(graph, [source], max_depth, target=target).where(F.col("node_id") == target).select("path")
+    return meeting_path(graph, source, target, max_depth)[0]
 
 
 def reasoning_path_between(graph: Graph, stored: DataFrame, source: list[float], target: list[float], max_depth: int) -> DataFrame:
