@@ -99,3 +99,13 @@ def html_text(html: Column) -> Column:
         x = F.replace(x, F.lit(entity), F.lit(char))
     x = F.replace(x, F.lit("&amp;"), F.lit("&"))  # last, so that no entity is decoded twice
     return F.trim(F.regexp_replace(x, r"[\s ]+", " "))
+
+
+def byte_at(bits: Column, at: Column) -> Column:
+    """A byte of a bitmap as a number, counted from 0."""
+    return F.conv(F.hex(F.substring(bits, at.cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+
+
+def bit_at(bits: Column, at: Column) -> Column:
+    """A bit of a bitmap, counted from 0, the lowest of a byte first."""
+    return F.getbit(byte_at(bits, F.floor(at / 8)), (at % 8).cast("int"))

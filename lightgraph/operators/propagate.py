@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import angular_distance
+from ..functions.columns import angular_distance, bit_at
 from ..functions.lookups import LEAST_SIMILARITY, property_similarity
 from ..params import MODES, LightParams, PropagationError
 from ..session import bucketed, discard, forget, materialize
@@ -83,6 +83,14 @@ def shares(edges: DataFrame, share: int = SHARE) -> tuple[DataFrame, DataFrame |
     return table, materialize(table.where("share > 0").groupBy("src").agg(F.max("share").alias("last_share")), "light-hubs") if many else None
 
 
+def seen_in(rows: DataFrame, bitmaps: DataFrame, from_room: str = "from_room", bin_: str = "bin", to_room: str = "to_room") -> DataFrame:
+    """Rows whose room is seen, by rooms.visibility_bitmaps: one bitmap joins each, and one bit decides."""
+    at = F.col(to_room).cast("long") + 1
+    placed = rows.withColumns({"_bucket": F.bitmap_bucket_number(at), "_at": F.bitmap_bit_position(at)})
+    maps = bitmaps.select(F.col("from_room").alias(from_room), F.col("bin").alias(bin_), F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits"))
+    return placed.join(maps, [from_room, bin_, "_bucket"]).where(bit_at(F.col("_bits"), F.col("_at")) == 1).select(*rows.columns)
+
+
 def transmissions(frontier: DataFrame, edges: DataFrame, hubs: DataFrame | None, pvs: DataFrame | None, params: LightParams, mode: str) -> DataFrame:
     """(qid, v, bin, x), and seq in mode ordered: what the frontier (qid, u, bin, x, seq) sends along the arcs."""
     sent = frontier.where(F.col("x") >= params.min_intensity).withColumnsRenamed({"bin": "bin_in", "u": "src"})
@@ -90,7 +98,9 @@ def transmissions(frontier: DataFrame, edges: DataFrame, hubs: DataFrame | None,
         step = sent.join(edges, "src")
     else:
         step = sent.join(hubs, "src", "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("last_share", F.lit(0))))).join(edges, ["src", "share"])
-    if pvs is not None:
+    if pvs is not None and "bits" in pvs.columns:
+        step = seen_in(step, pvs, "room_u", "bin_in", "room_v")
+    elif pvs is not None:
         seen = pvs.select(F.col("from_room").alias("room_u"), F.col("bin").alias("bin_in"), F.col("to_room").alias("room_v"))
         step = step.join(seen, ["room_u", "bin_in", "room_v"], "left_semi")
     turn = angular_distance(F.col("bin_in"), F.col("bin_out"), params.bins) / F.lit(float(params.bins))
@@ -141,7 +151,7 @@ def propagate(
 ) -> DataFrame:
     """(qid, node_id, intensity) of all nodes that light reaches; a missing row is intensity 0.
 
-    pvs (from_room, bin, to_room) prunes edges into rooms that are not visible, in mode ordered only; it loses light
+    pvs (from_room, bin, to_room), or bitmaps of it, prunes edges into rooms that are not visible, in mode ordered only; it loses light
     that only a room's other nodes could pass on, so it is never used unasked. hub, share, bucket, lazy: rows of a (qid,
     node, bin) beyond which the running maximum is a scan over stretches, arcs of a node that go together, arcs beyond
     which they are kept in buckets, and rows beyond which each depth writes what all came to. None changes the result.

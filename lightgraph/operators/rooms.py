@@ -8,10 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import byte_at
 from ..params import BINS, LightParams, VisibilityError
 from ..session import discard, materialize
 from .graph import Graph, sum_before
-from .propagate import propagate
+from .propagate import propagate, seen_in  # noqa: F401  seen_in belongs to the bitmaps here
 
 MOST_PVS_DEPTH = 10
 
@@ -175,3 +176,28 @@ def is_visible(pvs: DataFrame, from_room: int, bin_: int, to_room: int) -> bool:
 def update_pvs(graph: Graph, pvs: DataFrame, room: int, params: LightParams = LightParams()) -> DataFrame:
     """Visibility with what one room sees now; nothing is removed."""
     return mark_visible(pvs, compute_pvs(graph, params, [room]))
+
+
+# visibility as bitmaps
+
+
+def visibility_bitmaps(pvs: DataFrame) -> DataFrame:
+    """(from_room, bin, bucket, bits): a bit for each room seen. Bucket b has the rooms from 32,768 (b - 1) in 4,096 bytes, and only buckets
+    with a room that is seen are rows: denser than triples from a few hundred rooms a bucket on."""
+    at = F.col("to_room").cast("long") + 1  # buckets hold numbers from one
+    return pvs.groupBy("from_room", "bin", F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+
+
+def seen_by_any(bitmaps: DataFrame, *by: str) -> DataFrame:
+    """(by, bucket, bits): the union of rooms seen, over all rows of a value of `by`; no room becomes a row."""
+    return bitmaps.groupBy(*by, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def bitmap_rooms(bitmaps: DataFrame, *by: str) -> DataFrame:
+    """(by, n, rooms): bitmaps as counts and lists of rooms in order, by (from_room, bin) unless others are named."""
+    by = by or ("from_room", "bin")
+    bits, start = F.col("bits"), (F.col("bucket") - 1) * 32768
+    used = F.filter(F.sequence(F.lit(0), F.lit(4095)), lambda i: byte_at(bits, i) != 0)
+    inside = lambda i: F.transform(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda j: F.getbit(byte_at(bits, i), j) == 1), lambda j: (start + i * 8 + j).cast("int"))
+    parts = bitmaps.select(*by, F.bitmap_count("bits").alias("n"), F.flatten(F.transform(used, inside)).alias("rooms"))
+    return parts.groupBy(*by).agg(F.sum("n").cast("int").alias("n"), F.array_sort(F.flatten(F.collect_list("rooms"))).alias("rooms"))

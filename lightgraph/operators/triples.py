@@ -106,3 +106,46 @@ def with_texts(triples: DataFrame, texts: DataFrame) -> DataFrame:
     t = texts.select(F.col("entity").alias("tail"), F.col("text").alias("_t"))
     joined = triples.join(h, "head", "left").join(t, "tail", "left")
     return joined.select("head", "relation", "tail", F.coalesce("_h", "head").alias("head_text"), F.coalesce("_t", "tail").alias("tail_text"))
+
+
+#: Entities of one block of complement_negatives; the valid tails of a key within a block are one list.
+BLOCK_ENTITIES = 4096
+#: A multiplicative generator of numbers below a prime.
+PRIME, FACTOR = 2_147_483_647, 48_271
+
+
+def complement_negatives(mapped: DataFrame, num_entities: int, k: int = 8, seed: int = 42, block: int = BLOCK_ENTITIES) -> DataFrame:
+    """(head_id, angle_bin, tail_id, n, negative): k distinct entities of 0 to num_entities - 1 for each triple, none of which is a valid
+    tail of its (head, bin); all of them, from the least, where there are k at most. Nothing is drawn twice or rejected.
+
+    Of the m entities that aren't valid, the i-th of k comes from the i-th stretch of their order, at a place that a generator gives. The j-th
+    that isn't valid is found by rank: blocks of entities know how many aren't valid before them, and a block's valid tails, at
+    most `block`, tell it within. A head with very many tails is many rows, one for each block.
+    """
+    key = ["head_id", "angle_bin"]
+    distinct = materialize(mapped.select(*key, "tail_id").distinct(), "complement-triples")
+    known = distinct.where(F.col("tail_id").between(0, num_entities - 1))
+    blocks = known.groupBy(*key, F.floor(F.col("tail_id") / block).alias("block")).agg(F.sort_array(F.collect_list("tail_id")).alias("tails"))
+    # Stretches of the order of entities that aren't valid: from a block that has valid tails up to the next one that does.
+    first = distinct.select(*key).distinct().select(*key, F.lit(-1).cast("long").alias("block"), F.array().cast("array<long>").alias("tails"))
+    order = Window.partitionBy(*key).orderBy("block")
+    ranked = first.unionByName(blocks).withColumn("before", F.coalesce(F.sum(F.size("tails")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranked = ranked.withColumn("from", F.greatest(F.col("block") * block, F.lit(0)) - F.col("before"))  # the rank of the block's first entity, were it not valid
+    ranked = ranked.withColumn("to", F.coalesce(F.lead("from").over(order), F.lit(num_entities) - F.col("before") - F.size("tails")))
+    stretches = materialize(ranked.where(F.col("to") > F.col("from")), "complement-stretches")
+    # As many slots of ranks as a key has stretches: ranks are spread evenly, so one meets two or three stretches on average, however they lie.
+    free = stretches.groupBy(*key).agg(F.max("to").alias("m"), F.ceil(F.max("to") / F.count("*")).alias("width"))
+    slots = stretches.join(free.drop("m"), key).withColumn("slot", F.explode(F.sequence(F.floor(F.col("from") / F.col("width")), F.floor((F.col("to") - 1) / F.col("width"))))).drop("width")
+    asked = distinct.join(free.withColumnRenamed("width", "slot_width"), key)  # keys without a free entity have no stretch
+    asked = asked.withColumn("n", F.explode(F.sequence(F.lit(0), F.least(F.lit(k).cast("long"), "m").cast("int") - 1)))
+    start = F.floor(F.col("n") * F.col("m") / k)
+    width = F.floor((F.col("n") + 1) * F.col("m") / k) - start
+    mixed = lambda x: F.pmod(x * FACTOR, F.lit(PRIME))
+    drawn = mixed(mixed(F.pmod(mixed(F.pmod(F.col("head_id"), F.lit(PRIME))) + F.col("angle_bin") * 8191 + F.pmod(F.col("tail_id"), F.lit(PRIME)) * 131_071 + F.col("n") * 524_287 + seed, F.lit(PRIME))))
+    asked = asked.withColumn("rank", F.when(F.col("m") <= k, F.col("n").cast("long")).otherwise(start + F.pmod(drawn, width)))
+    asked = asked.withColumn("slot", F.floor(F.col("rank") / F.col("slot_width")))
+    met = asked.join(slots, [*key, "slot"]).where((F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("to")))
+    # Within a stretch, each valid tail at or before the entity moves it on by one: those whose own rank is not above.
+    own = F.transform("tails", lambda t, i: t - F.col("before") - i)
+    passed = F.size(F.filter(own, lambda r: r <= F.col("rank")))
+    return met.select(*key, "tail_id", "n", (F.col("rank") + F.col("before") + passed).alias("negative"))

@@ -6,12 +6,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import encoders, kge, rag, text, triples, vectors
+from ..operators import encoders, kge, rag, rooms, text, triples, vectors
 from ..operators.graph import GraphBuilder
 from ..params import LightParams, TrainConfig
 from ..session import table
 from . import graphs, sql
-from .queries import COS, NEAR, PHASES, QUERY_VECTOR, RAG_BINS, TRIPLES, VOCAB, WALK, WORDS, documents, query, r6, scored_sql
+from .queries import COS, MAPPED, NEAR, PHASES, PVS_SQL, QUERY_VECTOR, RAG_BINS, SHALLOW, TRIPLES, VOCAB, WALK, WORDS, documents, mapped, query, r6, scored_sql
 
 DIM = 64
 
@@ -199,3 +199,32 @@ def by_characters() -> tuple:
 def chunk_tokens(spark, d):
     """Windows of 200 tokens, 50 of them shared; tokens are characters."""
     return text.chunk_tokens(documents(spark, d), by_characters, 200, 50, 5)
+
+
+# negatives by rank and visibility as bitmaps
+
+
+@query(
+    f"WITH {TRIPLES}, {VOCAB}, {MAPPED}, k AS (SELECT DISTINCT head_id, angle_bin FROM m), f AS (SELECT head_id, angle_bin, list(entity_id ORDER BY entity_id) AS free, count(*) AS c FROM k, v "
+    "WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.head_id = k.head_id AND m.angle_bin = k.angle_bin AND m.tail_id = v.entity_id) GROUP BY 1, 2), "
+    "a AS (SELECT DISTINCT head_id, angle_bin, tail_id FROM m), n AS (SELECT *, unnest(range(0, least(4, c))) AS n FROM a JOIN f USING (head_id, angle_bin)), "
+    "w AS (SELECT *, n * c // 4 AS start, (n + 1) * c // 4 - n * c // 4 AS width, (head_id * 48271 % 2147483647 + angle_bin * 8191 + tail_id * 131071 + n * 524287 + 42) % 2147483647 AS x FROM n) "
+    "SELECT head_id, angle_bin, tail_id, n::INTEGER AS n, free[1 + CASE WHEN c <= 4 THEN n ELSE start + (x * 48271 % 2147483647) * 48271 % 2147483647 % width END] AS negative FROM w"
+)
+def complement_negatives(spark, d):
+    """Four entities for each triple that aren't valid tails, by rank."""
+    m = mapped(spark, d)
+    return triples.complement_negatives(m, triples.entity_vocab(graphs.key_triples(spark, d)).count(), 4)
+
+
+@query(f"{PVS_SQL} SELECT from_room, bin, count(*)::INTEGER AS n, list(to_room ORDER BY to_room) AS rooms FROM pvs GROUP BY ALL")
+def pvs_bitmaps(spark, d):
+    """Visibility as bitmaps, read back as lists."""
+    return rooms.bitmap_rooms(rooms.visibility_bitmaps(rooms.compute_pvs(graphs.plain(graphs.nation_graph(spark, d)), SHALLOW)))
+
+
+@query(f"{PVS_SQL} SELECT bin, count(DISTINCT to_room)::INTEGER AS n, list(DISTINCT to_room ORDER BY to_room) AS rooms FROM pvs GROUP BY 1")
+def pvs_union(spark, d):
+    """What any room sees, for each direction: the union of bitmaps."""
+    maps = rooms.visibility_bitmaps(rooms.compute_pvs(graphs.plain(graphs.nation_graph(spark, d)), SHALLOW))
+    return rooms.bitmap_rooms(rooms.seen_by_any(maps, "bin"), "bin")

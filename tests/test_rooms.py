@@ -109,3 +109,28 @@ def test_marks(spark):
     rooms.check_pvs(pvs, 3)
     with pytest.raises(VisibilityError):
         rooms.check_pvs(pvs, 2)
+
+
+def test_visibility_bitmaps(spark):
+    """Lookups, unions and lists of bitmaps over several buckets, against sets."""
+    rng = random.Random(7)
+    seen = {(f, b, t) for f in range(3) for b in (0, 5) for t in rng.sample([0, 1, 7, 8, 32766, 32767, 32768, 32769, 70000, 98303, 98304], 6)}
+    pvs = spark.createDataFrame(sorted(seen) * 2, "from_room int, bin int, to_room int")
+    maps = rooms.visibility_bitmaps(pvs)
+    assert {(r.bucket, len(r.bits)) for r in maps.collect()} <= {(b, 4096) for b in range(1, 5)}
+    asked = [(f, b, t, i) for i, (f, b, t) in enumerate((f, b, t) for f in range(4) for b in (0, 5, 6) for t in (0, 1, 2, 7, 8, 9, 32766, 32767, 32768, 32769, 32770, 70000, 98303, 98304, 500000))]
+    got = rooms.seen_in(spark.createDataFrame(asked, "from_room int, bin int, to_room int, at int"), maps).collect()
+    assert sorted(tuple(r) for r in got) == [r for r in asked if r[:3] in seen]
+    lists = {(r.from_room, r.bin): (r.n, r.rooms) for r in rooms.bitmap_rooms(maps).collect()}
+    assert lists == {(f, b): (6, sorted(t for x, y, t in seen if (x, y) == (f, b))) for f in range(3) for b in (0, 5)}
+    union = {r.bin: r.rooms for r in rooms.bitmap_rooms(rooms.seen_by_any(maps, "bin"), "bin").collect()}
+    assert union == {b: sorted({t for _, y, t in seen if y == b}) for b in (0, 5)}
+    assert rooms.bitmap_rooms(rooms.visibility_bitmaps(pvs.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("form", ["triples", "bitmaps"])
+def test_light_is_pruned_by_either_form(spark, form):
+    g = graph_of(spark, 4, [(0, 1), (0, 2), (1, 3), (2, 3)], [0, 1, 2, 3])
+    pvs = spark.createDataFrame([(0, b, 1) for b in range(16)] + [(1, b, 3) for b in range(16)], "from_room int, bin int, to_room int")
+    lit = propagate(g, sources_of(spark, [(0, 0, 2)]), LightParams(), pvs=pvs if form == "triples" else rooms.visibility_bitmaps(pvs)).collect()
+    assert {r.node_id for r in lit} == {0, 1, 3}

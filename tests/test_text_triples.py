@@ -111,3 +111,21 @@ def test_no_other_code_names_llm():
     for p in root.rglob("*.py"):
         if "llm" not in p.parts:
             assert not re.search(r"^\s*(from|import) .*\bllm\b", p.read_text(), re.M), p
+
+
+@pytest.mark.parametrize("block", [1, 3, 4096])
+def test_complement_negatives(spark, block):
+    """k distinct entities that aren't valid for every triple, also where nearly all or all entities are; each can come up."""
+    n, k = 23, 4
+    rows = [(0, 0, t) for t in range(n) if t not in (2, 11, 12, 22, 5, 6)] + [(1, 0, t) for t in range(n) if t not in (0, 20)] + [(2, 3, t) for t in range(n)] + [(3, 1, 9), (3, 1, 9), (3, 2, 0), (4, 0, 99)]
+    mapped = spark.createDataFrame(rows, "head_id long, angle_bin int, tail_id long")
+    got: dict = {}
+    for r in triples.complement_negatives(mapped, n, k, block=block).collect():
+        got.setdefault((r.head_id, r.angle_bin, r.tail_id), []).append((r.n, r.negative))
+    for h, b, t in set(rows):
+        free = set(range(n)) - {y for a, c, y in rows if (a, c) == (h, b)}
+        mine = sorted(got.get((h, b, t), []))
+        assert [i for i, _ in mine] == list(range(min(k, len(free))))
+        assert len({e for _, e in mine}) == len(mine) and {e for _, e in mine} <= free and (len(free) > k or {e for _, e in mine} == free)
+    assert {e for key, es in got.items() if key[0] == 0 for _, e in es} == {2, 5, 6, 11, 12, 22}
+    assert triples.complement_negatives(mapped.limit(0), n, k).count() == 0
