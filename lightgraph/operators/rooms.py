@@ -146,6 +146,10 @@ def compute_pvs(graph: Graph, params: LightParams = LightParams(), rooms: list[i
     starts = representatives(graph)
     if rooms is not None:
         starts = starts.where(F.col("room").isin(rooms))
+    return _seen_from(graph, starts, params)
+
+
+def _seen_from(graph: Graph, starts: DataFrame, params: LightParams) -> DataFrame:
     asked = starts.select("room", "node_id", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))).alias("bin"))
     asked = asked.withColumn("qid", F.col("room").cast("long") * BINS + F.col("bin")).withColumn("weight", F.lit(1.0))
     seen = reachable_rooms(graph, asked.select("qid", "node_id", "bin", "weight"), params)
@@ -178,6 +182,34 @@ def update_pvs(graph: Graph, pvs: DataFrame, room: int, params: LightParams = Li
     return mark_visible(pvs, compute_pvs(graph, params, [room]))
 
 
+def refresh_pvs(before: Graph, after: Graph, pvs: DataFrame, params: LightParams = LightParams()) -> tuple[DataFrame, DataFrame]:
+    """(visibility of the graph `after`, the rooms (room) that were computed again), from that of `before`; both have the same nodes.
+
+    Light takes an edge only if it reaches the edge's source a hop earlier at least. So from the sources of all edges that came, went or
+    changed, a walk against the edges of both graphs, of max_depth - 1 hops, finds every representative whose light can differ. Rooms whose
+    representative is another one are added. All their rows are replaced, so rooms that are no longer seen go too.
+    """
+    columns = ["src", "dst", "pos", "attenuation", "bin"]
+    old, new = (g.edges.select(*columns) for g in (before, after))
+    changed = materialize(old.exceptAll(new).unionByName(new.exceptAll(old)).select(F.col("src").alias("node_id")).distinct(), "pvs-changed")
+    arcs, found = materialize(old.unionByName(new).select("src", "dst").distinct(), "pvs-arcs"), [changed]
+    for _ in range(min(params.max_depth, MOST_PVS_DEPTH) - 1):
+        step = arcs.join(found[-1].select(F.col("node_id").alias("dst")), "dst").select(F.col("src").alias("node_id")).distinct()
+        for known in found:
+            step = step.join(known, "node_id", "left_anti")
+        found.append(materialize(step, "pvs-back"))
+        if found[-1].isEmpty():
+            break
+    reach = found[0]
+    for f in found[1:]:
+        reach = reach.unionByName(f)
+    was, starts = representatives(before), materialize(representatives(after), "pvs-starts")
+    moved = starts.join(was.withColumnRenamed("node_id", "_was"), "room", "left").where(~F.col("node_id").eqNullSafe(F.col("_was"))).select("room")
+    again = materialize(starts.join(reach, "node_id", "left_semi").select("room").unionByName(moved).distinct(), "pvs-rooms")
+    kept = pvs.join(again.select(F.col("room").alias("from_room")), "from_room", "left_anti").select("from_room", "bin", "to_room")
+    return kept.unionByName(_seen_from(after, starts.join(again, "room", "left_semi"), params)), again
+
+
 # visibility as bitmaps
 
 

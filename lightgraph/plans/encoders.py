@@ -228,3 +228,14 @@ def pvs_union(spark, d):
     """What any room sees, for each direction: the union of bitmaps."""
     maps = rooms.visibility_bitmaps(rooms.compute_pvs(graphs.plain(graphs.nation_graph(spark, d)), SHALLOW))
     return rooms.bitmap_rooms(rooms.seen_by_any(maps, "bin"), "bin")
+
+
+CUT = PVS_SQL.replace("edges AS (", "uncut AS (", 1).replace(", sources AS (", f", edges AS (SELECT * FROM uncut WHERE NOT (src = 0 AND dst = {graphs.SPAN + 5})), sources AS (", 1)
+
+
+@query(f"{CUT} SELECT from_room, bin, to_room FROM pvs")
+def pvs_refreshed(spark, d):
+    """Visibility kept up after an edge from region 0 to a nation is gone: only rooms that the change can reach are computed again."""
+    before = graphs.plain(graphs.nation_graph(spark, d))
+    pvs = rooms.compute_pvs(before, SHALLOW)
+    return rooms.refresh_pvs(before, graphs.plain(graphs.nation_graph(spark, d).without_edge(0, graphs.SPAN + 5)), pvs, SHALLOW)[0]

@@ -134,3 +134,20 @@ def test_light_is_pruned_by_either_form(spark, form):
     pvs = spark.createDataFrame([(0, b, 1) for b in range(16)] + [(1, b, 3) for b in range(16)], "from_room int, bin int, to_room int")
     lit = propagate(g, sources_of(spark, [(0, 0, 2)]), LightParams(), pvs=pvs if form == "triples" else rooms.visibility_bitmaps(pvs)).collect()
     assert {r.node_id for r in lit} == {0, 1, 3}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_refreshed_visibility_equals_a_full_one(spark, seed):
+    """Edges come, go and change at random; a chain of rooms shows that those far from the change stay."""
+    rng, n, params = random.Random(seed), 24, LightParams(max_depth=2)
+    pairs = [(i, i + 1) for i in range(n - 1)] + [(rng.randrange(n), rng.randrange(n)) for _ in range(3)]
+    room = [i // 2 for i in range(n)]
+    before = graph_of(spark, n, pairs, room).materialized()
+    other = [p for i, p in enumerate(pairs) if i != 20] + [(rng.randrange(18, n), rng.randrange(n))]
+    after = graph_of(spark, n, other, room).materialized()
+    pvs = rooms.compute_pvs(before, params)
+    got, again = rooms.refresh_pvs(before, after, pvs, params)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rooms.compute_pvs(after, params).collect()))
+    assert 0 < again.count() < n // 2
+    same, none = rooms.refresh_pvs(before, before, pvs, params)
+    assert none.count() == 0 and same.count() == pvs.count()
