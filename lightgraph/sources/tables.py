@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +29,16 @@ def read_pvs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/pvs")
 
 
+def six_decimals(vectors: pa.Array) -> pa.Array:
+    """Values with six decimals between commas, nulls left out, rounded as C's printf rounds them: from the exact binary value, ties to even.
+    The JVM's formatter rounds the shortest decimal half up: -0.0703125 would be -0.070313."""
+    texts = (None if v is None else ",".join(["%.6f" % x for x in v if x is not None]) for v in vectors.to_pylist())
+    return pa.array(texts, pa.string())
+
+
 def csv_lines(embeddings: DataFrame) -> DataFrame:
     """(node_id, line): values with six decimals between commas."""
-    return embeddings.select("node_id", F.array_join(F.transform("embedding", lambda x: F.format_string("%.6f", x.cast("double"))), ",").alias("line"))
+    return embeddings.select("node_id", F.arrow_udf(six_decimals, "string")(F.col("embedding").cast("array<double>")).alias("line"))
 
 
 def write_csv(embeddings: DataFrame, path: str) -> None:

@@ -80,6 +80,17 @@ def test_tables(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "csv")).collect()] == ["0.000000,1.000000,2.000000", "1.000000,2.000000,3.000000"]
 
 
+def test_csv_rounds_ties_to_even(spark):
+    """As C's printf does, from the exact binary value; nulls are left out."""
+    rows = [(0, [-0.0703125, 0.0078125, 0.0234375]), (1, [0.1234565, 5e-7, -1e-9]), (2, [1.0, None, float("nan")]), (3, []), (4, None), (5, [1e22, float("inf"), 123456789.0078125])]
+    got = {r.node_id: r.line for r in tables.csv_lines(spark.createDataFrame(rows, "node_id long, embedding array<double>")).collect()}
+    assert got == {
+        0: "-0.070312,0.007812,0.023438", 1: "0.123456,0.000000,-0.000000", 2: "1.000000,nan", 3: "", 4: None, 5: "10000000000000000000000.000000,inf,123456789.007812",
+    }
+    one = spark.createDataFrame([(0, [-0.0703125])], "node_id long, embedding array<float>")
+    assert tables.csv_lines(one).collect()[0].line == "-0.070312"
+
+
 def test_triples(spark, tmp_path):
     rows = [("a", "is_a", "b"), ("c", "requires", "d")]
     files = {
