@@ -120,6 +120,9 @@ def combined_loss(parts: list[tuple[float, Column]]) -> Column:
 
 #: Entities that the space is cut by at most, rows of one block of a cell, and values of one step of a comparison.
 PIVOTS, CELL, STEP = 64, 4096, 1 << 22
+#: Triples of a block, those of them that are compared at once, and the columns of a block, bytes of arrays.
+TRIPLES, ROWS = 2048, 128
+BLOCKS = ("head", "bin", "tail", "own", "sure", "open", "turned")
 
 
 def plain_distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -168,14 +171,83 @@ def bounds(entities: DataFrame, points: np.ndarray) -> tuple[np.ndarray, np.ndar
     return low, high, count
 
 
+def grouped(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Tables of about `rows` rows, from batches in their order."""
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held, n = [*held, batch], n + batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def packed_cells(entities: DataFrame) -> DataFrame:
+    """Blocks of entities of one cell, at like distances from its pivot, written: (cell, nodes, vectors, off), off in ascending order."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, 2 * CELL):
+            cell, off = t.column("cell").to_numpy(), t.column("away").to_numpy()
+            node, x = t.column("node_id").to_numpy(), matrix(t.column("embedding"))
+            for c in np.unique(cell):
+                at = np.flatnonzero(cell == c)
+                at = at[np.argsort(off[at], kind="stable")]
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), *(pa.array([v[at].tobytes()], pa.binary()) for v in (node.astype(np.int64), x, off))], names=["cell", "nodes", "vectors", "off"])
+
+    ordered = entities.repartitionByRange(max(1, -(-entities.count() // CELL)), "cell", "away", "node_id").sortWithinPartitions("cell", "away")
+    return materialize(ordered.mapInArrow(pack, "cell int, nodes binary, vectors binary, off binary"), "links-blocks")
+
+
+def single_columns(y: np.ndarray) -> np.ndarray:
+    """(components, 4, rows): a component and its squared length, as nearer_rows() multiplies them in single precision."""
+    half = y.shape[1] // 2
+    squares = y[:, :half] ** 2 + y[:, half:] ** 2
+    with np.errstate(over="ignore"):  # nearer_rows() doesn't use them then
+        return np.ascontiguousarray(np.stack([y[:, :half], y[:, half:], np.ones_like(squares), squares + 1e-8]).transpose(2, 0, 1).astype(np.float32))
+
+
+def nearer_rows(x: np.ndarray, own: np.ndarray, tail: np.ndarray, y: np.ndarray, node: np.ndarray, right: np.ndarray, longest: float) -> np.ndarray:
+    """For each row of x: the rows of y, its tail aside, whose distance is below its own.
+
+    A component's squared length comes from a product in single precision; its error is below 16 x 2^-24 (|x| + |y|)^2, so that of the
+    sum of roots is below the root of that factor times the sums of lengths. What this leaves open is computed in double precision.
+    """
+    half = x.shape[1] // 2
+    xs = x[:, :half] ** 2 + x[:, half:] ** 2
+    slack = np.sqrt(16 * 2.0**-24) * (np.sqrt(xs).sum(1) + longest) + (half + 8) * 2.0**-22 * (1 + own)
+    if max(np.sqrt(xs).sum(1).max(), longest) < 1e15:
+        left = np.ascontiguousarray(np.stack([-2 * x[:, :half], -2 * x[:, half:], xs, np.ones_like(xs)], 2).transpose(1, 0, 2).astype(np.float32))
+        total, one = np.zeros((len(x), len(y)), np.float32), np.empty((len(x), len(y)), np.float32)
+        with np.errstate(invalid="ignore"):  # rounded below zero: no number, which leaves the pair open
+            for c in range(half):
+                np.matmul(left[c], right[c], out=one)
+                total += np.sqrt(one, out=one)
+        sure = total < (own - slack).astype(np.float32)[:, None]
+        open_ = ~(sure | (total > (own + slack).astype(np.float32)[:, None]))
+    else:
+        sure, open_ = np.zeros((len(x), len(y)), bool), np.ones((len(x), len(y)), bool)
+    for i in np.flatnonzero(np.isin(tail, node)):
+        sure[i, node == tail[i]] = False
+    n = sure.sum(1)
+    i, j = np.nonzero(open_)
+    for k in range(0, len(i), STEP // 64):
+        a, b = i[k : k + STEP // 64], j[k : k + STEP // 64]
+        gap = x[a] - y[b]
+        d = np.sqrt(gap[:, :half] ** 2 + gap[:, half:] ** 2 + 1e-8).sum(1)
+        n += np.bincount(a[(d < own[a] - 1e-12) & (node[b] != tail[a])], minlength=len(x))
+    return n
+
+
 def link_ranks(triples: DataFrame, embeddings: DataFrame, phases: Phases, filtered: DataFrame | None = None, pivots: int | None = None) -> DataFrame:
     """Triples with rank: 1 + the entities that are strictly nearer to the rotated head than the tail is; and compared, the
     entities whose distance had to be computed for it.
 
     Entities are in cells around pivots. By the triangle inequality the distances of a rotated head and of a cell to the
     pivots bound all distances between them: a cell whose entities all are nearer than the tail is counted, one whose
-    entities all are not is skipped, and only the others meet the triple, in blocks. There an entity's own distance to the
-    cell's pivot bounds it again. The ranks are exact. filtered: known triples whose tails don't count. pivots:
+    entities all are not is skipped, and only the others meet the triple. There an entity's own distance to the cell's pivot
+    bounds it again. Blocks of triples and of entities are written once and meet without a shuffle. The ranks are exact. filtered: known triples whose tails don't count. pivots:
     as many as make cells of CELL entities, PIVOTS at most, unless given.
     """
     test = triples.select("head_id", "angle_bin", "tail_id").distinct()
@@ -188,47 +260,65 @@ def link_ranks(triples: DataFrame, embeddings: DataFrame, phases: Phases, filter
     key = ["head_id", "angle_bin", "tail_id"]
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            d, own = plain_distance(matrix(pa.chunked_array([batch.column("embedding")])), points), batch.column("distance").to_numpy()
-            sure, open_ = np.zeros(len(d), np.int64), []
+        """Blocks of triples whose nearest pivots are alike, each triple once, with what is known of it and the cells that it has to meet."""
+        for t in grouped(batches, 16 * TRIPLES):
+            x, own = matrix(t.column("embedding")), t.column("distance").to_numpy()
+            d = plain_distance(x, points)
+            sure, open_ = np.zeros(len(d), np.int64), np.zeros((len(d), len(count)), bool)
             for c in np.flatnonzero(count):
                 least = np.maximum(low[c] - d, d - high[c]).max(1)
-                most = (d + high[c]).min(1) + smooth
-                within = most < own - 1e-9
+                within = (d + high[c]).min(1) + smooth < own - 1e-9
                 sure += within * count[c]
-                i = np.flatnonzero(~within & (least < own + 1e-9))
-                open_.append((i, np.full(len(i), c, np.int32), d[i, c]))
-            # First a row for each triple, of what is known of it, then one for each cell that it has to meet.
-            i, cell, away = map(np.concatenate, zip((np.arange(len(d)), np.full(len(d), -1, np.int32), np.zeros(len(d))), *open_, strict=True))
-            nearer = pa.array(np.concatenate([sure, np.zeros(len(i) - len(d), np.int64)]))
-            taken = batch.select([*key, "distance"]).take(pa.array(i))
-            vectors = pa.concat_arrays([pa.nulls(len(d), batch.column("embedding").type), batch.column("embedding").take(pa.array(i[len(d) :]))])
-            yield pa.RecordBatch.from_arrays([*taken.columns, vectors, pa.array(cell), pa.array(away), nearer], names=[*key, "distance", "embedding", "cell", "away", "nearer"])
-
-    known = materialize(rows.mapInArrow(dealt, "head_id long, angle_bin int, tail_id long, distance double, embedding array<double>, cell int, away double, nearer long"), "links-open")
-
-    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
-        n = met = np.zeros(a.num_rows, np.int64)
-        if a.num_rows and b.num_rows:
-            a, b = a.sort_by("away"), b.sort_by("away")
-            x, y, own = matrix(a.column("embedding")), matrix(b.column("embedding")), a.column("distance").to_numpy()
-            away, off, tail, node = a.column("away").to_numpy(), b.column("away").to_numpy(), a.column("tail_id").to_numpy(), b.column("node_id").to_numpy()
-            n, met, half, size = n.copy(), met.copy(), x.shape[1] // 2, max(1, STEP // y.size)
-            for i in range(0, len(x), size):
-                part = slice(i, i + size)
-                # Rows that |away - off| leaves open for any of these triples, which lie at like distances from the pivot.
-                p, q = np.searchsorted(off, [(away[part] - own[part]).min() - 1e-9, (away[part] + own[part]).max() + 1e-9])
-                gap = x[part, None] - y[None, p:q]
-                d = np.sqrt(gap[..., :half] ** 2 + gap[..., half:] ** 2 + 1e-8).sum(2)
-                n[part] = ((d < own[part, None] - 1e-12) & (node[None, p:q] != tail[part, None])).sum(1)
-                met[part] = q - p
-        return pa.table({**{c: a.column(c) for c in key}, "nearer": n, "compared": met})
-
-    open_ = known.where("cell >= 0").drop("nearer")
-    parts = in_cells(open_, entities, compare, "head_id long, angle_bin int, tail_id long, nearer long, compared long")
-    parts = parts.unionByName(known.where("cell < 0").select(*key, "nearer", F.lit(0).cast("long").alias("compared")))
+                open_[:, c] = ~within & (least < own + 1e-9)
+            order, ids = np.argsort(d.argmin(1), kind="stable"), [t.column(c).to_numpy() for c in key]
+            for i in range(0, len(order), TRIPLES):
+                at = order[i : i + TRIPLES]
+                parts = [*(v[at].astype(np.int64) for v in ids), own[at], sure[at], open_[at], x[at]]
+                yield pa.RecordBatch.from_arrays([*(pa.array([v.tobytes()], pa.binary()) for v in parts), pa.array([np.flatnonzero(open_[at].any(0)).astype(np.int32)], pa.list_(pa.int32()))], names=[*BLOCKS, "cells"])
+
+    known = materialize(rows.mapInArrow(dealt, ", ".join(f"{c} binary" for c in BLOCKS) + ", cells array<int>"), "links-open")
+    cells_ = packed_cells(entities)
+    schema = "head_id long, angle_bin int, tail_id long, nearer long, compared long"
+
+    def counted(block: dict, nearer: np.ndarray, met: np.ndarray) -> pa.RecordBatch:
+        ids = [np.frombuffer(block[c], np.int64) for c in BLOCKS[:3]]
+        return pa.RecordBatch.from_arrays([pa.array(ids[0]), pa.array(ids[1].astype(np.int32)), pa.array(ids[2]), pa.array(nearer), pa.array(met)], names=[*key, "nearer", "compared"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                sure = np.frombuffer(r["sure"], np.int64)
+                yield counted(r, sure, np.zeros(len(sure), np.int64))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, n, met = None, None, None
+        for batch in batches:
+            for r in batch.to_pylist():
+                if block is None or any(block[c] != r[c] for c in BLOCKS):
+                    if block is not None:
+                        yield counted(block, n, met)
+                    block, own = r, np.frombuffer(r["own"], np.float64)
+                    n, met = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+                    x, tail = np.frombuffer(r["turned"], np.float64).reshape(len(own), -1), np.frombuffer(r["tail"], np.int64)
+                    open_ = np.frombuffer(r["open"], bool).reshape(len(own), -1)
+                node, off = np.frombuffer(r["nodes"], np.int64), np.frombuffer(r["off"], np.float64)
+                y, at = np.frombuffer(r["vectors"], np.float64).reshape(len(node), -1), np.flatnonzero(open_[:, r["cell"]])
+                away = plain_distance(x[at], points[[r["cell"]]])[:, 0]
+                right, longest = single_columns(y), plain_distance(y, np.zeros((1, y.shape[1]))).max()
+                order = np.argsort(away, kind="stable")
+                at, away = at[order], away[order]
+                for i in range(0, len(at), ROWS):
+                    rows_, far = at[i : i + ROWS], away[i : i + ROWS]
+                    # Rows that |away - off| leaves open for any of these triples, which lie at like distances from the pivot.
+                    p, q = np.searchsorted(off, [(far - own[rows_]).min() - 1e-9, (far + own[rows_]).max() + 1e-9])
+                    if q > p:
+                        n[rows_] += nearer_rows(x[rows_], own[rows_], tail[rows_], y[p:q], node[p:q], right[..., p:q], longest)
+                        met[rows_] += q - p
+        if block is not None:
+            yield counted(block, n, met)
+
+    met = known.crossJoin(cells_.hint("shuffle_replicate_nl")).where(F.array_contains("cells", F.col("cell")))
+    parts = met.mapInArrow(compare, schema).unionByName(known.mapInArrow(first, schema))
     ranks = parts.groupBy(*key).agg((F.sum("nearer") + 1).alias("rank"), F.sum("compared").alias("compared"))
     if filtered is None:
         return ranks
@@ -239,16 +329,6 @@ def link_ranks(triples: DataFrame, embeddings: DataFrame, phases: Phases, filter
     return ranks.join(less, ["head_id", "angle_bin", "tail_id"], "left").select("head_id", "angle_bin", "tail_id", (F.col("rank") - F.coalesce("less", F.lit(0))).alias("rank"), "compared")
 
 
-def in_cells(left: DataFrame, right: DataFrame, compare: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """compare() on the blocks of each cell: rows of one cell meet, CELL of each side at most on average, dealt by a hash."""
-    a, b = (df.groupBy("cell").agg(F.ceil(F.count("*") / CELL).cast("int").alias(name)) for df, name in ((left, "_n"), (right, "_m")))
-    sizes = F.broadcast(a.join(b, "cell"))  # a row for each cell
-    numbers = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    x = left.join(sizes, "cell").withColumn("_a", F.pmod(F.xxhash64("head_id", "angle_bin", "tail_id"), F.col("_n"))).withColumn("_b", numbers("_m")).drop("_n", "_m")
-    y = right.join(sizes, "cell").withColumn("_b", F.pmod(F.xxhash64("node_id"), F.col("_m"))).withColumn("_a", numbers("_n")).drop("_n", "_m")
-    return x.groupBy("cell", "_a", "_b").cogroup(y.groupBy("cell", "_a", "_b")).applyInArrow(compare, schema)
-
-
 def link_metrics(ranks: DataFrame) -> DataFrame:
     """One row: mrr, hits_1, hits_3, hits_10, mean_rank."""
     hit = lambda k: F.avg((F.col("rank") <= k).cast("double")).alias(f"hits_{k}")

@@ -241,3 +241,31 @@ def test_link_ranks_skip_by_the_triangle_inequality(spark, monkeypatch, pivots):
         assert r["rank"] == 1 + (np.delete(d, r.tail_id) < d[r.tail_id] - 1e-12).sum()
     share = sum(r.compared for r in got) / len(got) / n
     assert share < 0.35 if pivots == 16 else share <= 1
+
+
+def test_a_triple_is_written_once(spark, monkeypatch):
+    """However many cells it has to meet; without structure these are all."""
+    written = {}
+    monkeypatch.setattr(kge, "materialize", lambda df, name, f=kge.materialize: written.setdefault(name, f(df, name)))
+    rng = np.random.default_rng(6)
+    e = spark.createDataFrame([(i, v) for i, v in enumerate(rng.standard_normal((300, 64)).tolist())], "node_id long, embedding array<double>")
+    triples = spark.createDataFrame([(i, 0, (i * 7 + 1) % 300) for i in range(300)], "head_id long, angle_bin int, tail_id long")
+    assert kge.link_ranks(triples, e, kge.initial_phases(64), pivots=8).count() == 300
+    assert sum(len(r.turned) for r in written["links-open"].collect()) == 300 * 64 * 8
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-6, 1e20])
+def test_nearer_rows(scale):
+    """Copies, near copies and a tail among them, against double precision alone."""
+    rng = np.random.default_rng(7)
+    y = rng.standard_normal((500, 8)) * scale
+    y[100:150] = y[100]
+    y[150:200] = y[100] + rng.standard_normal((50, 8)) * 1e-9 * scale
+    x, node = np.concatenate([y[90:110], rng.standard_normal((20, 8)) * scale]), np.arange(500)
+    tail = rng.integers(100, 600, len(x))
+    gap = x[:, None] - y[None]
+    d = np.sqrt(gap[..., :4] ** 2 + gap[..., 4:] ** 2 + 1e-8).sum(2)
+    own = d[np.arange(len(x)), np.minimum(tail, 499)]
+    expected = ((d < own[:, None] - 1e-12) & (node[None] != tail[:, None])).sum(1)
+    longest = np.hypot(y[:, :4], y[:, 4:]).sum(1).max()
+    assert (kge.nearer_rows(x, own, tail, y, node, kge.single_columns(y), longest) == expected).all()
