@@ -7,7 +7,8 @@ one after the other, and both tokenizers end a token at every cut. Each distinct
 whole corpus is tokenized and aligned once; documents are composed of their segments' alignments.
 
 Documents are gathered in batches of bounded size. A batch has a list of its distinct segments and,
-for each document, their numbers; a segment comes to the joins once a batch, however common it is:
+for each document, their numbers; a segment comes to the joins once a batch, however common it is.
+The list is written in rows of PART segments, so no row that the JVM holds grows with the batch's list:
 
     batches -> distinct segments, counted -> aligned once -> linked pairs, counted over the corpus
     batches' segments x aligned segments, by segment -> back to their batch -> documents
@@ -54,10 +55,12 @@ SPACE = "▁"  # how B writes a space
 GAP = r"\s᠎​﻿"
 #: Characters of text in a batch, about; one document is never divided.
 BATCH = 16 << 20
+#: Segments of a batch's list in a row.
+PART = 1 << 14
 #: Segments that every task is told at most, characters of one at most, and steps in a doubling of the histogram that finds them.
 POPULAR, SHORT, STEPS = 1 << 17, 64, 16
 
-SEGMENTED = "batch long, doc_ids array<bigint>, sizes array<int>, numbers binary, segments array<string>, repeats array<int>"
+SEGMENTED = "batch long, doc_ids array<bigint>, sizes array<int>, numbers binary, first int, segments array<string>, repeats array<int>"
 ALIGNED = "segment string, n long, good boolean, n_a int, n_b int, links array<bigint>, groups string"
 SCORED = "segment string, body string"
 COMPOSED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
@@ -142,17 +145,21 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def segmented(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, batch_chars: int = BATCH) -> DataFrame:
-    """Batches of documents: ids, segments a document, their numbers, the batch's distinct segments and how often each is there."""
+    """Batches of documents: one row of ids, segments a document and their numbers, then the batch's distinct segments and how often each is there,
+    PART a row, the first of them numbered `first`."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, batch = pair(a_file, b_file), TaskContext.get().partitionId() << 32
-        kind = pa.schema([("batch", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("numbers", pa.binary()), ("segments", pa.list_(pa.string())), ("repeats", pa.list_(pa.int32()))])
+        kind = pa.schema([("batch", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("numbers", pa.binary()), ("first", pa.int32()), ("segments", pa.list_(pa.string())), ("repeats", pa.list_(pa.int32()))])
         ids, sizes, numbers, place, chars = [], [], [], {}, 0
 
-        def finish() -> pa.RecordBatch:
+        def finish() -> Iterator[pa.RecordBatch]:
             flat = np.concatenate(numbers) if numbers else np.empty(0, np.int32)
-            row = {"batch": batch, "doc_ids": ids, "sizes": sizes, "numbers": packed(flat), "segments": list(place), "repeats": np.bincount(flat, minlength=len(place))}
-            return pa.RecordBatch.from_pylist([row], kind)
+            yield pa.RecordBatch.from_pylist([{"batch": batch, "doc_ids": ids, "sizes": sizes, "numbers": packed(flat), "first": 0, "segments": [], "repeats": []}], kind)
+            own, repeats = list(place), np.bincount(flat, minlength=len(place))
+            for i in range(0, len(own), PART):
+                row = {"batch": batch, "doc_ids": [], "sizes": [], "numbers": b"", "first": i, "segments": own[i : i + PART], "repeats": repeats[i : i + PART]}
+                yield pa.RecordBatch.from_pylist([row], kind)
 
         for rows in batches:
             for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
@@ -163,10 +170,10 @@ def segmented(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, batch
                     numbers.append(np.fromiter((place.setdefault(s, len(place)) for s in found), np.int32, len(found)))
                 chars += len(text or "")
                 if chars >= batch_chars:
-                    yield finish()
+                    yield from finish()
                     batch, ids, sizes, numbers, place, chars = batch + 1, [], [], [], {}, 0
         if ids:
-            yield finish()
+            yield from finish()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, SEGMENTED)
 
@@ -258,7 +265,8 @@ def composed(batches: DataFrame, parts: DataFrame, told: pa.Table) -> DataFrame:
         index = {s: i for i, s in enumerate(table.value[0])}
 
         def work(batch: pa.RecordBatch) -> list:
-            known = [[(k, index[s]) for k, s in enumerate(own) if s in index] for own in batch.column("segments").to_pylist()]
+            rows = zip(batch.column("first").to_pylist(), batch.column("segments").to_pylist(), strict=True)
+            known = [[(k, index[s]) for k, s in enumerate(own, first) if s in index] for first, own in rows]
             return [*(batch.column(c) for c in ("batch", "doc_ids", "sizes", "numbers")), [packed(np.array(pairs, np.int32).ravel()) for pairs in known]]
 
         return work
@@ -266,8 +274,8 @@ def composed(batches: DataFrame, parts: DataFrame, told: pa.Table) -> DataFrame:
     def compose(docs: pa.Table, segments: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return pa.table({c: pa.array([], pa.string() if c == "groups" else pa.int64()) for c in names})
-        row = docs.to_pylist()[0]
-        numbers, known = unpacked(row["numbers"]), unpacked(row["known"]).reshape(-1, 2)
+        row = next(r for r in docs.to_pylist() if r["doc_ids"])  # the others hold the batch's list
+        numbers, known = unpacked(row["numbers"]), np.concatenate([unpacked(x).reshape(-1, 2) for x in docs.column("known").to_pylist()])
         body = [""] * (segments.num_rows + len(known))
         for k, i in known.tolist():
             body[k] = table.value[1][i]
@@ -293,15 +301,15 @@ def composed(batches: DataFrame, parts: DataFrame, told: pa.Table) -> DataFrame:
         return pa.table({c: pa.array(found[c], pa.string() if c == "groups" else pa.int64()) for c in names})
 
     names = [part.split()[0] for part in COMPOSED.split(", ")]
-    own = map_batches(batches.select("batch", "doc_ids", "sizes", "numbers", "segments"), make, "batch long, doc_ids array<bigint>, sizes array<int>, numbers binary, known binary")
+    own = map_batches(batches.select("batch", "doc_ids", "sizes", "numbers", "first", "segments"), make, "batch long, doc_ids array<bigint>, sizes array<int>, numbers binary, known binary")
     return own.groupBy("batch").cogroup(parts.groupBy("holder")).applyInArrow(compose, COMPOSED)
 
 
 def align(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, batch_chars: int = BATCH, most_popular: int = POPULAR) -> DataFrame:
     """doc_id, counts of tokens, groups and links, and the groups as `a1,a2|b1;a3|b2,b3` for every document."""
     batches = materialize(segmented(docs, a_file, b_file, batch_chars), "alignment-batches", compression="zstd")
-    listed = batches.select(F.col("batch").alias("holder"), F.posexplode(F.arrays_zip("segments", "repeats")).alias("number", "part"))
-    listed = listed.select("holder", "number", F.col("part.segments").alias("segment"), F.col("part.repeats").cast("long").alias("n"))
+    listed = batches.select(F.col("batch").alias("holder"), "first", F.posexplode(F.arrays_zip("segments", "repeats")).alias("place", "part"))
+    listed = listed.select("holder", (F.col("first") + F.col("place")).alias("number"), F.col("part.segments").alias("segment"), F.col("part.repeats").cast("long").alias("n"))
     segments = materialize(aligned(listed.groupBy("segment").agg(F.sum("n").alias("n")), a_file, b_file), "alignment-segments", compression="zstd")
     counts = pair_counts(segments, pair(a_file, b_file).most_links())
     often = popular(segments, most_popular)

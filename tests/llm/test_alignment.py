@@ -90,6 +90,16 @@ def test_small_batches(spark, sf):
     assert rows(alignment.align(docs, batch_chars=500)) == rows(alignment.align(docs))
 
 
+def test_rows_of_a_batch_are_bounded(spark):
+    """A batch's list of distinct segments is divided over rows; documents find all of theirs."""
+    rows = [(1, " ".join(f"w{i}" for i in range(40_000))), (2, " ".join(f"w{i}" for i in range(39_000, 41_000))), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    held = alignment.segmented(docs).selectExpr("batch", "size(doc_ids) AS docs", "size(segments) AS held").collect()
+    assert len({r.batch for r in held}) == 1 and sum(r.docs for r in held) == 3 and sum(r.held for r in held) == 41_000
+    assert max(r.held for r in held) <= 1 << 14
+    compare(alignment.digests(docs), rows)
+
+
 def test_popular_segments_change_nothing(spark, sf):
     """None, some and all segments told to every task."""
     docs = documents(spark, sf).where("doc_id % 3 = 0")
